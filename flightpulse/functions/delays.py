@@ -1,10 +1,7 @@
-"""Delay minutes and delay categories of one flight."""
+"""Delay minutes and delay categories of one flight, as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..vocabulary import (
     CATEGORY_BEYOND_BANDS,
     CATEGORY_NO_ACTUAL,
@@ -14,25 +11,27 @@ from ..vocabulary import (
 )
 
 
-def delay_minutes(scheduled: Column, actual: Column) -> Column:
+def delay_minutes(scheduled: str, actual: str) -> str:
     """Whole minutes from scheduled to actual, half away from zero, BIGINT.
 
     ``unix_timestamp`` of a TIMESTAMP_NTZ is a plain division of the stored
     value, so neither the session time zone nor calendar objects take part.
     """
-    seconds = F.unix_timestamp(actual) - F.unix_timestamp(scheduled)
-    rounded = F.call_function("div", F.abs(seconds) + F.lit(30), F.lit(60))
-    return F.when(seconds < 0, -rounded).otherwise(rounded)
+    seconds = f"(unix_timestamp({actual}) - unix_timestamp({scheduled}))"
+    return (
+        f"CASE WHEN {seconds} < 0 THEN -((30 - {seconds}) div 60) "
+        f"ELSE ({seconds} + 30) div 60 END"
+    )
 
 
-def delay_category(scheduled: Column, actual: Column, delay: Column) -> Column:
-    category = F.when(actual.isNull(), CATEGORY_NO_ACTUAL).when(
-        scheduled.isNull(), CATEGORY_NO_SCHEDULE
+def delay_category(scheduled: str, actual: str, delay: str) -> str:
+    bands = " ".join(f"WHEN {delay} < {upper} THEN '{name}'" for upper, name in DELAY_BANDS)
+    return (
+        f"CASE WHEN {actual} IS NULL THEN '{CATEGORY_NO_ACTUAL}' "
+        f"WHEN {scheduled} IS NULL THEN '{CATEGORY_NO_SCHEDULE}' "
+        f"{bands} ELSE '{CATEGORY_BEYOND_BANDS}' END"
     )
-    for upper, name in DELAY_BANDS:
-        category = category.when(delay < upper, name)
-    return category.otherwise(CATEGORY_BEYOND_BANDS)
 
 
-def is_next_day(delay: Column) -> Column:
-    return F.coalesce(delay > NEXT_DAY_ABOVE_MIN, F.lit(False))
+def is_next_day(delay: str) -> str:
+    return f"coalesce({delay} > {NEXT_DAY_ABOVE_MIN}, false)"

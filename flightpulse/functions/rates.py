@@ -1,4 +1,12 @@
-"""Exact rates and means: whole-number arithmetic, rounded half away from zero."""
+"""Exact rates and means: whole-number arithmetic, rounded half away from zero.
+
+A percentage with two decimals is held as whole hundredths and a mean with one
+decimal as whole tenths until it is shown, so no result depends on the order
+of additions or on how a binary fraction prints. The products stay inside
+BIGINT up to 4·10^14 flights; beyond that ANSI mode raises instead of wrapping.
+
+Arguments are SQL expressions, usually plain column names.
+"""
 
 from __future__ import annotations
 
@@ -6,44 +14,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _div(a: Column, b: Column) -> Column:
-    return F.call_function("div", a, b)
-
+def rounded_share(num: str, den: str, scale: int) -> str:
+    """``round(num / den * scale)`` for ``num >= 0``; null when ``den`` is 0 or null."""
+    return f"CASE WHEN ({den}) > 0 THEN (({num}) * {2 * scale}L + ({den})) div (2L * ({den})) END"
 
-def rounded_ratio(num: Column, den: Column, scale: int = 1) -> Column:
-    """``round(num / den * scale)`` as BIGINT; null when ``den`` is 0 or null.
 
-    Split into quotient and remainder so that the product stays far from the
-    BIGINT limit even for sums over 10^12 rows.
-    """
-    den = F.nullif(den, F.lit(0))
-    size = F.abs(num)
-    left = size % den
-    magnitude = _div(size, den) * F.lit(scale) + _div(left * F.lit(2 * scale) + den, den * F.lit(2))
-    return F.when(num < 0, -magnitude).otherwise(magnitude)
+def rounded_ratio(num: str, den: str, scale: int = 1) -> str:
+    """The same for a numerator of either sign."""
+    size = rounded_share(f"abs({num})", den, scale)
+    return f"CASE WHEN ({num}) < 0 THEN -({size}) ELSE ({size}) END"
 
 
-def pct_hundredths(num: Column, den: Column) -> Column:
-    return rounded_ratio(num, den, 10_000)
+def pct_hundredths(num: str, den: str) -> Column:
+    return F.expr(rounded_share(num, den, 10_000))
 
 
-def mean_tenths(total: Column, count: Column) -> Column:
-    return rounded_ratio(total, count, 10)
+def mean_tenths(total: str, count: str) -> Column:
+    return F.expr(rounded_ratio(total, count, 10))
 
 
-def from_hundredths(value: Column) -> Column:
-    return value / F.lit(100.0)
+def from_hundredths(value: str) -> Column:
+    return F.expr(f"({value}) / 100.0D")
 
 
-def from_tenths(value: Column) -> Column:
-    return value / F.lit(10.0)
+def from_tenths(value: str) -> Column:
+    return F.expr(f"({value}) / 10.0D")
 
 
-def pct(num: Column, den: Column) -> Column:
+def pct(num: str, den: str) -> Column:
     """Percentage with two decimals, as DOUBLE."""
-    return from_hundredths(pct_hundredths(num, den))
+    return from_hundredths(rounded_share(num, den, 10_000))
 
 
-def mean1(total: Column, count: Column) -> Column:
+def mean1(total: str, count: str) -> Column:
     """Mean with one decimal, as DOUBLE."""
-    return from_tenths(mean_tenths(total, count))
+    return from_tenths(rounded_ratio(total, count, 10))

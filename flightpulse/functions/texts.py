@@ -1,4 +1,4 @@
-"""Number texts of the headline figures."""
+"""Number texts of the headline figures. Arguments are column names."""
 
 from __future__ import annotations
 
@@ -6,36 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def one_decimal(value: Column, suffix: str = "") -> Column:
-    """A DOUBLE with one decimal, rounded as its exact binary value.
+def percent_text(name: str) -> Column:
+    """A percentage with two decimals, shown with one: ``90.9%``.
 
-    ``format_string('%.1f')`` rounds the shortest decimal text half up, so
-    90.25 would print as 90.3 and 90.35 as 90.4, where the expected texts are
-    90.2 and 90.3. Here 10·v is held exactly as a sum of two doubles (8v + 2v
-    and its rounding error), and only a true tie goes to the even digit.
+    Ties are decided as for the exact binary value of the DOUBLE: 90.25 is a
+    true tie and goes to the even digit (90.2), 90.35 lies just below one
+    (90.3). ``format_string`` would print 90.3 and 90.4. The distance from the
+    tie, k - 100·v for k hundredths, is exact when taken off in steps of 64, 32
+    and 4 times v: each difference is a multiple of the last digit of v.
     """
-    size = F.abs(value)
-    high, low = size * F.lit(8.0), size * F.lit(2.0)
-    total = high + low
-    low_seen = total - high
-    error = (high - (total - low_seen)) + (low - low_seen)
-    whole = F.floor(total)
-    above_half = (total - whole.cast("double") - F.lit(0.5)) + error
-    round_up = (above_half > 0) | ((above_half == 0) & (whole % F.lit(2) == 1))
-    tenths = whole + F.when(round_up, 1).otherwise(0).cast("bigint")
-    sign = F.when(value < 0, "-").otherwise("")
-    return F.when(
-        value.isNotNull(),
-        F.concat(
-            sign,
-            F.call_function("div", tenths, F.lit(10)).cast("string"),
-            F.lit("."),
-            (tenths % F.lit(10)).cast("string"),
-            F.lit(suffix),
-        ),
-    )
-
-
-def thousands(value: Column) -> Column:
+    hundredths = f"CAST(round({name} * 100) AS BIGINT)"
+    below_tie = f"((({hundredths} - 64 * {name}) - 32 * {name}) - 4 * {name})"
+    rounded = f"""({hundredths} div 10 + CASE
+        WHEN {hundredths} % 10 <> 5 THEN ({hundredths} % 10) div 5
+        WHEN {below_tie} <> 0 THEN if({below_tie} < 0, 1, 0)
+        ELSE ({hundredths} div 10) % 2 END)"""
+    return F.expr(f"concat({rounded} div 10, '.', {rounded} % 10, '%')")
+
+
+def one_decimal_text(name: str, suffix: str) -> Column:
+    """A value that has one decimal, with a unit behind it."""
+    return F.expr(f"if({name} IS NULL, NULL, format_string('%.1f{suffix}', {name}))")
+
+
+def thousands_text(name: str) -> Column:
     """Whole number with dots between thousands."""
-    return F.translate(F.format_number(value, 0), ",", ".")
+    return F.expr(f"translate(format_number({name}, 0), ',', '.')")

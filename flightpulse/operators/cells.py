@@ -23,33 +23,32 @@ def roll_up(cells: DataFrame, *keys: str | Column) -> DataFrame:
     all rows still sends one row per task. Measures that the caller does not
     read are pruned.
     """
-    sums = [
-        # A global count over no rows is 0; the other sums stay null.
-        (F.coalesce(F.sum(m), F.lit(0)) if m == "n" else F.sum(m)).alias(m)
-        for m in SUMS
-    ]
-    rest = [F.min(m).alias(m) for m in MINIMA] + [F.max(m).alias(m) for m in MAXIMA]
-    return cells.groupBy(*keys).agg(*sums, *rest)
+    # A global count over no rows is 0; the other sums stay null.
+    texts = ["coalesce(sum(n), 0L) AS n"]
+    texts += [f"sum({measure}) AS {measure}" for measure in SUMS if measure != "n"]
+    texts += [f"min({measure}) AS {measure}" for measure in MINIMA]
+    texts += [f"max({measure}) AS {measure}" for measure in MAXIMA]
+    return cells.groupBy(*keys).agg(*[F.expr(text) for text in texts])
 
 
 def on_time_pct() -> Column:
-    return pct(F.col("n_dep_on_time"), F.col("n_dep_delay"))
+    return pct("n_dep_on_time", "n_dep_delay")
 
 
 def arrival_on_time_pct() -> Column:
-    return pct(F.col("n_arr_on_time"), F.col("n_arr_delay"))
+    return pct("n_arr_on_time", "n_arr_delay")
 
 
 def cancelled_pct() -> Column:
-    return pct(F.col("n_cancelled"), F.col("n"))
+    return pct("n_cancelled", "n")
 
 
 def mean_delay() -> Column:
-    return mean1(F.col("sum_dep_delay"), F.col("n_dep_delay"))
+    return mean1("sum_dep_delay", "n_dep_delay")
 
 
 def mean_arrival_delay() -> Column:
-    return mean1(F.col("sum_arr_delay"), F.col("n_arr_delay"))
+    return mean1("sum_arr_delay", "n_arr_delay")
 
 
 def top(frame: DataFrame, order: Column, k: int, *tie_breakers: str) -> DataFrame:

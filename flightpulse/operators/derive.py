@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
 from ..functions.delays import delay_category, delay_minutes, is_next_day
-from ..functions.periods import weekday_of
 from ..vocabulary import (
     CATEGORY_BEYOND_BANDS,
     CATEGORY_NO_ACTUAL,
@@ -16,7 +14,8 @@ from ..vocabulary import (
     STATUS_CANCELLED,
 )
 
-# Keys of the additive rollup. ``weekday`` is null when no departure was scheduled.
+# Keys of the additive rollup. ``weekday`` (0 = Sunday) is null when no
+# departure was scheduled.
 CELL_KEYS = ("ref_month", "weekday", "origin", "dest", "carrier")
 
 # One count per departure category, in the order the categories are tested.
@@ -44,48 +43,38 @@ SUMS = (
 )
 MINIMA = ("first_sched_dep",)
 MAXIMA = ("last_sched_dep",)
-MEASURES = (*SUMS, *MINIMA, *MAXIMA)
 
 
 def with_delays(flights: DataFrame) -> DataFrame:
-    return flights.withColumns(
-        {
-            "dep_delay_min": delay_minutes(F.col("sched_dep"), F.col("actual_dep")),
-            "arr_delay_min": delay_minutes(F.col("sched_arr"), F.col("actual_arr")),
-        }
+    return flights.selectExpr(
+        "*",
+        f"{delay_minutes('sched_dep', 'actual_dep')} AS dep_delay_min",
+        f"{delay_minutes('sched_arr', 'actual_arr')} AS arr_delay_min",
     )
 
 
 def analytic(flights: DataFrame) -> DataFrame:
     """Every flight column plus the five derived columns."""
-    return with_delays(flights).withColumns(
-        {
-            "dep_category": delay_category(
-                F.col("sched_dep"), F.col("actual_dep"), F.col("dep_delay_min")
-            ),
-            "arr_category": delay_category(
-                F.col("sched_arr"), F.col("actual_arr"), F.col("arr_delay_min")
-            ),
-            "next_day": is_next_day(F.col("dep_delay_min")),
-        }
+    return with_delays(flights).selectExpr(
+        "*",
+        f"{delay_category('sched_dep', 'actual_dep', 'dep_delay_min')} AS dep_category",
+        f"{delay_category('sched_arr', 'actual_arr', 'arr_delay_min')} AS arr_category",
+        f"{is_next_day('dep_delay_min')} AS next_day",
     )
 
 
-def _flag(test: Column) -> Column:
-    return F.when(test, 1).otherwise(0).cast("bigint")
-
-
-def _category_tests(dep: Column) -> dict[str, Column]:
+def _category_tests() -> dict[str, str]:
     """The test of each departure category, on whole minutes instead of texts."""
     tests = {
-        CATEGORY_NO_ACTUAL: F.col("actual_dep").isNull(),
-        CATEGORY_NO_SCHEDULE: F.col("actual_dep").isNotNull() & F.col("sched_dep").isNull(),
+        CATEGORY_NO_ACTUAL: "actual_dep IS NULL",
+        CATEGORY_NO_SCHEDULE: "actual_dep IS NOT NULL AND sched_dep IS NULL",
     }
     lower = None
     for upper, category in DELAY_BANDS:
-        tests[category] = (dep < upper) if lower is None else (dep >= lower) & (dep < upper)
+        above = "" if lower is None else f"dep_delay_min >= {lower} AND "
+        tests[category] = f"{above}dep_delay_min < {upper}"
         lower = upper
-    tests[CATEGORY_BEYOND_BANDS] = dep >= lower
+    tests[CATEGORY_BEYOND_BANDS] = f"dep_delay_min >= {lower}"
     return tests
 
 
@@ -98,34 +87,38 @@ def flight_cells(flights: DataFrame) -> DataFrame:
     bound, so the tests run on whole numbers rather than on category texts.
     Columns a report does not read are pruned from its scan.
     """
-    dep, arr = F.col("dep_delay_min"), F.col("arr_delay_min")
-    return with_delays(flights).select(
+    counts = {
+        "n_cancelled": f"status = '{STATUS_CANCELLED}'",
+        "n_dep_on_time": f"dep_delay_min < {ON_TIME_BELOW_MIN}",
+        "n_dep_delay": "sched_dep IS NOT NULL AND actual_dep IS NOT NULL",
+        "n_arr_on_time": f"arr_delay_min < {ON_TIME_BELOW_MIN}",
+        "n_arr_delay": "sched_arr IS NOT NULL AND actual_arr IS NOT NULL",
+        **{CATEGORY_COUNTS[category]: test for category, test in _category_tests().items()},
+    }
+    return with_delays(flights).selectExpr(
         "ref_month",
-        weekday_of(F.col("sched_dep")).alias("weekday"),
+        "dayofweek(sched_dep) - 1 AS weekday",
         "origin",
         "dest",
         "carrier",
-        F.lit(1).cast("bigint").alias("n"),
-        _flag(F.col("status") == STATUS_CANCELLED).alias("n_cancelled"),
-        _flag(dep < ON_TIME_BELOW_MIN).alias("n_dep_on_time"),
-        _flag(dep.isNotNull()).alias("n_dep_delay"),
-        dep.alias("sum_dep_delay"),
-        _flag(arr < ON_TIME_BELOW_MIN).alias("n_arr_on_time"),
-        _flag(arr.isNotNull()).alias("n_arr_delay"),
-        arr.alias("sum_arr_delay"),
-        *[
-            _flag(test).alias(CATEGORY_COUNTS[category])
-            for category, test in _category_tests(dep).items()
-        ],
-        F.col("sched_dep").alias("first_sched_dep"),
-        F.col("sched_dep").alias("last_sched_dep"),
+        "1L AS n",
+        *[f"CASE WHEN {test} THEN 1L ELSE 0L END AS {name}" for name, test in counts.items()],
+        "dep_delay_min AS sum_dep_delay",
+        "arr_delay_min AS sum_arr_delay",
+        "sched_dep AS first_sched_dep",
+        "sched_dep AS last_sched_dep",
     )
 
 
 def flight_delays(flights: DataFrame) -> DataFrame:
-    """Each flight with a departure delay as one entry of the delay histogram."""
-    return (
-        with_delays(flights)
-        .where(F.col("dep_delay_min").isNotNull())
-        .select("ref_month", "dep_delay_min", F.lit(1).cast("bigint").alias("n"))
+    """Each flight as one entry of the delay histogram, counting 0 without a delay."""
+    return with_delays(flights).selectExpr(
+        "ref_month",
+        "dep_delay_min",
+        "CASE WHEN dep_delay_min IS NOT NULL THEN 1L ELSE 0L END AS n",
     )
+
+
+def histogram(delays: DataFrame, *keys: str) -> DataFrame:
+    """Flights per delay. The filter is on the sum, so it stays above the aggregation."""
+    return delays.groupBy(*keys, "dep_delay_min").agg(F.sum("n").alias("n")).where("n > 0")

@@ -9,10 +9,6 @@ from ..vocabulary import PHANTOM_PCT
 from .cells import roll_up
 
 
-def _or_false(flag: Column) -> Column:
-    return F.coalesce(flag, F.lit(False))
-
-
 def exclude_pairs(rows: DataFrame, pairs: DataFrame, first: str, second: str) -> DataFrame:
     """Rows for which ``(first, second) NOT IN (pairs)`` is true.
 
@@ -25,52 +21,52 @@ def exclude_pairs(rows: DataFrame, pairs: DataFrame, first: str, second: str) ->
     * any null second, if its own first is null (and the other way round);
     * anything at all, if both its values are null; or (null, null) itself.
 
-    The first three are hash joins, the others a one-row summary of the list.
-    All joins use null-safe equality: it gives the same answer and, unlike
+    The first three are hash lookups, the others a one-row summary of the list.
+    All lookups use null-safe equality: it gives the same answer and, unlike
     plain equality, adds no not-null filter below the pair list, so the list
-    is computed once and its shuffle is reused by every branch. No join is
-    hinted: the list can grow, and its real size decides.
+    is computed once and its shuffle is reused by every branch. They are left
+    joins rather than an anti join, which Spark may push below an aggregate
+    of ``rows`` and so repeat for every flight. No join is hinted: the list
+    can grow, and its real size decides.
     """
-    listed = pairs.select(F.col(first).alias("_first"), F.col(second).alias("_second"))
-    by_first = listed.groupBy("_first").agg(
-        F.lit(True).alias("_first_listed"),
-        F.bool_or(F.col("_second").isNull()).alias("_second_open"),
+    listed = pairs.selectExpr(f"`{first}` AS _first", f"`{second}` AS _second")
+    by_pair = listed.distinct().selectExpr(
+        "_first AS _pair_first", "_second AS _pair_second", "true AS _pair_listed"
     )
-    by_second = listed.groupBy("_second").agg(
-        F.lit(True).alias("_second_listed"),
-        F.bool_or(F.col("_first").isNull()).alias("_first_open"),
+    by_first = listed.groupBy(F.col("_first").alias("_own_first")).agg(
+        F.expr("true AS _first_listed"), F.expr("bool_or(_second IS NULL) AS _second_open")
     )
-    summary = listed.agg(
-        F.struct(
-            (F.count(F.lit(1)) > 0).alias("any_pair"),
-            _or_false(F.bool_or(F.col("_first").isNull())).alias("open_first"),
-            _or_false(F.bool_or(F.col("_second").isNull())).alias("open_second"),
-            _or_false(F.bool_or(F.col("_first").isNull() & F.col("_second").isNull())).alias(
-                "open_both"
-            ),
-        )
-    ).scalar()
-
-    a, b = F.col(first), F.col(second)
-    dropped = (
-        _or_false(F.col("_second_open"))
-        | _or_false(F.col("_first_open"))
-        | (b.isNull() & _or_false(F.col("_first_listed")))
-        | (a.isNull() & _or_false(F.col("_second_listed")))
-        | (a.isNull() & summary.getField("open_second"))
-        | (b.isNull() & summary.getField("open_first"))
-        | (a.isNull() & b.isNull() & summary.getField("any_pair"))
-        | summary.getField("open_both")
+    by_second = listed.groupBy(F.col("_second").alias("_own_second")).agg(
+        F.expr("true AS _second_listed"), F.expr("bool_or(_first IS NULL) AS _first_open")
     )
-    columns = rows.columns
+    summary = listed.selectExpr(
+        """struct(
+             count(1) > 0 AS any_pair,
+             coalesce(bool_or(_first IS NULL), false) AS open_first,
+             coalesce(bool_or(_second IS NULL), false) AS open_second,
+             coalesce(bool_or(_first IS NULL AND _second IS NULL), false) AS open_both)"""
+    ).scalar()
+    # ``greatest`` is true when any of its tests is and skips nulls. Unlike an OR
+    # it is not taken apart, so no test on the keys alone moves down to the
+    # flights, where their scan would have to wait for the list.
+    dropped = f"""greatest(
+        false,
+        _pair_listed,
+        _second_open,
+        _first_open,
+        `{second}` IS NULL AND _first_listed,
+        `{first}` IS NULL AND _second_listed,
+        `{first}` IS NULL AND _list.open_second,
+        `{second}` IS NULL AND _list.open_first,
+        `{first}` IS NULL AND `{second}` IS NULL AND _list.any_pair,
+        _list.open_both)"""
     return (
-        rows.join(
-            listed, a.eqNullSafe(F.col("_first")) & b.eqNullSafe(F.col("_second")), "left_anti"
-        )
-        .join(by_first, a.eqNullSafe(F.col("_first")), "left")
-        .join(by_second, b.eqNullSafe(F.col("_second")), "left")
-        .where(~dropped)
-        .select(*columns)
+        rows.withColumn("_list", summary)
+        .join(by_pair, F.expr(f"`{first}` <=> _pair_first AND `{second}` <=> _pair_second"), "left")
+        .join(by_first, F.expr(f"`{first}` <=> _own_first"), "left")
+        .join(by_second, F.expr(f"`{second}` <=> _own_second"), "left")
+        .where(f"NOT {dropped}")
+        .select(*rows.columns)
     )
 
 

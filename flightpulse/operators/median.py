@@ -32,20 +32,15 @@ def upper_median(histogram: DataFrame, value: str, count: str) -> DataFrame:
             F.coalesce(F.sum("_in_block").over(earlier), F.lit(0)).alias("_before"),
             F.call_function("div", F.sum("_in_block").over(everything), F.lit(2)).alias("_position"),
         )
-        .where(
-            (F.col("_position") >= F.col("_before"))
-            & (F.col("_position") < F.col("_before") + F.col("_in_block"))
-        )
+        .where("_position >= _before AND _position < _before + _in_block")
     )
     upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        # ``holder`` has one row at most, which bounds the broadcast.
-        histogram.join(F.broadcast(holder), block == F.col("_block"))
-        .select(
-            value,
-            (F.col("_before") + F.sum(count).over(upto)).alias("_upto"),
-            "_position",
-        )
-        .where(F.col("_upto") > F.col("_position"))
+        # ``holder`` has one row at most, which bounds the broadcast. Null-safe
+        # equality adds no filter to one use of the histogram only, so that its
+        # shuffle serves every use.
+        histogram.join(F.broadcast(holder), block.eqNullSafe(F.col("_block")))
+        .select(value, (F.col("_before") + F.sum(count).over(upto)).alias("_upto"), "_position")
+        .where("_upto > _position")
         .agg(F.min(value).alias(value))
     )

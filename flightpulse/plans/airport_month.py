@@ -107,8 +107,8 @@ def _origin_profiles(
         "origin",
         "mes",
         "n",
-        pct_hundredths(F.col("n_dep_on_time"), F.col("n_dep_delay")).alias("on_time"),
-        mean_tenths(F.col("sum_dep_delay"), F.col("n_dep_delay")).alias("delay"),
+        pct_hundredths("n_dep_on_time", "n_dep_delay").alias("on_time"),
+        mean_tenths("sum_dep_delay", "n_dep_delay").alias("delay"),
     )
     focus = F.col("mes") == focus_month
     figures = [F.sum("n").alias("flights")]
@@ -123,24 +123,23 @@ def _origin_profiles(
     return _largest(monthly.groupBy("origin").agg(*figures), k, min_flights)
 
 
-def _mean_of_others(name: str) -> Column:
-    return rounded_ratio(F.col(f"{name}_sum"), F.col(f"{name}_months"))
+def _mean_of_others(name: str) -> str:
+    return rounded_ratio(f"{name}_sum", f"{name}_months")
 
 
-def _focus_against_others(name: str) -> Column:
+def _focus_against_others(name: str) -> str:
     """Focus value minus the unrounded mean of the others, rounded once."""
-    months = F.col(f"{name}_months")
-    return rounded_ratio(F.col(f"{name}_focus") * months - F.col(f"{name}_sum"), months)
+    return rounded_ratio(f"{name}_focus * {name}_months - {name}_sum", f"{name}_months")
 
 
 def _delta_columns() -> list[Column]:
     return [
         F.col("origin").alias("aeroporto"),
         from_hundredths(_mean_of_others("on_time")).alias("pontualidade_media_sem_dez"),
-        from_hundredths(F.col("on_time_focus")).alias("pontualidade_dezembro"),
+        from_hundredths("on_time_focus").alias("pontualidade_dezembro"),
         from_hundredths(_focus_against_others("on_time")).alias("variacao_dez_pp"),
         from_tenths(_mean_of_others("delay")).alias("atraso_medio_sem_dez"),
-        from_tenths(F.col("delay_focus")).alias("atraso_dez_min"),
+        from_tenths("delay_focus").alias("atraso_dez_min"),
     ]
 
 
@@ -197,7 +196,7 @@ def dash_origin_month_heatmap(
         .select(
             "aeroporto",
             "mes",
-            from_hundredths(F.col("on_time")).alias("pontualidade"),
+            from_hundredths("on_time").alias("pontualidade"),
             "variacao_dez_pp",
             label_or_code(F.col("aeroporto"), labels).alias("nome_aeroporto"),
             label(F.col("mes"), MONTH_LABELS).alias("nome_mes"),

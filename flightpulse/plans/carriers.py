@@ -137,16 +137,16 @@ def carrier_december_delta(
         .select(
             "empresa",
             "n",
-            pct_hundredths(F.col("on_time_rest"), F.col("delay_rest")).alias("rest"),
-            pct_hundredths(F.col("on_time_focus"), F.col("delay_focus")).alias("focus"),
+            pct_hundredths("on_time_rest", "delay_rest").alias("rest"),
+            pct_hundredths("on_time_focus", "delay_focus").alias("focus"),
         )
     )
     return by_carrier.select(
         "empresa",
         F.col("n").alias("total_voos"),
-        from_hundredths(F.col("rest")).alias("pontualidade_media_anual"),
-        from_hundredths(F.col("focus")).alias("pontualidade_dezembro"),
-        from_hundredths(F.col("focus") - F.col("rest")).alias("variacao_dez_pp"),
+        from_hundredths("rest").alias("pontualidade_media_anual"),
+        from_hundredths("focus").alias("pontualidade_dezembro"),
+        from_hundredths("focus - rest").alias("variacao_dez_pp"),
     ).orderBy("variacao_dez_pp", "empresa")
 
 
@@ -175,17 +175,17 @@ def carrier_year_evolution(
         .where(F.col("n") >= min_flights)
     )
     earlier, later = (
-        pct_hundredths(F.col(f"on_time_{year}"), F.col(f"delay_{year}")) for year in years
+        pct_hundredths(f"on_time_{year}", f"delay_{year}") for year in years
     )
     return by_carrier.orderBy(F.desc(later - earlier), "empresa").select(
         "empresa",
         *[F.col(f"n_{year}").alias(f"voos_{year}") for year in years],
         *[
-            pct(F.col(f"on_time_{year}"), F.col(f"delay_{year}")).alias(f"pontualidade_{year}")
+            pct(f"on_time_{year}", f"delay_{year}").alias(f"pontualidade_{year}")
             for year in years
         ],
         *[
-            pct(F.col(f"cancelled_{year}"), F.col(f"n_{year}")).alias(f"cancelamento_{year}")
+            pct(f"cancelled_{year}", f"n_{year}").alias(f"cancelamento_{year}")
             for year in years
         ],
     )

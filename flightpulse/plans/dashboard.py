@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.periods import in_years, label, month_of, monday_first
-from ..functions.texts import one_decimal, thousands
+from ..functions.texts import one_decimal_text, percent_text, thousands_text
 from ..operators.cells import cancelled_pct, mean_delay, on_time_pct, roll_up, top
 from ..operators.exclusion import operational_cells
 from ..vocabulary import (
@@ -43,10 +43,10 @@ def dash_kpis(facts: Facts, years: Sequence[str] = YEARS) -> DataFrame:
 def dash_kpi_texts(facts: Facts, years: Sequence[str] = YEARS) -> DataFrame:
     """The four headline figures as display texts."""
     return dash_kpis(facts, years).select(
-        thousands(F.col("total_voos")).alias("total_voos"),
-        one_decimal(F.col("taxa_pontualidade_pct"), "%").alias("pontualidade"),
-        one_decimal(F.col("taxa_cancelamento_pct"), "%").alias("cancelamento"),
-        one_decimal(F.col("atraso_medio_min"), " min").alias("atraso_medio"),
+        thousands_text("total_voos").alias("total_voos"),
+        percent_text("taxa_pontualidade_pct").alias("pontualidade"),
+        percent_text("taxa_cancelamento_pct").alias("cancelamento"),
+        one_decimal_text("atraso_medio_min", " min").alias("atraso_medio"),
     )
 
 
@@ -104,11 +104,12 @@ def dash_origin_worst_on_time(
             "aeroporto",
             F.col("n").alias("total_voos"),
             on_time_pct().alias("taxa_pontualidade_pct"),
-            one_decimal(on_time_pct(), "%").alias("texto"),
         )
     )
-    return top(ranked, F.asc("taxa_pontualidade_pct"), k, "aeroporto").orderBy(
-        F.asc_nulls_last("taxa_pontualidade_pct"), "aeroporto"
+    return (
+        top(ranked, F.asc("taxa_pontualidade_pct"), k, "aeroporto")
+        .withColumn("texto", percent_text("taxa_pontualidade_pct"))
+        .orderBy(F.asc_nulls_last("taxa_pontualidade_pct"), "aeroporto")
     )
 
 
@@ -128,12 +129,13 @@ def dash_origin_most_cancelled(
             F.col("n").alias("total_voos"),
             F.col("n_cancelled").alias("cancelados"),
             cancelled_pct().alias("taxa_cancelamento_pct"),
-            one_decimal(cancelled_pct(), "%").alias("texto"),
             F.coalesce(F.col("aeroporto").isin(list(highlighted)), F.lit(False)).alias("destaque"),
         )
     )
-    return top(ranked, F.desc("taxa_cancelamento_pct"), k, "aeroporto").orderBy(
-        F.asc_nulls_last("taxa_cancelamento_pct"), "aeroporto"
+    return (
+        top(ranked, F.desc("taxa_cancelamento_pct"), k, "aeroporto")
+        .withColumn("texto", percent_text("taxa_cancelamento_pct"))
+        .orderBy(F.asc_nulls_last("taxa_cancelamento_pct"), "aeroporto")
     )
 
 

@@ -10,17 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.periods import year_of
 from ..functions.rates import mean1, pct
 from ..operators.cells import cancelled_pct, mean_delay, on_time_pct, roll_up
-from ..operators.derive import CATEGORY_COUNTS
+from ..operators.derive import CATEGORY_COUNTS, histogram
 from ..operators.median import upper_median
 from .facts import Facts
 
 
 def on_time_overall(facts: Facts) -> DataFrame:
     """On-time share among the comparable flights."""
-    comparable = roll_up(facts.cells.where(F.col("n_dep_delay") > 0))
-    return comparable.select(
+    return roll_up(facts.cells).select(
         F.coalesce(F.col("n_dep_delay"), F.lit(0)).alias("total_voos_comparaveis"),
-        F.col("n_dep_on_time").alias("pontuais"),
+        F.when(F.col("n_dep_delay") > 0, F.col("n_dep_on_time")).alias("pontuais"),
         on_time_pct().alias("taxa_pontualidade_pct"),
     )
 
@@ -39,16 +38,16 @@ def delay_mean_median(facts: Facts) -> DataFrame:
     One shuffle by delay minute feeds all three, so the reducers hold a few
     rows per distinct minute however many flights there are.
     """
-    histogram = facts.delays.groupBy("dep_delay_min").agg(F.sum("n").alias("n"))
-    median = upper_median(histogram, "dep_delay_min", "n").scalar()
+    by_delay = histogram(facts.delays)
+    median = upper_median(by_delay, "dep_delay_min", "n").scalar()
     return (
-        histogram.agg(
+        by_delay.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
             F.sum(F.col("dep_delay_min") * F.col("n")).alias("minutes"),
         )
         .select(
             F.col("n").alias("total_voos"),
-            mean1(F.col("minutes"), F.col("n")).alias("atraso_medio_min"),
+            mean1("minutes", "n").alias("atraso_medio_min"),
             median.alias("atraso_mediano_min"),
         )
     )
@@ -64,7 +63,7 @@ def delay_category_share(facts: Facts) -> DataFrame:
         .select(
             "categoria_atraso_partida",
             "total",
-            pct(F.col("total"), F.col("n")).alias("pct_do_total"),
+            pct("total", "n").alias("pct_do_total"),
         )
         .orderBy(F.desc("total"), "categoria_atraso_partida")
     )

@@ -25,7 +25,7 @@ def _missing_schedule(cells: DataFrame, *keys: str) -> DataFrame:
     return (
         cells.groupBy(*keys)
         .agg(total("n").alias("n"), total("n", F.col("weekday").isNull()).alias("missing"))
-        .withColumn("share", pct(F.col("missing"), F.col("n")))
+        .withColumn("share", pct("missing", "n"))
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cells import roll_up
-from ..operators.derive import CELL_KEYS
+from ..operators.derive import CELL_KEYS, histogram
 from ..operators.exclusion import phantom_pairs
 from ..sources.tables import read_months, write_months
 from ..vocabulary import PHANTOM_PCT
@@ -22,7 +22,7 @@ def rolled_cells(facts: Facts) -> DataFrame:
 
 def delay_histogram(facts: Facts) -> DataFrame:
     """Flights per month and departure delay, for the median."""
-    return facts.delays.groupBy("ref_month", "dep_delay_min").agg(F.sum("n").alias("n"))
+    return histogram(facts.delays, "ref_month")
 
 
 def write_rollup(facts: Facts, path: str, months: Iterable[str] | None = None) -> None:
