@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cells import roll_up
-from ..operators.derive import CELL_KEYS, histogram
+from ..operators.derive import CELL_KEYS, MAXIMA, MINIMA, SUMS, histogram
 from ..operators.exclusion import phantom_pairs
-from ..sources.tables import read_months, write_months
+from ..sources.tables import write_months
 from ..vocabulary import PHANTOM_PCT
 from .facts import Facts
 
+CELL_SCHEMA = ", ".join(
+    ["ref_month STRING", "weekday INT", "origin STRING", "dest STRING", "carrier STRING"]
+    + [f"{measure} BIGINT" for measure in SUMS]
+    + [f"{measure} TIMESTAMP_NTZ" for measure in (*MINIMA, *MAXIMA)]
+)
+DELAY_SCHEMA = "ref_month STRING, dep_delay_min BIGINT, n BIGINT"
+
 
 def rolled_cells(facts: Facts) -> DataFrame:
     """One row per month, weekday, origin, destination and carrier."""
@@ -41,7 +48,10 @@ def write_rollup(facts: Facts, path: str, months: Iterable[str] | None = None) -
 
 
 def read_rollup(spark: SparkSession, path: str) -> Facts:
-    return Facts(read_months(spark, f"{path}/cells"), read_months(spark, f"{path}/delays"))
+    return Facts(
+        spark.read.schema(CELL_SCHEMA).parquet(f"{path}/cells"),
+        spark.read.schema(DELAY_SCHEMA).parquet(f"{path}/delays"),
+    )
 
 
 def write_pairs(facts: Facts, path: str, threshold: float = PHANTOM_PCT) -> None:

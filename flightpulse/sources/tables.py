@@ -1,9 +1,15 @@
-"""The stored flights table: Parquet, one partition per reference month."""
+"""Stored tables: Parquet, one partition per reference month."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..vocabulary import SOURCE_COLUMNS, TIMESTAMP_COLUMNS
+
+FLIGHT_SCHEMA = ", ".join(
+    [f"{name} {'TIMESTAMP_NTZ' if name in TIMESTAMP_COLUMNS else 'STRING'}" for name in SOURCE_COLUMNS]
+    + ["ref_month STRING"]
+)
 
 
 def write_months(frame: DataFrame, path: str, replace_all: bool = True) -> None:
@@ -20,11 +26,6 @@ def write_months(frame: DataFrame, path: str, replace_all: bool = True) -> None:
     )
 
 
-def read_months(spark: SparkSession, path: str) -> DataFrame:
-    """The table at ``path``; ``ref_month`` is text whatever the partition names look like."""
-    return spark.read.parquet(path).withColumn("ref_month", F.col("ref_month").cast("string"))
-
-
 def write_flights(flights: DataFrame, path: str, replace_all: bool = True) -> None:
     """Store flights as read from monthly files.
 
@@ -34,4 +35,12 @@ def write_flights(flights: DataFrame, path: str, replace_all: bool = True) -> No
     write_months(flights, path, replace_all)
 
 
-read_flights = read_months
+def read_flights(spark: SparkSession, path: str, all_columns: bool = False) -> DataFrame:
+    """The columns the reports know, or every column any month was stored with.
+
+    The known columns are read with a fixed schema: no footer is opened to
+    plan a query, and months stored with other extra columns fit together.
+    """
+    if all_columns:
+        return spark.read.option("mergeSchema", True).parquet(path)
+    return spark.read.schema(FLIGHT_SCHEMA).parquet(path)
