@@ -103,7 +103,7 @@ def operational_cells(
 def operational_flights(flights: DataFrame, pairs: DataFrame) -> DataFrame:
     """Flight rows without the given pairs.
 
-    Pass a stored pair list (see ``plans.rollup``): its file size lets Spark
-    choose a broadcast before any flight is shuffled.
+    Pass a stored pair list (``plans.rollup.stored_pairs``): its file size lets
+    Spark choose a broadcast before any flight is shuffled.
     """
     return exclude_pairs(flights, pairs, "origin", "carrier")

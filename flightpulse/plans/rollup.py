@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.cells import roll_up
 from ..operators.derive import CELL_KEYS, MAXIMA, MINIMA, SUMS, histogram
 from ..operators.exclusion import phantom_pairs
+from ..session import shared_folder
 from ..sources.tables import write_months
 from ..vocabulary import PHANTOM_PCT
 from .facts import Facts
@@ -19,6 +20,7 @@ CELL_SCHEMA = ", ".join(
     + [f"{measure} BIGINT" for measure in SUMS]
     + [f"{measure} TIMESTAMP_NTZ" for measure in (*MINIMA, *MAXIMA)]
 )
+PAIR_SCHEMA = "origin STRING, carrier STRING"
 DELAY_SCHEMA = "ref_month STRING, dep_delay_min BIGINT, n BIGINT"
 
 
@@ -54,10 +56,20 @@ def read_rollup(spark: SparkSession, path: str) -> Facts:
     )
 
 
-def write_pairs(facts: Facts, path: str, threshold: float = PHANTOM_PCT) -> None:
-    """Store the phantom pair list so that its size is known before it is joined."""
-    phantom_pairs(facts.cells, threshold).write.mode("overwrite").parquet(path)
-
+def stored_pairs(
+    spark: SparkSession,
+    facts: Facts,
+    threshold: float = PHANTOM_PCT,
+    path: str | None = None,
+) -> DataFrame:
+    """The phantom pair list, written out before it is used.
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    A list derived on the fly has no known size when a plan is made, and a
+    join of flight rows with it would shuffle all flights. The stored list has
+    a file size: below Spark's threshold it is broadcast and no flight moves,
+    beyond it the join shuffles.
+    """
+    if path is None:
+        path = shared_folder(spark, "phantom-pairs")
+    phantom_pairs(facts.cells, threshold).write.mode("overwrite").parquet(path)
+    return spark.read.schema(PAIR_SCHEMA).parquet(path)

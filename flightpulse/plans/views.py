@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.derive import analytic, flight_cells
-from ..operators.exclusion import operational_flights, phantom_pairs
+from ..operators.derive import analytic
+from ..operators.exclusion import operational_flights
 from ..vocabulary import (
     ANALYTIC_VIEW,
     DERIVED_VIEW_COLUMNS,
@@ -14,6 +14,8 @@ from ..vocabulary import (
     REF_MONTH_SOURCE_NAME,
     SOURCE_COLUMNS,
 )
+from .facts import facts_from_flights
+from .rollup import stored_pairs
 
 
 def source_named(flights: DataFrame) -> DataFrame:
@@ -28,11 +30,11 @@ def register_views(
 ) -> None:
     """(Re)create the flights view, the analytic view and the operational view.
 
-    ``pairs`` may be a stored pair list; without one it is derived from the
-    flights whenever the operational view is read.
+    ``pairs`` is a stored pair list, for example one taken from the rollup;
+    without it the list is built from the flights here, once.
     """
     if pairs is None:
-        pairs = phantom_pairs(flight_cells(flights))
+        pairs = stored_pairs(spark, facts_from_flights(flights))
     rows = analytic(flights)
     for name, frame in (
         (FLIGHTS_VIEW, flights),

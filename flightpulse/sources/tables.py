@@ -29,8 +29,8 @@ def write_months(frame: DataFrame, path: str, replace_all: bool = True) -> None:
 def write_flights(flights: DataFrame, path: str, replace_all: bool = True) -> None:
     """Store flights as read from monthly files.
 
-    An input split belongs to one file and so to one month: writing needs no
-    shuffle, and every task writes into a single partition.
+    Writing needs no shuffle: a split of a large file belongs to one month, and
+    a task that reads several small files sorts its own rows by month.
     """
     write_months(flights, path, replace_all)
 

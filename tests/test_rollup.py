@@ -4,13 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from flightpulse.operators.derive import analytic
-from flightpulse.operators.exclusion import operational_flights
+from flightpulse.operators.exclusion import operational_cells, operational_flights
 from flightpulse.plans.catalog import REPORTS, report
 from flightpulse.plans.facts import facts_from_flights
-from flightpulse.plans.rollup import read_pairs, read_rollup, write_pairs, write_rollup
+from flightpulse.plans.rollup import read_rollup, stored_pairs, write_rollup
 from flightpulse.sources.monthly_csv import read_monthly_directory
 from flightpulse.sources.tables import read_flights, write_flights
 from flightpulse.streaming.monthly_ingest import ingest_new_files
+from plan_text import final_plan, nodes
 from test_monthly_csv import write_file
 
 SIZED = {"min_flights": 100}
@@ -62,16 +63,15 @@ def test_refresh_of_one_month(spark, flights, tmp_path):
 
 
 def test_stored_pair_list(spark, flights, direct, tmp_path):
-    path = str(tmp_path / "pairs")
-    write_pairs(direct, path)
-    kept = operational_flights(analytic(flights), read_pairs(spark, path))
-    from flightpulse.operators.exclusion import operational_cells
-
+    pairs = stored_pairs(spark, direct, path=str(tmp_path / "pairs"))
+    kept = operational_flights(analytic(flights), pairs)
     expected = operational_cells(direct.cells).agg(F.sum("n")).first()[0]
     assert kept.count() == expected
     # Its file size lets Spark broadcast the list: no flight is shuffled.
-    text = kept._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in text
+    lines = final_plan(kept)
+    assert not nodes(lines, "SortMergeJoin")
+    scan = next(i for i, line in enumerate(lines) if "lineitem" in line and "FileScan" in line)
+    assert not [line for line in lines[:scan] if "Exchange hashpartitioning" in line]
 
 
 def test_streaming_ingest_loads_each_month_once(spark, tmp_path):
