@@ -11,7 +11,8 @@ import csv
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from ..vocabulary import (
 # Shape of a timestamp text; the cast below checks the calendar.
 _TIMESTAMP_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
 _HEADER_LOOKAHEAD = 10
+_HEADERS_AT_ONCE = 8
 
 
 def month_of_file(path: str) -> str:
@@ -79,6 +81,16 @@ def parse_timestamp(text: Column) -> Column:
     return F.when(text.rlike(_TIMESTAMP_SHAPE), text.try_cast("timestamp_ntz"))
 
 
+def _text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _name(column: str) -> str:
+    """A quoted SQL identifier."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def _read_group(
     spark: SparkSession,
     paths: Sequence[str],
@@ -97,21 +109,20 @@ def _read_group(
         .option("header", True)
         .csv(list(paths))
     )
-    is_header = reduce(
-        lambda a, b: a & b,
-        [F.col(field).eqNullSafe(F.lit(name)) for field, name in zip(fields, header)],
-    )
-    fits = F.when(F.col("beyond").isNull(), F.lit(True)).otherwise(
-        F.raise_error(F.lit("a row has more fields than its header")).cast("boolean")
-    )
-    name = F.col("_metadata.file_name")
-    month = F.lpad(F.regexp_extract(name, MONTHLY_FILE_PATTERN, 2), 2, "0")
-    return raw.where(fits & ~is_header).select(
+    is_header = " AND ".join(f"{field} <=> {_text(name)}" for field, name in zip(fields, header))
+    missing = ", ".join(_text(token) for token in na_tokens) or "NULL"
+    month = f"regexp_extract(_metadata.file_name, {_text(MONTHLY_FILE_PATTERN)}, 2)"
+    return raw.where(
+        "CASE WHEN beyond IS NULL THEN true "
+        "ELSE raise_error('a row has more fields than its header') END "
+        f"AND NOT ({is_header})"
+    ).selectExpr(
         *[
-            F.when(~F.col(field).isin(list(na_tokens)), F.col(field)).alias(column)
+            f"CASE WHEN {field} IN ({missing}) THEN NULL ELSE {field} END AS {_name(column)}"
             for field, column in zip(fields, header)
         ],
-        F.concat_ws("-", F.regexp_extract(name, MONTHLY_FILE_PATTERN, 1), month).alias("ref_month"),
+        f"concat(regexp_extract(_metadata.file_name, {_text(MONTHLY_FILE_PATTERN)}, 1), "
+        f"'-', lpad({month}, 2, '0')) AS ref_month",
     )
 
 
@@ -123,14 +134,19 @@ def read_monthly_files(
 ) -> DataFrame:
     """Flights from the given files, columns matched by name.
 
-    The driver looks at one header line per file; files with the same header
-    are then read together, split and parsed in parallel. ``multi_line``
-    allows line breaks inside quotes, at the price of unsplittable files.
+    The driver looks at one header line per file, a few files at once; files
+    with the same header are then read together, split and parsed in parallel.
+    ``multi_line`` allows line breaks inside quotes, at the price of
+    unsplittable files.
     """
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    paths = list(paths)
     for path in paths:
         month_of_file(path)
-        groups[read_header(spark, path)].append(path)
+    with ThreadPoolExecutor(max_workers=_HEADERS_AT_ONCE) as pool:
+        headers = list(pool.map(partial(read_header, spark), paths))
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for header, path in zip(headers, paths):
+        groups[header].append(path)
     known = {name for header in groups for name in header}
     missing = [
         name for name in (*SOURCE_COLUMNS.values(), DROPPED_SOURCE_COLUMN) if name not in known
@@ -144,7 +160,7 @@ def read_monthly_files(
             _read_group(spark, group, header, na_tokens, multi_line)
             for header, group in groups.items()
         ],
-    ).drop(F.col(f"`{DROPPED_SOURCE_COLUMN}`"))
+    ).drop(F.col(_name(DROPPED_SOURCE_COLUMN)))
     flights = rows.withColumnsRenamed({name: ours for ours, name in SOURCE_COLUMNS.items()})
     return flights.withColumns({name: parse_timestamp(F.col(name)) for name in TIMESTAMP_COLUMNS})
 

@@ -80,6 +80,13 @@ def test_headers_in_any_order_and_extra_columns(spark, tmp_path):
     assert "Código Justificativa" not in rows[0].asDict()
 
 
+def test_awkward_names_and_tokens(spark, tmp_path):
+    odd = ["Nº. d'eq\\uip`", *HEADER]
+    write_file(tmp_path, "VRA_20241.csv", [{odd[0]: "x"}, {odd[0]: "it's"}, {odd[0]: "a\\b"}], odd)
+    rows = read_monthly_directory(spark, str(tmp_path), na_tokens=("", "it's", "a\\b")).collect()
+    assert sorted(str(row[odd[0]]) for row in rows) == ["None", "None", "x"]
+
+
 def test_missing_tokens_quotes_and_line_ends(spark, tmp_path):
     rows = [
         {"ICAO Empresa Aérea": "NA"},
@@ -98,6 +105,9 @@ def test_missing_tokens_quotes_and_line_ends(spark, tmp_path):
     assert {row.status for row in found} == {"REALIZADO"}
     kept = read_monthly_directory(spark, str(tmp_path), na_tokens=("",)).collect()
     assert {"NA", "null"} <= {row.carrier for row in kept}
+    assert {"NA", "null", ""} <= {
+        row.carrier for row in read_monthly_directory(spark, str(tmp_path), na_tokens=()).collect()
+    }
 
 
 @pytest.mark.parametrize(
@@ -141,6 +151,18 @@ def test_row_longer_than_header_is_an_error(spark, tmp_path):
         read_monthly_directory(spark, str(tmp_path)).collect()
 
 
+def test_line_break_inside_quotes(spark, tmp_path):
+    write_file(tmp_path, "VRA_20241.csv", [{"Situação Voo": '"NÃO\nINFORMADO"'}, {}])
+    rows = read_monthly_directory(spark, str(tmp_path), multi_line=True).collect()
+    assert sorted(row.status for row in rows) == ["NÃO\nINFORMADO", "REALIZADO"]
+
+
+def test_file_without_rows(spark, tmp_path):
+    write_file(tmp_path, "VRA_20241.csv", [])
+    write_file(tmp_path, "VRA_20242.csv", [{}])
+    assert [row.ref_month for row in read_monthly_directory(spark, str(tmp_path)).collect()] == ["2024-02"]
+
+
 def test_repeated_rows_are_kept(spark, tmp_path):
     write_file(tmp_path, "VRA_20241.csv", [{}, {}])
     write_file(tmp_path, "VRA_202401.csv", [{}])
