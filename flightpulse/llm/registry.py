@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from flightpulse.llm.block_naming import OP6_SQL, op6_exact_dedup
 from flightpulse.llm.mixing import OP1_SQL, op1_mix
 
-QUERIES = {"op1_mix": op1_mix}
-ORACLE_SQL = {"op1_mix": OP1_SQL}
+QUERIES = {"op1_mix": op1_mix, "op6_exact_dedup": op6_exact_dedup}
+ORACLE_SQL = {"op1_mix": OP1_SQL, "op6_exact_dedup": OP6_SQL}
