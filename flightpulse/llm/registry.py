@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from flightpulse.llm.block_naming import OP6_SQL, op6_exact_dedup
 from flightpulse.llm.mixing import OP1_SQL, op1_mix
+from flightpulse.llm.near_duplicates import op4_near_dedup
 
-QUERIES = {"op1_mix": op1_mix, "op6_exact_dedup": op6_exact_dedup}
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op4_near_dedup": op4_near_dedup,
+    "op6_exact_dedup": op6_exact_dedup,
+}
 ORACLE_SQL = {"op1_mix": OP1_SQL, "op6_exact_dedup": OP6_SQL}
