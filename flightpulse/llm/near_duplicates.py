@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightpulse.llm.components import connected_components
-from flightpulse.llm.shared import DOCUMENT, stored, table
+from flightpulse.llm.shared import DOCUMENT, stored, table, utf8
 
 #: A link needs 100 * intersection >= PERCENT * union of the sets of SHINGLE-word shingles.
 PERCENT = 80
@@ -105,21 +105,6 @@ def sketch(elements: np.ndarray, size: int) -> np.ndarray:
     return bins
 
 
-def _texts(column: pa.Array) -> Iterator[np.ndarray]:
-    """The UTF-8 bytes of each text; none for null."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_string())
-    if not len(column):
-        return
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
-    present = column.is_valid().to_numpy(zero_copy_only=False)
-    for i in range(len(column)):
-        yield whole[at[i] : at[i + 1]] if present[i] else whole[:0]
-
-
 def _key(elements: np.ndarray) -> bytes:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
@@ -129,7 +114,7 @@ def _sketched(words: int, bands: int, rows: int):
         powers = _Powers()
         for batch in batches:
             counts, keys, values = [], [], []
-            for data in _texts(batch.column("text")):
+            for data in utf8(batch.column("text")):
                 elements = shingle_set(data, words, powers)
                 counts.append(len(elements))
                 keys.append(_key(elements) if len(elements) else None)
@@ -161,7 +146,7 @@ def _sets(words: int):
         for batch in batches:
             keep, found = [], []
             wanted = batch.column("key").to_pylist()
-            for i, data in enumerate(_texts(batch.column("text"))):
+            for i, data in enumerate(utf8(batch.column("text"))):
                 elements = shingle_set(data, words, powers)
                 if len(elements) and _key(elements) == wanted[i]:
                     keep.append(wanted[i])

@@ -5,10 +5,12 @@ from __future__ import annotations
 from flightpulse.llm.block_naming import OP6_SQL, op6_exact_dedup
 from flightpulse.llm.mixing import OP1_SQL, op1_mix
 from flightpulse.llm.near_duplicates import op4_near_dedup
+from flightpulse.llm.token_counts import op8_token_counts
 
 QUERIES = {
     "op1_mix": op1_mix,
     "op4_near_dedup": op4_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_token_counts": op8_token_counts,
 }
 ORACLE_SQL = {"op1_mix": OP1_SQL, "op6_exact_dedup": OP6_SQL}

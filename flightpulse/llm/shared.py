@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +46,54 @@ def stored(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def utf8(column: pa.Array) -> Iterator[np.ndarray]:
+    """The UTF-8 bytes of each text; none for null."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_string())
+    if not len(column):
+        return
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    present = column.is_valid().to_numpy(zero_copy_only=False)
+    for i in range(len(column)):
+        yield whole[at[i] : at[i + 1]] if present[i] else whole[:0]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: int) -> tuple[DataFrame, dict[int, float]]:
+    """doc_id, label, text of at most `per_class` labelled documents of either class, and each class's weight.
+
+    The rows with the smallest hash of doc_id are taken of those whose doc_id passes `learn` and whose label is
+    0 or 1; a doc_id with both labels counts as 1. A class's weight is the number of labels that each of
+    its sampled rows stands for. The sample's ids are the only thing that is broadcast.
+    """
+    known = labels.select("doc_id", F.col(column).cast("int").alias("label")).where(learn & F.col("label").isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    counts = {row["label"]: row["n"] for row in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
+    return sample, {k: max(1.0, n / per_class) for k, n in counts.items()}
+
+
+def fitted_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-6, steps: int = 50) -> np.ndarray:
+    """Coefficients, the intercept last, of a logistic regression by Newton's method."""
+    design = np.column_stack([x, np.ones(len(x))])
+    beta = np.zeros(design.shape[1])
+    penalty = decay * len(x) * np.eye(len(beta))
+    penalty[-1, -1] = 1e-6
+    for _ in range(steps):
+        p = logistic(design @ beta)
+        slope = design.T @ (weight * (y - p)) - penalty @ beta
+        curve = (design * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ design + penalty
+        step = np.linalg.solve(curve, slope)
+        beta += step * min(1.0, 4.0 / np.abs(step).max()) if step.any() else 0
+        if np.abs(step).max() < 1e-8:
+            break
+    return beta
+
+
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -40.0, 40.0)))
