@@ -5,11 +5,13 @@ from __future__ import annotations
 from flightpulse.llm.block_naming import OP6_SQL, op6_exact_dedup
 from flightpulse.llm.mixing import OP1_SQL, op1_mix
 from flightpulse.llm.near_duplicates import op4_near_dedup
+from flightpulse.llm.quality import op2_quality
 from flightpulse.llm.token_counts import op8_token_counts
 from flightpulse.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
