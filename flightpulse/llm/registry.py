@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from flightpulse.llm.block_naming import OP6_SQL, op6_exact_dedup
+from flightpulse.llm.language import op9_language
 from flightpulse.llm.mixing import OP1_SQL, op1_mix
 from flightpulse.llm.near_duplicates import op4_near_dedup
 from flightpulse.llm.quality import op2_quality
@@ -16,5 +17,6 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_language": op9_language,
 }
 ORACLE_SQL = {"op1_mix": OP1_SQL, "op6_exact_dedup": OP6_SQL}
