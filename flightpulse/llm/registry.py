@@ -7,6 +7,7 @@ from flightpulse.llm.language import op9_language
 from flightpulse.llm.mixing import OP1_SQL, op1_mix
 from flightpulse.llm.near_duplicates import op4_near_dedup
 from flightpulse.llm.neighbours import op7_neighbours
+from flightpulse.llm.packing import op5_packing
 from flightpulse.llm.quality import op2_quality
 from flightpulse.llm.token_counts import op8_token_counts
 from flightpulse.llm.toxicity import op3_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
+    "op5_packing": op5_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_neighbours": op7_neighbours,
     "op8_token_counts": op8_token_counts,
