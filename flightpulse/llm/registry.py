@@ -9,6 +9,7 @@ from flightpulse.llm.near_duplicates import op4_near_dedup
 from flightpulse.llm.neighbours import op7_neighbours
 from flightpulse.llm.packing import op5_packing
 from flightpulse.llm.quality import op2_quality
+from flightpulse.llm.secrets import op10_secrets
 from flightpulse.llm.token_counts import op8_token_counts
 from flightpulse.llm.toxicity import op3_toxicity
 
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_neighbours": op7_neighbours,
     "op8_token_counts": op8_token_counts,
     "op9_language": op9_language,
+    "op10_secrets": op10_secrets,
 }
 ORACLE_SQL = {"op1_mix": OP1_SQL, "op6_exact_dedup": OP6_SQL}
