@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +31,12 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts, F.lit(-1)).cast("int")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read from there, which ends its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder for intermediate tables, which all machines see.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset, a local session gets a
-    folder of its own; a cluster must name one that all its machines see.
+    It is spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; a
+    cluster must name one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,9 +45,22 @@ def stored(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` kept in the shared folder, which ends its lineage; Spark removes it when nothing refers to it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, read from there; it goes when that folder is cleared."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def utf8(column: pa.Array) -> Iterator[np.ndarray]:
     """The UTF-8 bytes of each text; none for null."""
     if isinstance(column, pa.ChunkedArray):
