@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -49,7 +50,7 @@ class PieceCounter:
         unknown = [early(chr(c)) in ("Cn", "Cs") for c in range(1 << 16)] + [True]
         edges = [c for c in range(1, 1 << 16) if unknown[c] != unknown[c - 1]]
         ranges = zip(edges[::2], edges[1::2] + [1 << 16])
-        self.young = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in ranges) + "\\U00010000-\\U0010ffff]")
+        self.young = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in ranges) + "\\U00010000-\\U0010ffff]")
         self.known: dict[str, int] = {}
 
     def split(self, text: str) -> Iterator[str]:
