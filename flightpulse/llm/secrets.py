@@ -165,7 +165,7 @@ def fitted_tree(x: np.ndarray, y: np.ndarray, draw: np.random.Generator) -> list
                     impurity = a * (1 - a / cuts) + b * (1 - b / (len(rows) - cuts))
                     k = int(impurity.argmin())
                     if impurity[k] < best[0]:
-                        best = (impurity[k], int(f), float((values[cuts[k] - 1] + values[cuts[k]]) / 2))
+                        best = (impurity[k], int(f), float(values[cuts[k] - 1]))
         if best[1] >= 0:
             goes = x[rows, best[1]] <= best[2]
             nodes[at] = (best[1], best[2], grow(rows[goes], depth + 1), grow(rows[~goes], depth + 1), share)
