@@ -2,8 +2,8 @@
 
 from .plans.catalog import REPORTS, report
 from .plans.facts import Facts, facts_from_flights
-from .plans.rollup import read_rollup, write_rollup
-from .plans.views import register_views
+from .plans.rollup import read_pair_totals, read_rollup, write_rollup
+from .plans.views import refresh_views, register_views
 from .sources.monthly_csv import read_monthly_directory, read_monthly_files
 from .sources.tables import read_flights, write_flights
 
@@ -14,7 +14,9 @@ __all__ = [
     "read_flights",
     "read_monthly_directory",
     "read_monthly_files",
+    "read_pair_totals",
     "read_rollup",
+    "refresh_views",
     "register_views",
     "report",
     "write_flights",

@@ -16,7 +16,10 @@ from ..vocabulary import (
 
 # Keys of the additive rollup. ``weekday`` (0 = Sunday) is null when no
 # departure was scheduled.
-CELL_KEYS = ("ref_month", "weekday", "origin", "dest", "carrier")
+CELL_KEYS = ("ref_month", "weekday", "origin", "carrier")
+# Keys of the additive rollup by destination, which no other report needs.
+ARRIVAL_KEYS = ("ref_month", "dest")
+PAIR_KEYS = ("ref_month", "origin", "carrier")
 
 # One count per departure category, in the order the categories are tested.
 CATEGORY_COUNTS = {

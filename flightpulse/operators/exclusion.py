@@ -73,7 +73,8 @@ def exclude_pairs(rows: DataFrame, pairs: DataFrame, first: str, second: str) ->
 def phantom_pairs(cells: DataFrame, threshold: float = PHANTOM_PCT) -> DataFrame:
     """(origin, carrier) pairs whose unrounded cancellation share reaches the threshold."""
     return (
-        roll_up(cells, "origin", "carrier")
+        cells.groupBy("origin", "carrier")
+        .agg(F.sum("n").alias("n"), F.sum("n_cancelled").alias("n_cancelled"))
         .where(F.col("n_cancelled") * 100 >= F.col("n") * F.lit(threshold))
         .select("origin", "carrier")
     )
@@ -82,6 +83,7 @@ def phantom_pairs(cells: DataFrame, threshold: float = PHANTOM_PCT) -> DataFrame
 def operational_cells(
     cells: DataFrame,
     *keys: str | Column,
+    totals: DataFrame | None = None,
     threshold: float = PHANTOM_PCT,
     only: Column | None = None,
 ) -> DataFrame:
@@ -89,12 +91,13 @@ def operational_cells(
 
     Flights are added up before the exclusion, so its joins see a few rows per
     pair instead of every flight. ``only`` restricts the result, never the
-    pair list, which always comes from all cells.
+    pair list, which always comes from all cells, or from ``totals`` that hold
+    the flights and cancellations of every pair.
     """
     wanted = cells if only is None else cells.where(only)
     return exclude_pairs(
         roll_up(wanted, "origin", "carrier", *keys),
-        phantom_pairs(cells, threshold),
+        phantom_pairs(cells if totals is None else totals, threshold),
         "origin",
         "carrier",
     )
@@ -103,7 +106,7 @@ def operational_cells(
 def operational_flights(flights: DataFrame, pairs: DataFrame) -> DataFrame:
     """Flight rows without the given pairs.
 
-    Pass a stored pair list (``plans.rollup.stored_pairs``): its file size lets
-    Spark choose a broadcast before any flight is shuffled.
+    A list derived from stored pair totals is small by its file size, which
+    lets Spark choose a broadcast before any flight is shuffled.
     """
     return exclude_pairs(flights, pairs, "origin", "carrier")

@@ -43,7 +43,7 @@ def _origin_months(facts: Facts, min_flights: int, k: int, phantom_pct: float) -
     second look at the flights and no join back.
     """
     monthly = roll_up(
-        operational_cells(facts.cells, "ref_month", threshold=phantom_pct), "origin", "ref_month"
+        operational_cells(facts.cells, "ref_month", totals=facts.pairs, threshold=phantom_pct), "origin", "ref_month"
     )
     per_origin = monthly.groupBy("origin").agg(
         F.sum("n").alias("flights"),
@@ -99,7 +99,7 @@ def _origin_profiles(
     """
     monthly = roll_up(
         operational_cells(
-            facts.cells, month_of(F.col("ref_month")).alias("mes"), threshold=phantom_pct, only=only
+            facts.cells, month_of(F.col("ref_month")).alias("mes"), totals=facts.pairs, threshold=phantom_pct, only=only
         ),
         "origin",
         "mes",
@@ -212,5 +212,5 @@ def dash_origin_month_grid(facts: Facts, **params) -> DataFrame:
         cells.groupBy("nome_aeroporto", "variacao_dez_pp")
         .pivot("nome_mes", list(MONTH_LABELS.values()))
         .agg(F.max("pontualidade"))
-        .orderBy("variacao_dez_pp", "nome_aeroporto")
+        .orderBy(F.asc_nulls_last("variacao_dez_pp"), "nome_aeroporto")
     )

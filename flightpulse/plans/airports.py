@@ -69,7 +69,7 @@ def origin_most_delayed(facts: Facts, min_flights: int = MIN_FLIGHTS, k: int = 1
 def dest_worst_arrival(facts: Facts, min_flights: int = MIN_FLIGHTS, k: int = 10) -> DataFrame:
     """Destinations by arrival punctuality; cancellation still by flight status."""
     ranked = (
-        roll_up(facts.cells, F.col("dest").alias("aeroporto"))
+        roll_up(facts.arrivals, F.col("dest").alias("aeroporto"))
         .where(F.col("n") >= min_flights)
         .select(
             "aeroporto",
@@ -108,7 +108,8 @@ def origin_volume_vs_on_time(facts: Facts, min_flights: int = MIN_FLIGHTS, k: in
 def phantom_pairs_audit(facts: Facts, threshold: float = PHANTOM_PCT_AUDIT) -> DataFrame:
     """Pairs whose *rounded* cancellation percentage reaches the threshold."""
     return (
-        roll_up(facts.cells, "origin", "carrier")
+        facts.pairs.groupBy("origin", "carrier")
+        .agg(F.sum("n").alias("n"), F.sum("n_cancelled").alias("n_cancelled"))
         .select(
             F.col("origin").alias("aeroporto"),
             F.col("carrier").alias("empresa"),
@@ -127,7 +128,7 @@ def origin_worst_on_time_clean(
     k: int = 10,
     threshold: float = PHANTOM_PCT_AUDIT,
 ) -> DataFrame:
-    kept = operational_cells(facts.cells, threshold=threshold)
+    kept = operational_cells(facts.cells, totals=facts.pairs, threshold=threshold)
     return top(_full(_origins(kept, min_flights)), F.asc("taxa_pontualidade_pct"), k, "aeroporto")
 
 
@@ -137,6 +138,6 @@ def origin_most_cancelled_clean(
     k: int = 10,
     threshold: float = PHANTOM_PCT_AUDIT,
 ) -> DataFrame:
-    kept = operational_cells(facts.cells, threshold=threshold)
+    kept = operational_cells(facts.cells, totals=facts.pairs, threshold=threshold)
     ranked = _cancellations(_origins(kept, min_flights))
     return top(ranked, F.desc("taxa_cancelamento_pct"), k, "aeroporto")

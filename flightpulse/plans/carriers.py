@@ -20,7 +20,7 @@ def complete_enough(min_flights: int, min_completeness: float):
 
 
 def _carriers(facts: Facts, phantom_pct: float) -> DataFrame:
-    kept = operational_cells(facts.cells, threshold=phantom_pct)
+    kept = operational_cells(facts.cells, totals=facts.pairs, threshold=phantom_pct)
     return roll_up(kept, F.col("carrier").alias("empresa"))
 
 
@@ -122,7 +122,7 @@ def carrier_december_delta(
     """
     in_focus = F.col("mes") == focus_month
     kept = operational_cells(
-        facts.cells, month_of(F.col("ref_month")).alias("mes"), threshold=phantom_pct
+        facts.cells, month_of(F.col("ref_month")).alias("mes"), totals=facts.pairs, threshold=phantom_pct
     )
     by_carrier = (
         kept.groupBy(F.col("carrier").alias("empresa"))
@@ -158,7 +158,7 @@ def carrier_year_evolution(
 ) -> DataFrame:
     """Two years side by side, largest punctuality gain first."""
     kept = operational_cells(
-        facts.cells, year_of(F.col("ref_month")).alias("ano"), threshold=phantom_pct
+        facts.cells, year_of(F.col("ref_month")).alias("ano"), totals=facts.pairs, threshold=phantom_pct
     )
     per_year = []
     for year in years:

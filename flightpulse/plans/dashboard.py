@@ -86,7 +86,7 @@ def dash_by_weekday(
 def _operational_of_years(facts: Facts, years: Sequence[str], phantom_pct: float) -> DataFrame:
     """Operational cells of the years; the pair list still comes from all years."""
     return operational_cells(
-        facts.cells, threshold=phantom_pct, only=in_years(F.col("ref_month"), years)
+        facts.cells, totals=facts.pairs, threshold=phantom_pct, only=in_years(F.col("ref_month"), years)
     )
 
 

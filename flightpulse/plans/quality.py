@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rates import pct
 from ..operators.cells import roll_up, total
-from ..vocabulary import CATEGORY_NO_SCHEDULE, REF_MONTH_SOURCE_NAME
+from ..vocabulary import CATEGORY_NO_SCHEDULE, LOW_VOLUME_PCT, REF_MONTH_SOURCE_NAME
 from .facts import Facts
 from .kpis import delay_category_share
 
@@ -67,20 +67,30 @@ def unscheduled_flights(facts: Facts) -> DataFrame:
 def origin_month_coverage(facts: Facts) -> DataFrame:
     """Months in which each origin has flights, against the months in the data.
 
-    An origin with fewer months, or with a month far below its others, had its
-    operation interrupted and is not comparable month by month.
+    An origin with fewer months, or with months below LOW_VOLUME_PCT percent of
+    its own typical month (the upper median), had its operation interrupted
+    and is not comparable month by month. One grouping gives both: an origin
+    carries one entry per month, and the months of all origins meet in one row
+    per airport code.
     """
     monthly = facts.cells.groupBy("origin", "ref_month").agg(total("n").alias("n"))
-    months_in_data = monthly.agg(F.count_distinct("ref_month").alias("months")).scalar()
+    origins = monthly.groupBy(F.col("origin").alias("aeroporto")).agg(
+        F.sum("n").alias("total_voos"),
+        F.count(F.lit(1)).alias("meses_com_voos"),
+        F.min("n").alias("menor_volume_mes"),
+        F.max("n").alias("maior_volume_mes"),
+        F.sort_array(F.collect_list("n")).alias("volumes"),
+        F.collect_set("ref_month").alias("months"),
+    )
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    all_months = F.array_distinct(F.flatten(F.collect_list("months").over(every)))
+    typical = F.expr("element_at(volumes, CAST(size(volumes) div 2 + 1 AS INT))")
+    low = F.expr(f"size(filter(volumes, v -> v * 100 < volume_tipico_mes * {LOW_VOLUME_PCT}))")
     return (
-        monthly.groupBy(F.col("origin").alias("aeroporto"))
-        .agg(
-            F.sum("n").alias("total_voos"),
-            F.count(F.lit(1)).alias("meses_com_voos"),
-            F.min("n").alias("menor_volume_mes"),
-            F.max("n").alias("maior_volume_mes"),
-        )
-        .withColumn("meses_no_periodo", months_in_data)
+        origins.withColumn("meses_no_periodo", F.size(all_months).cast("bigint"))
         .withColumn("interrompido", F.col("meses_com_voos") < F.col("meses_no_periodo"))
+        .withColumn("volume_tipico_mes", typical)
+        .withColumn("meses_baixo_volume", low.cast("bigint"))
+        .drop("volumes", "months")
         .orderBy("aeroporto")
     )

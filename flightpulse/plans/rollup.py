@@ -8,27 +8,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cells import roll_up
-from ..operators.derive import CELL_KEYS, MAXIMA, MINIMA, SUMS, histogram
-from ..operators.exclusion import phantom_pairs
-from ..session import shared_folder
+from ..operators.derive import ARRIVAL_KEYS, CELL_KEYS, MAXIMA, MINIMA, PAIR_KEYS, SUMS, histogram
 from ..sources.tables import write_months
-from ..vocabulary import PHANTOM_PCT
 from .facts import Facts
 
+_MEASURES = [f"{measure} BIGINT" for measure in SUMS] + [
+    f"{measure} TIMESTAMP_NTZ" for measure in (*MINIMA, *MAXIMA)
+]
 CELL_SCHEMA = ", ".join(
-    ["ref_month STRING", "weekday INT", "origin STRING", "dest STRING", "carrier STRING"]
-    + [f"{measure} BIGINT" for measure in SUMS]
-    + [f"{measure} TIMESTAMP_NTZ" for measure in (*MINIMA, *MAXIMA)]
+    ["ref_month STRING", "weekday INT", "origin STRING", "carrier STRING", *_MEASURES]
 )
-PAIR_SCHEMA = "origin STRING, carrier STRING"
+ARRIVAL_SCHEMA = ", ".join(["ref_month STRING", "dest STRING", *_MEASURES])
+PAIR_SCHEMA = "ref_month STRING, origin STRING, carrier STRING, n BIGINT, n_cancelled BIGINT"
 DELAY_SCHEMA = "ref_month STRING, dep_delay_min BIGINT, n BIGINT"
 
 
 def rolled_cells(facts: Facts) -> DataFrame:
-    """One row per month, weekday, origin, destination and carrier."""
+    """One row per month, weekday, origin and carrier."""
     return roll_up(facts.cells, *CELL_KEYS)
 
 
+def rolled_arrivals(facts: Facts) -> DataFrame:
+    """One row per month and destination."""
+    return roll_up(facts.arrivals, *ARRIVAL_KEYS)
+
+
+def pair_totals(facts: Facts) -> DataFrame:
+    """Flights and cancellations per month, origin and carrier: what the phantom pairs follow from."""
+    return facts.pairs.groupBy(*PAIR_KEYS).agg(
+        F.sum("n").alias("n"), F.sum("n_cancelled").alias("n_cancelled")
+    )
+
+
 def delay_histogram(facts: Facts) -> DataFrame:
     """Flights per month and departure delay, for the median."""
     return histogram(facts.delays, "ref_month")
@@ -43,9 +54,13 @@ def write_rollup(facts: Facts, path: str, months: Iterable[str] | None = None) -
     """
     replace_all = months is None
     if not replace_all:
-        wanted = F.col("ref_month").isin(list(months))
-        facts = Facts(facts.cells.where(wanted), facts.delays.where(wanted))
-    for name, frame in (("cells", rolled_cells(facts)), ("delays", delay_histogram(facts))):
+        facts = facts.where(F.col("ref_month").isin(list(months)))
+    for name, frame in (
+        ("cells", rolled_cells(facts)),
+        ("arrivals", rolled_arrivals(facts)),
+        ("delays", delay_histogram(facts)),
+        ("pairs", pair_totals(facts)),
+    ):
         write_months(frame.hint("rebalance", "ref_month"), f"{path}/{name}", replace_all)
 
 
@@ -53,23 +68,10 @@ def read_rollup(spark: SparkSession, path: str) -> Facts:
     return Facts(
         spark.read.schema(CELL_SCHEMA).parquet(f"{path}/cells"),
         spark.read.schema(DELAY_SCHEMA).parquet(f"{path}/delays"),
+        spark.read.schema(ARRIVAL_SCHEMA).parquet(f"{path}/arrivals"),
+        read_pair_totals(spark, path),
     )
 
 
-def stored_pairs(
-    spark: SparkSession,
-    facts: Facts,
-    threshold: float = PHANTOM_PCT,
-    path: str | None = None,
-) -> DataFrame:
-    """The phantom pair list, written out before it is used.
-
-    A list derived on the fly has no known size when a plan is made, and a
-    join of flight rows with it would shuffle all flights. The stored list has
-    a file size: below Spark's threshold it is broadcast and no flight moves,
-    beyond it the join shuffles.
-    """
-    if path is None:
-        path = shared_folder(spark, "phantom-pairs")
-    phantom_pairs(facts.cells, threshold).write.mode("overwrite").parquet(path)
-    return spark.read.schema(PAIR_SCHEMA).parquet(path)
+def read_pair_totals(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PAIR_SCHEMA).parquet(f"{path}/pairs")

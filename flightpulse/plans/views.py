@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.derive import analytic
-from ..operators.exclusion import operational_flights
+from ..operators.derive import analytic, flight_cells
+from ..operators.exclusion import operational_flights, phantom_pairs
 from ..vocabulary import (
     ANALYTIC_VIEW,
     DERIVED_VIEW_COLUMNS,
@@ -14,8 +14,6 @@ from ..vocabulary import (
     REF_MONTH_SOURCE_NAME,
     SOURCE_COLUMNS,
 )
-from .facts import facts_from_flights
-from .rollup import stored_pairs
 
 
 def source_named(flights: DataFrame) -> DataFrame:
@@ -26,15 +24,16 @@ def source_named(flights: DataFrame) -> DataFrame:
 
 
 def register_views(
-    spark: SparkSession, flights: DataFrame, pairs: DataFrame | None = None
+    spark: SparkSession, flights: DataFrame, totals: DataFrame | None = None
 ) -> None:
     """(Re)create the flights view, the analytic view and the operational view.
 
-    ``pairs`` is a stored pair list, for example one taken from the rollup;
-    without it the list is built from the flights here, once.
+    Nothing runs here: the pair list is worked out each time the operational
+    view is read, from ``totals`` (``read_pair_totals`` of a rollup, small
+    beside the flights) or, without it, from the flights. After stored months
+    changed, ``refresh_views`` makes the same views see them.
     """
-    if pairs is None:
-        pairs = stored_pairs(spark, facts_from_flights(flights))
+    pairs = phantom_pairs(flight_cells(flights) if totals is None else totals)
     rows = analytic(flights)
     for name, frame in (
         (FLIGHTS_VIEW, flights),
@@ -42,3 +41,10 @@ def register_views(
         (OPERATIONAL_VIEW, operational_flights(rows, pairs)),
     ):
         source_named(frame).createOrReplaceTempView(name)
+
+
+def refresh_views(spark: SparkSession) -> None:
+    """Let the registered views list the files of their stored tables anew."""
+    for name in (FLIGHTS_VIEW, ANALYTIC_VIEW, OPERATIONAL_VIEW):
+        if spark.catalog.tableExists(name):
+            spark.catalog.refreshTable(name)

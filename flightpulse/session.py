@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 
 # AQE picks join sides and partition counts from real sizes, which every plan
@@ -34,22 +31,6 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "flight
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder every executor can reach.
-
-    The cluster names it in ``spark.checkpoint.dir``; a local run without one
-    gets a temporary folder.
-    """
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if root is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="flightpulse-"))
-        root = context.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def cluster_session(app: str = "flightpulse") -> SparkSession:
     """Session on a cluster: only fills in what spark-submit left open."""
     session = SparkSession.builder.appName(app).getOrCreate()

@@ -28,7 +28,8 @@ from ..vocabulary import (
 
 # Shape of a timestamp text; the cast below checks the calendar.
 _TIMESTAMP_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
-_HEADER_LOOKAHEAD = 10
+# One field of a raw line: quoted, with doubled quotes inside, or plain.
+_FIELD = r'(?:^|;)(?:"(?:[^"]|"")*+"[^;]*|[^";][^;]*)?'
 _HEADERS_AT_ONCE = 8
 
 
@@ -55,23 +56,38 @@ def list_monthly_files(spark: SparkSession, directory: str) -> list[str]:
     return sorted((row.path for row in found), key=lambda path: (month_of_file(path), path))
 
 
-def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names of one file: the first line with text after the preamble.
+def read_header_fields(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Fields of the header line: the first line with text after the preamble.
 
-    Reads the start of the file only.
+    Reads the start of the file only, ten times as far again while there are
+    nothing but blank lines.
     """
-    lines = spark.read.text(path).head(_HEADER_LOOKAHEAD)
-    text = next((row.value for row in lines[1:] if row.value.strip()), None)
-    if text is None:
-        raise ValueError(f"no header line in {path}")
+    reach = 10
+    while True:
+        lines = spark.read.text(path).head(reach)
+        text = next((row.value for row in lines[1:] if row.value.strip()), None)
+        if text is not None:
+            return tuple(next(csv.reader([text], delimiter=";")))
+        if len(lines) < reach:
+            raise ValueError(f"no header line in {path}")
+        reach *= 10
+
+
+def column_names(fields: Sequence[str]) -> tuple[str, ...]:
+    """Distinct column names: a repeated or empty field gets its count or place."""
     names: list[str] = []
-    for position, name in enumerate(next(csv.reader([text], delimiter=";"))):
+    for position, name in enumerate(fields):
         name = name or f"Unnamed: {position}"
         repeats = sum(1 for known in names if known == name or known.startswith(f"{name}."))
         names.append(f"{name}.{repeats}" if name in names else name)
     return tuple(names)
 
 
+def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names of one file."""
+    return column_names(read_header_fields(spark, path))
+
+
 def parse_timestamp(text: Column) -> Column:
     """TIMESTAMP_NTZ from ``yyyy-M-d H:m:s`` text; null for anything else.
 
@@ -91,6 +107,47 @@ def _name(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def month_of_name(file_name: str) -> str:
+    """SQL of ``yyyy-MM`` from a SQL expression for a file name."""
+    year, month = (f"regexp_extract({file_name}, {_text(MONTHLY_FILE_PATTERN)}, {n})" for n in (1, 2))
+    return f"concat({year}, '-', lpad({month}, 2, '0'))"
+
+
+def named_rows(
+    rows: DataFrame,
+    columns: dict[str, str],
+    file_name: str,
+    na_tokens: Sequence[str] = NA_TOKENS,
+) -> DataFrame:
+    """Text fields under their column names, missing-value texts as null, and ``ref_month``.
+
+    ``columns`` maps fields of ``rows`` to names; ``file_name`` is SQL.
+    """
+    missing = ", ".join(_text(token) for token in na_tokens) or "NULL"
+    return rows.selectExpr(
+        *[
+            f"CASE WHEN {_name(field)} IN ({missing}) THEN NULL ELSE {_name(field)} END AS {_name(column)}"
+            for field, column in columns.items()
+        ],
+        f"{month_of_name(file_name)} AS ref_month",
+    )
+
+
+def flights_of_named_rows(parts: Sequence[DataFrame]) -> DataFrame:
+    """Flights from parts whose columns differ in order and kind, matched by name."""
+    known = {name for part in parts for name in part.columns}
+    missing = [
+        name for name in (*SOURCE_COLUMNS.values(), DROPPED_SOURCE_COLUMN) if name not in known
+    ]
+    if missing:
+        raise ValueError(f"columns missing from the monthly files: {missing}")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    flights = rows.drop(F.col(_name(DROPPED_SOURCE_COLUMN))).withColumnsRenamed(
+        {name: ours for ours, name in SOURCE_COLUMNS.items()}
+    )
+    return flights.withColumns({name: parse_timestamp(F.col(name)) for name in TIMESTAMP_COLUMNS})
+
+
 def _read_group(
     spark: SparkSession,
     paths: Sequence[str],
@@ -98,31 +155,47 @@ def _read_group(
     na_tokens: Sequence[str],
     multi_line: bool,
 ) -> DataFrame:
-    """Files that share one header, as text columns plus ``ref_month``."""
+    """Files that share one header, as text columns plus ``ref_month``.
+
+    The reader keeps the raw line of a row whose number of fields is not the
+    header's; such a row is an error if it has more. One row per file is its
+    header. Rows that repeat it are data: since all of them are the same, they
+    are counted per file and all but one are put back.
+    """
     fields = [f"c{position}" for position in range(len(header))]
     raw = (
-        spark.read.schema(", ".join(f"{field} STRING" for field in [*fields, "beyond"]))
+        spark.read.schema(", ".join(f"{field} STRING" for field in [*fields, "raw_line"]))
         .option("sep", ";")
         .option("escape", '"')
         .option("multiLine", multi_line)
+        .option("columnNameOfCorruptRecord", "raw_line")
         # With a given schema this skips the first line of every file: the preamble.
         .option("header", True)
         .csv(list(paths))
     )
-    is_header = " AND ".join(f"{field} <=> {_text(name)}" for field, name in zip(fields, header))
-    missing = ", ".join(_text(token) for token in na_tokens) or "NULL"
-    month = f"regexp_extract(_metadata.file_name, {_text(MONTHLY_FILE_PATTERN)}, 2)"
-    return raw.where(
-        "CASE WHEN beyond IS NULL THEN true "
+    is_header = " AND ".join(
+        f"{field} <=> {_text(name) if name else 'NULL'}" for field, name in zip(fields, header)
+    )
+    columns = dict(zip(fields, column_names(header)))
+    # The test reads all fields, so the raw line is there whatever columns a caller selects.
+    data = raw.where(
+        f"CASE WHEN raw_line IS NULL OR regexp_count(raw_line, {_text(_FIELD)}) <= {len(fields)} THEN true "
         "ELSE raise_error('a row has more fields than its header') END "
         f"AND NOT ({is_header})"
-    ).selectExpr(
-        *[
-            f"CASE WHEN {field} IN ({missing}) THEN NULL ELSE {field} END AS {_name(column)}"
-            for field, column in zip(fields, header)
-        ],
-        f"concat(regexp_extract(_metadata.file_name, {_text(MONTHLY_FILE_PATTERN)}, 1), "
-        f"'-', lpad({month}, 2, '0')) AS ref_month",
+    )
+    repeats = (
+        raw.where(is_header)
+        .groupBy("_metadata.file_path", "_metadata.file_name")
+        .agg(F.count("*").alias("n"))
+        .where("n > 1")
+        .selectExpr("file_name", "explode(sequence(2, n)) AS repeat")
+        .selectExpr(
+            "file_name",
+            *[f"{_text(name) if name else 'CAST(NULL AS STRING)'} AS {field}" for field, name in zip(fields, header)],
+        )
+    )
+    return named_rows(data, columns, "_metadata.file_name", na_tokens).unionAll(
+        named_rows(repeats, columns, "file_name", na_tokens)
     )
 
 
@@ -136,33 +209,21 @@ def read_monthly_files(
 
     The driver looks at one header line per file, a few files at once; files
     with the same header are then read together, split and parsed in parallel.
-    ``multi_line`` allows line breaks inside quotes, at the price of
-    unsplittable files.
+    A row shorter than its header is filled with nulls, a longer one, be its
+    surplus empty, is an error. ``multi_line`` allows line breaks inside
+    quotes, at the price of unsplittable files.
     """
     paths = list(paths)
     for path in paths:
         month_of_file(path)
     with ThreadPoolExecutor(max_workers=_HEADERS_AT_ONCE) as pool:
-        headers = list(pool.map(partial(read_header, spark), paths))
+        headers = list(pool.map(partial(read_header_fields, spark), paths))
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
     for header, path in zip(headers, paths):
         groups[header].append(path)
-    known = {name for header in groups for name in header}
-    missing = [
-        name for name in (*SOURCE_COLUMNS.values(), DROPPED_SOURCE_COLUMN) if name not in known
-    ]
-    if missing:
-        raise ValueError(f"columns missing from the monthly files: {missing}")
-
-    rows = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [
-            _read_group(spark, group, header, na_tokens, multi_line)
-            for header, group in groups.items()
-        ],
-    ).drop(F.col(_name(DROPPED_SOURCE_COLUMN)))
-    flights = rows.withColumnsRenamed({name: ours for ours, name in SOURCE_COLUMNS.items()})
-    return flights.withColumns({name: parse_timestamp(F.col(name)) for name in TIMESTAMP_COLUMNS})
+    return flights_of_named_rows(
+        [_read_group(spark, group, header, na_tokens, multi_line) for header, group in groups.items()]
+    )
 
 
 def read_monthly_directory(spark: SparkSession, directory: str, **options) -> DataFrame:

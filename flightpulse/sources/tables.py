@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..vocabulary import SOURCE_COLUMNS, TIMESTAMP_COLUMNS
 
-FLIGHT_SCHEMA = ", ".join(
-    [f"{name} {'TIMESTAMP_NTZ' if name in TIMESTAMP_COLUMNS else 'STRING'}" for name in SOURCE_COLUMNS]
-    + ["ref_month STRING"]
-)
+# Spark's readers of the table pass over names with an underscore.
+COLUMN_LIST = "_columns"
 
 
 def write_months(frame: DataFrame, path: str, replace_all: bool = True) -> None:
@@ -27,20 +27,39 @@ def write_months(frame: DataFrame, path: str, replace_all: bool = True) -> None:
 
 
 def write_flights(flights: DataFrame, path: str, replace_all: bool = True) -> None:
-    """Store flights as read from monthly files.
+    """Store flights as read from monthly files, and the names of their columns beside them.
 
     Writing needs no shuffle: a split of a large file belongs to one month, and
-    a task that reads several small files sorts its own rows by month.
+    a task that reads several small files sorts its own rows by month. Months
+    that come later may bring columns of their own; the names are added up.
     """
+    spark = flights.sparkSession
+    names = flights.drop("ref_month").columns
+    if not replace_all:
+        known = stored_columns(spark, path)
+        names = known + [name for name in names if name not in known]
     write_months(flights, path, replace_all)
+    rows = spark.createDataFrame(list(enumerate(names)), "position INT, name STRING")
+    rows.coalesce(1).write.mode("overwrite").json(f"{path}/{COLUMN_LIST}")
 
 
-def read_flights(spark: SparkSession, path: str, all_columns: bool = False) -> DataFrame:
-    """The columns the reports know, or every column any month was stored with.
+def stored_columns(spark: SparkSession, path: str) -> list[str]:
+    """Column names a table was stored with; the known ones where no list is stored."""
+    try:
+        rows = spark.read.schema("position INT, name STRING").json(f"{path}/{COLUMN_LIST}").collect()
+    except AnalysisException:
+        return list(SOURCE_COLUMNS)
+    return [row.name for row in sorted(rows)]
 
-    The known columns are read with a fixed schema: no footer is opened to
-    plan a query, and months stored with other extra columns fit together.
+
+def read_flights(spark: SparkSession, path: str) -> DataFrame:
+    """Every column that any month was stored with; null in months without it.
+
+    The schema comes from the stored list of names: no footer is opened to
+    plan a query, and a report still reads only the columns it needs.
     """
-    if all_columns:
-        return spark.read.option("mergeSchema", True).parquet(path)
-    return spark.read.schema(FLIGHT_SCHEMA).parquet(path)
+    types = ((name, "timestamp_ntz" if name in TIMESTAMP_COLUMNS else "string") for name in stored_columns(spark, path))
+    schema = StructType()
+    for name, kind in types:
+        schema = schema.add(name, kind)
+    return spark.read.schema(schema.add("ref_month", "string")).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.facts import facts_from_flights
 from ..plans.rollup import write_rollup
+from ..plans.views import refresh_views
 from ..sources.monthly_csv import list_monthly_files, month_of_file, read_monthly_files
 from ..sources.tables import read_flights, write_flights
 from ..vocabulary import MONTHLY_FILE_GLOB
@@ -23,12 +24,13 @@ def load_months(
     """Rebuild the partitions of the given months from all their files.
 
     The result depends only on the files present, so repeating it after a
-    failure gives the same table.
+    failure gives the same table. Registered views see the new months.
     """
     paths = [path for path in list_monthly_files(spark, directory) if month_of_file(path) in months]
     write_flights(read_monthly_files(spark, paths), table, replace_all=False)
     if rollup is not None:
         write_rollup(facts_from_flights(read_flights(spark, table)), rollup, sorted(months))
+    refresh_views(spark)
 
 
 def _load_batch(arrivals: DataFrame, _: int, directory: str, table: str, rollup: str | None) -> None:
@@ -43,9 +45,13 @@ def ingest_new_files(
     table: str,
     checkpoint: str,
     rollup: str | None = None,
+    files_per_batch: int = 200,
 ) -> StreamingQuery:
     """Load the monthly files not seen before, then stop.
 
+    A batch takes ``files_per_batch`` of them, so what the driver lists at once
+    does not grow with the backlog.
+
     The stream carries file names only; the months they belong to are read by
     the batch reader. The checkpoint remembers which files were loaded.
     """
@@ -53,6 +59,7 @@ def ingest_new_files(
         spark.readStream.format("binaryFile")
         .schema(_LISTING_SCHEMA)
         .option("pathGlobFilter", MONTHLY_FILE_GLOB)
+        .option("maxFilesPerTrigger", files_per_batch)
         .load(directory)
         .select("path")
     )

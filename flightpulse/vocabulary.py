@@ -61,6 +61,8 @@ MIN_FLIGHTS = 5000
 PHANTOM_PCT = 85
 PHANTOM_PCT_AUDIT = 95
 MIN_COMPLETENESS = 0.5
+# A month below this share of its origin's typical month counts as one of low volume.
+LOW_VOLUME_PCT = 50
 FOCUS_MONTH = 12
 FOCUS_WEEKDAY = 5
 EXCLUDED_HEATMAP_ORIGINS = ("SBPA",)

@@ -8,6 +8,8 @@ ties are broken by the key, so both sides can be compared value by value.
 
 from __future__ import annotations
 
+from flightpulse.vocabulary import MONTH_LABELS
+
 FLIGHTS = """
 terms AS (
   SELECT l_orderkey, l_linenumber,
@@ -140,7 +142,7 @@ CANCELLATIONS = f"""{N} AS total_voos, {count_if(CANCELLED)} AS cancelados,
 
 WEEKDAY_NAME = """CASE weekday WHEN 0 THEN 'Domingo' WHEN 1 THEN 'Segunda' WHEN 2 THEN 'Terca'
        WHEN 3 THEN 'Quarta' WHEN 4 THEN 'Quinta' WHEN 5 THEN 'Sexta' WHEN 6 THEN 'Sabado' END"""
-MONTH_LABEL = """['Jan','Fev','Mar','Abr','Mai','Jun','Jul','Ago','Set','Out','Nov','Dez'][mes]"""
+MONTH_LABEL = f"{list(MONTH_LABELS.values())}[mes]"
 WEEKDAY_LABEL = """['Dom','Seg','Ter','Qua','Qui','Sex','Sáb'][weekday + 1]"""
 
 
@@ -205,10 +207,17 @@ def _pct_where(test: str) -> str:
     return ratio(count_if(f"{ON_TIME} AND {test}"), count_if(f"{COMPARABLE} AND {test}"), 10000)
 
 
-def report_sql(min_flights: int, excluded_origin: str, labels: dict[str, str], flagged: dict[str, tuple[str, ...]]) -> dict[str, str]:
+def report_sql(
+    min_flights: int,
+    min_flights_of_year: int,
+    excluded_origin: str,
+    labels: dict[str, str],
+    flagged: dict[str, tuple[str, ...]],
+) -> dict[str, str]:
     """SQL of every report, with the thresholds the registered queries use."""
     both, n = ("2024", "2025"), min_flights
     having = f"HAVING count(*) >= {n}"
+    having_of_year = f"HAVING count(*) >= {min_flights_of_year}"
     complete = f"{having} AND {COMPLETE}"
     label_case = "CASE aeroporto " + " ".join(
         f"WHEN '{code}' THEN '{text}'" for code, text in labels.items()
@@ -231,9 +240,7 @@ heat AS (
 )"""
     grid = ", ".join(
         f"max(pontualidade) FILTER (WHERE mes = {number}) AS \"{name}\""
-        for number, name in enumerate(
-            ("Jan", "Fev", "Mar", "Abr", "Mai", "Jun", "Jul", "Ago", "Set", "Out", "Nov", "Dez"), 1
-        )
+        for number, name in MONTH_LABELS.items()
     )
 
     def kpis(years):
@@ -249,23 +256,23 @@ heat AS (
        CAST((weekday + 6) % 7 AS INTEGER) AS ordem, weekday = 5 AS destaque
        FROM analytic WHERE sched_dep IS NOT NULL AND {_years(years)} GROUP BY weekday ORDER BY ordem""")
 
-    def dash_origins(years):
+    def dash_origins(years, having=having):
         return on_kept(f"""SELECT *, format('{{:.1f}}%', taxa_pontualidade_pct) AS texto FROM (
        SELECT origin AS aeroporto, {N} AS total_voos, {PCT} AS taxa_pontualidade_pct
        FROM kept WHERE {_years(years)} GROUP BY origin {having}
        ORDER BY taxa_pontualidade_pct ASC NULLS FIRST, aeroporto ASC NULLS FIRST LIMIT 10)""")
 
-    def dash_cancelled(years):
+    def dash_cancelled(years, having=having):
         return on_kept(f"""SELECT *, format('{{:.1f}}%', taxa_cancelamento_pct) AS texto,
        coalesce(aeroporto IN ({flagged_origins}), FALSE) AS destaque FROM (
        SELECT origin AS aeroporto, {CANCELLATIONS}
        FROM kept WHERE {_years(years)} GROUP BY origin {having}
        ORDER BY taxa_cancelamento_pct DESC NULLS LAST, aeroporto ASC NULLS FIRST LIMIT 5)""")
 
-    def dash_carriers(years):
+    def dash_carriers(years, having=having):
         return on_kept(f"""SELECT carrier AS empresa, {N} AS total_voos, {PCT} AS taxa_pontualidade_pct,
        {AVG} AS atraso_medio_min, coalesce(carrier IN ({flagged_carriers}), FALSE) AS destaque
-       FROM kept WHERE {_years(years)} GROUP BY carrier {complete}""")
+       FROM kept WHERE {_years(years)} GROUP BY carrier {having} AND {COMPLETE}""")
 
     sql = {
         "on_time_overall": on_rows(f"""SELECT {N} AS total_voos_comparaveis,
@@ -432,17 +439,23 @@ heat AS (
        CAST(sum(n) AS BIGINT) AS total_voos, count(*) AS meses_com_voos,
        min(n) AS menor_volume_mes, max(n) AS maior_volume_mes,
        (SELECT count(DISTINCT ref_month) FROM flights) AS meses_no_periodo,
-       count(*) < (SELECT count(DISTINCT ref_month) FROM flights) AS interrompido
+       count(*) < (SELECT count(DISTINCT ref_month) FROM flights) AS interrompido,
+       list_sort(list(n))[len(list(n)) // 2 + 1] AS volume_tipico_mes,
+       len(list_filter(list(n), lambda v: 2 * v < list_sort(list(n))[len(list(n)) // 2 + 1])) AS meses_baixo_volume
        FROM (SELECT origin, ref_month, count(*) AS n FROM flights GROUP BY origin, ref_month)
        GROUP BY origin"""),
     }
-    for suffix, years in (("", both), ("_2024", ("2024",)), ("_2025", ("2025",))):
+    for suffix, years, least in (
+        ("", both, having),
+        ("_2024", ("2024",), having_of_year),
+        ("_2025", ("2025",), having_of_year),
+    ):
         sql[f"dash_kpis{suffix}"] = kpis(years)
         sql[f"dash_by_month{suffix}"] = dash_month(years)
         sql[f"dash_by_weekday{suffix}"] = dash_weekday(years)
-        sql[f"dash_origin_worst_on_time{suffix}"] = dash_origins(years)
-        sql[f"dash_origin_most_cancelled{suffix}"] = dash_cancelled(years)
-        sql[f"dash_carrier_on_time{suffix}"] = dash_carriers(years)
+        sql[f"dash_origin_worst_on_time{suffix}"] = dash_origins(years, least)
+        sql[f"dash_origin_most_cancelled{suffix}"] = dash_cancelled(years, least)
+        sql[f"dash_carrier_on_time{suffix}"] = dash_carriers(years, least)
     return sql
 
 
@@ -452,8 +465,7 @@ DERIVED_COLUMNS = "dep_delay_min, arr_delay_min, dep_category, arr_category, nex
 
 def operator_sql() -> dict[str, str]:
     """SQL of the row-level operators and of the rollup tables."""
-    cells = f"""SELECT ref_month, CAST(weekday AS INTEGER) AS weekday, origin, dest, carrier,
-       {N} AS n, {count_if(CANCELLED)} AS n_cancelled, {count_if(ON_TIME)} AS n_dep_on_time,
+    measures = f"""{N} AS n, {count_if(CANCELLED)} AS n_cancelled, {count_if(ON_TIME)} AS n_dep_on_time,
        count(dep_delay_min) AS n_dep_delay, CAST(sum(dep_delay_min) AS BIGINT) AS sum_dep_delay,
        {count_if("arr_category IN ('Pontual', 'Antecipado')")} AS n_arr_on_time,
        count(arr_delay_min) AS n_arr_delay, CAST(sum(arr_delay_min) AS BIGINT) AS sum_arr_delay,
@@ -465,15 +477,28 @@ def operator_sql() -> dict[str, str]:
        {count_if("dep_category = 'Atraso 60-120'")} AS n_late_60_120,
        {count_if("dep_category = 'Atraso 120-240'")} AS n_late_120_240,
        {count_if("dep_category = 'Atraso > 240'")} AS n_late_240,
-       min(sched_dep) AS first_sched_dep, max(sched_dep) AS last_sched_dep
-       FROM analytic GROUP BY ref_month, weekday, origin, dest, carrier"""
+       min(sched_dep) AS first_sched_dep, max(sched_dep) AS last_sched_dep"""
+    weekday = "CAST(weekday AS INTEGER) AS weekday"
+
+    def cells(shown: str, keys: str) -> str:
+        return on_rows(f"SELECT {shown}, {measures} FROM analytic GROUP BY {keys}")
+
     return {
         "flights": on_rows(f"SELECT {FLIGHT_COLUMNS} FROM flights"),
         "analytic_view": on_rows(f"SELECT {FLIGHT_COLUMNS}, {DERIVED_COLUMNS} FROM analytic"),
         "operational_view": on_kept(f"SELECT {FLIGHT_COLUMNS}, {DERIVED_COLUMNS} FROM kept"),
         "operational_view_95": on_kept(f"SELECT {FLIGHT_COLUMNS}, {DERIVED_COLUMNS} FROM kept", 95),
         "phantom_pairs": on_kept("SELECT origin, carrier FROM pairs"),
-        "rollup_cells": on_rows(cells),
+        "ingest_text_rows": on_rows(f"SELECT {FLIGHT_COLUMNS} FROM flights"),
+        "rollup_cells": cells(
+            f"ref_month, {weekday}, origin, dest, carrier", "ref_month, weekday, origin, dest, carrier"
+        ),
+        "rollup_origin_cells": cells(
+            f"ref_month, {weekday}, origin, carrier", "ref_month, weekday, origin, carrier"
+        ),
+        "rollup_arrivals": cells("ref_month, dest", "ref_month, dest"),
+        "rollup_pairs": on_rows(f"""SELECT ref_month, origin, carrier, {N} AS n,
+       {count_if(CANCELLED)} AS n_cancelled FROM analytic GROUP BY ref_month, origin, carrier"""),
         "rollup_delay_histogram": on_rows("""SELECT ref_month, dep_delay_min, count(*) AS n
        FROM analytic WHERE dep_delay_min IS NOT NULL GROUP BY ref_month, dep_delay_min"""),
         "sql_view_by_carrier": on_kept(f"""SELECT carrier AS empresa, dep_category AS categoria_atraso_partida,

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -16,8 +15,6 @@ TESTDATA = "/root/testdata"
 def spark():
     session = local_session(cores=8, memory="4g", app="flightpulse-tests")
     session.sparkContext.setLogLevel("ERROR")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flightpulse-"))
     yield session
     session.stop()
 

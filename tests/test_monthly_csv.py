@@ -145,7 +145,47 @@ def test_missing_column_is_an_error(spark, tmp_path):
         read_monthly_directory(spark, str(tmp_path))
 
 
-def test_row_longer_than_header_is_an_error(spark, tmp_path):
+@pytest.mark.parametrize("multi_line", [False, True])
+@pytest.mark.parametrize("last", ["x;y", "x;", "x;;y", ";;;", '"x;1";', '"a""b";""'])
+def test_row_longer_than_header_is_an_error(spark, tmp_path, last, multi_line):
+    write_file(tmp_path, "VRA_20241.csv", [{"Código Justificativa": last}])
+    for select in ("*", "carrier"):
+        with pytest.raises(Exception, match="more fields than its header"):
+            read_monthly_directory(spark, str(tmp_path), multi_line=multi_line).select(select).collect()
+
+
+def test_quoted_separators_are_no_further_fields(spark, tmp_path):
+    rows = [{"Situação Voo": '"a;b"', "Código Justificativa": '"x;y""z;"'}, {"Situação Voo": '5" x'}]
+    write_file(tmp_path, "VRA_20241.csv", rows)
+    assert sorted(row.status for row in read_monthly_directory(spark, str(tmp_path)).collect()) == ['5" x', "a;b"]
+
+
+def test_header_after_any_number_of_blank_lines(spark, tmp_path):
+    write_file(tmp_path, "VRA_20241.csv", [{}, {}])
+    path = tmp_path / "VRA_20241.csv"
+    preamble, rest = path.read_text(encoding="utf-8-sig").split("\n", 1)
+    path.write_text(preamble + "\n" * 125 + rest, encoding="utf-8-sig")
+    assert read_monthly_directory(spark, str(tmp_path)).count() == 2
+    path.write_text(preamble + "\n" * 125, encoding="utf-8-sig")
+    with pytest.raises(ValueError, match="no header line"):
+        read_monthly_directory(spark, str(tmp_path))
+
+
+def test_one_header_row_per_file_goes(spark, tmp_path):
+    write_file(tmp_path, "VRA_20241.csv", [{}, dict(zip(HEADER, HEADER)), dict(zip(HEADER, HEADER))])
+    write_file(tmp_path, "VRA_20242.csv", [{}])
+    found = sorted((row.ref_month, row.carrier) for row in read_monthly_directory(spark, str(tmp_path)).collect())
+    name = "ICAO Empresa Aérea"
+    assert found == [("2024-01", "GLO"), ("2024-01", name), ("2024-01", name), ("2024-02", "GLO")]
+
+
+def test_header_with_repeated_and_empty_names_goes(spark, tmp_path):
+    write_file(tmp_path, "VRA_20241.csv", [{}], [*HEADER, "Nota", "", "Nota"])
+    rows = read_monthly_directory(spark, str(tmp_path)).collect()
+    assert [row.carrier for row in rows] == ["GLO"] and "Nota.1" in rows[0].asDict()
+
+
+def test_row_longer_than_header_in_all_columns_is_an_error(spark, tmp_path):
     write_file(tmp_path, "VRA_20241.csv", [{"Código Justificativa": "x;y"}])
     with pytest.raises(Exception, match="more fields than its header"):
         read_monthly_directory(spark, str(tmp_path)).collect()

@@ -2,6 +2,7 @@
 
 import pytest
 
+from flightpulse.plans.airport_month import dash_origin_month_grid
 from flightpulse.plans.catalog import report
 from flightpulse.plans.facts import facts_from_flights
 
@@ -117,3 +118,17 @@ def test_missing_months_are_null_in_the_grid(make_flights):
     grid = report("dash_origin_month_grid", facts, min_flights=1).collect()
     assert [row.nome_aeroporto for row in grid] == ["SBSP (Congonhas)"]
     assert (grid[0].Jan, grid[0].Fev, grid[0].Dez) == (100.0, None, 100.0)
+
+
+def test_grid_puts_origins_without_a_change_last(make_flights):
+    """An origin with no December has no change; it comes after all others."""
+    times = {"sched_dep": "{m}-05 10:00:00", "actual_dep": "{m}-05 10:05:00"}
+    rows = [
+        {"origin": origin, "carrier": "C1", "status": "REALIZADO", "ref_month": month, **{k: v.format(m=month) for k, v in times.items()}}
+        for origin, months in (("P1", ("2024-01", "2024-12")), ("P2", ("2024-01", "2024-02")), ("P3", ("2024-03", "2024-12")))
+        for month in months
+        for _ in range(3)
+    ]
+    grid = dash_origin_month_grid(facts_from_flights(make_flights(rows)), min_flights=1).collect()
+    assert [row.nome_aeroporto for row in grid] == ["P1", "P3", "P2"]
+    assert grid[-1].variacao_dez_pp is None

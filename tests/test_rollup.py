@@ -4,13 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from flightpulse.operators.derive import analytic
-from flightpulse.operators.exclusion import operational_cells, operational_flights
+from flightpulse.operators.exclusion import operational_cells, operational_flights, phantom_pairs
 from flightpulse.plans.catalog import REPORTS, report
 from flightpulse.plans.facts import facts_from_flights
-from flightpulse.plans.rollup import read_rollup, stored_pairs, write_rollup
+from flightpulse.plans.rollup import read_pair_totals, read_rollup, write_rollup
+from flightpulse.plans.views import register_views
 from flightpulse.sources.monthly_csv import read_monthly_directory
 from flightpulse.sources.tables import read_flights, write_flights
-from flightpulse.streaming.monthly_ingest import ingest_new_files
+from flightpulse.streaming.monthly_ingest import ingest_new_files, load_months
 from plan_text import final_plan, nodes
 from test_monthly_csv import write_file
 
@@ -62,16 +63,17 @@ def test_refresh_of_one_month(spark, flights, tmp_path):
         assert report(name, read_rollup(spark, rollup)).collect() == report(name, whole).collect()
 
 
-def test_stored_pair_list(spark, flights, direct, tmp_path):
-    pairs = stored_pairs(spark, direct, path=str(tmp_path / "pairs"))
-    kept = operational_flights(analytic(flights), pairs)
+def test_list_from_stored_totals(spark, flights, direct, stored):
+    kept = operational_flights(analytic(flights), phantom_pairs(stored.pairs))
     expected = operational_cells(direct.cells).agg(F.sum("n")).first()[0]
     assert kept.count() == expected
-    # Its file size lets Spark broadcast the list: no flight is shuffled.
+    # The size of the totals lets Spark broadcast the list: one flight scan, no flight is shuffled.
     lines = final_plan(kept)
     assert not nodes(lines, "SortMergeJoin")
     scan = next(i for i, line in enumerate(lines) if "lineitem" in line and "FileScan" in line)
-    assert not [line for line in lines[:scan] if "Exchange hashpartitioning" in line]
+    # A reused exchange is that of the list's own sums.
+    exchanges = [line for line in lines[:scan] if "Exchange hashpartitioning" in line]
+    assert not [line for line in exchanges if "ReusedExchange" not in line]
 
 
 def test_streaming_ingest_loads_each_month_once(spark, tmp_path):
@@ -100,3 +102,36 @@ def test_streaming_ingest_loads_each_month_once(spark, tmp_path):
     whole = facts_from_flights(read_monthly_directory(spark, str(raw)))
     for name in ("by_ref_month", "carrier_top_volume", "delay_mean_median"):
         assert report(name, read_rollup(spark, rollup)).collect() == report(name, whole).collect()
+
+
+def test_new_month_changes_the_registered_views(spark, tmp_path):
+    raw, table, rollup = tmp_path / "raw", str(tmp_path / "flights"), str(tmp_path / "rollup")
+    raw.mkdir()
+    ghost = {"ICAO Empresa Aérea": "GHO", "Situação Voo": "CANCELADO", "Partida Real": ""}
+    write_file(raw, "VRA_20241.csv", [{}, {**ghost, "Situação Voo": "REALIZADO"}, ghost])
+    load_months(spark, str(raw), table, {"2024-01"}, rollup)
+    register_views(spark, read_flights(spark, table), read_pair_totals(spark, rollup))
+
+    def counts():
+        return [spark.table(name).count() for name in ("voos", "vw_voos_analitico", "vw_voos_operacionais")]
+
+    assert counts() == [3, 3, 3]
+    # Eleven more cancellations make GHO a phantom at 12 of 13, from the same views.
+    write_file(raw, "VRA_20242.csv", [{}] + [ghost] * 11)
+    load_months(spark, str(raw), table, {"2024-02"}, rollup)
+    assert counts() == [15, 15, 2]
+
+
+def test_extra_columns_reach_the_views(spark, tmp_path):
+    from test_monthly_csv import HEADER
+
+    raw, table = tmp_path / "raw", str(tmp_path / "flights")
+    raw.mkdir()
+    write_file(raw, "VRA_20241.csv", [{"Número Voo": "1234"}], [*HEADER, "Número Voo"])
+    load_months(spark, str(raw), table, {"2024-01"})
+    write_file(raw, "VRA_20242.csv", [{"Equipamento": "A320"}], ["Equipamento", *HEADER])
+    load_months(spark, str(raw), table, {"2024-02"})
+    register_views(spark, read_flights(spark, table))
+    for name in ("voos", "vw_voos_analitico", "vw_voos_operacionais"):
+        rows = spark.sql(f"SELECT ano_mes_referencia, `Número Voo`, Equipamento FROM {name} ORDER BY 1").collect()
+        assert [tuple(row) for row in rows] == [("2024-01", "1234", None), ("2024-02", None, "A320")]
