@@ -5,7 +5,7 @@ from __future__ import annotations
 from flightpulse.llm.block_naming import OP6_SQL, op6_exact_dedup
 from flightpulse.llm.language import op9_language
 from flightpulse.llm.mixing import OP1_SQL, op1_mix
-from flightpulse.llm.near_duplicates import op4_near_dedup
+from flightpulse.llm.near_duplicates import OP4_SQL, op4_near_dedup
 from flightpulse.llm.neighbours import op7_neighbours
 from flightpulse.llm.packing import op5_packing
 from flightpulse.llm.quality import op2_quality
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_secrets": op10_secrets,
 }
-ORACLE_SQL = {"op1_mix": OP1_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLE_SQL = {"op1_mix": OP1_SQL, "op4_near_dedup": OP4_SQL, "op6_exact_dedup": OP6_SQL}
