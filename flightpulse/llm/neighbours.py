@@ -161,8 +161,20 @@ def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(-1, size) if len(values) else np.empty((0, size))
 
 
+def grouped(counts: dict[int, int], rows: int) -> dict[int, tuple[int, int]]:
+    """Group and number of blocks of each partition: small neighbouring partitions share a group, a large one
+    is a group of its own in several blocks, so that a block has about `rows` rows at most."""
+    answer, group, filled = {}, -1, rows
+    for part in sorted(counts):
+        if filled + counts[part] > rows:
+            group, filled = group + 1, 0
+        filled += counts[part]
+        answer[part] = (group, -(-counts[part] // rows))
+    return answer
+
+
 def _assigned(shared, probes: int, size: int):
-    """Adds `part`: the most probable partitions of each vector, best first."""
+    """Adds `parts`: the most probable partitions of each vector, best first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router = shared.value
@@ -175,19 +187,24 @@ def _assigned(shared, probes: int, size: int):
     return run
 
 
-def _compared(count: int, size: int):
-    """The best rows of a block of candidates for each query of a block of queries."""
+def _compared(count: int, size: int, parts: int):
+    """The best rows of a block of candidates for each query of a turn, among the partitions it probes."""
 
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         asked, known = _matrix(queries.column("vector"), size), _matrix(candidates.column("vector"), size)
-        ids = candidates.column("ids").to_pylist()
-        keys = queries.column("asked").to_numpy()
+        lies, ids = candidates.column("part").to_numpy(), candidates.column("ids").to_pylist()
+        keys, probed = queries.column("asked").to_numpy(), queries.column("parts").to_pylist()
         found: list[tuple[int, int, float]] = []
         short = min(len(known), count + 12)
         for at in range(0, len(asked) if len(known) else 0, 256):
             block = asked[at : at + 256]
-            near = np.argpartition(-(block @ known.T), short - 1, axis=1)[:, :short]
+            allowed = np.zeros((len(block), parts), bool)
+            for i, chosen in enumerate(probed[at : at + 256]):
+                allowed[i, chosen] = True
+            product = np.where(allowed[:, lies], block @ known.T, -np.inf)
+            near = np.argpartition(-product, short - 1, axis=1)[:, :short]
             for i, chosen in enumerate(near):
+                chosen = chosen[allowed[i, lies[chosen]]]
                 # summed anew, the same way for every pair, whatever the blocks were
                 scores = (known[chosen] * block[i]).sum(1)
                 rows = [(-s, v) for s, c in zip(scores.tolist(), chosen) for v in ids[c]]
@@ -222,7 +239,7 @@ def nearest_neighbours(
     partitions and a small network learns to tell them apart; every row is indexed under its most
     probable partition, and a query probes as many partitions as the sample needed for `recall`. Equal
     vectors are indexed once, with the smallest ids that an answer can need, so a vector that a third of
-    all rows share costs no more than another. Partitions are searched in blocks of bounded size.
+    all rows share costs no more than another. Small partitions are searched together, large ones in blocks.
 
     Rows whose vector is null, zero, or holds null or non-finite components, whose id is null, or whose
     vector differs in length from the most frequent length take no part. Of rows that repeat an id, the
@@ -256,30 +273,37 @@ def nearest_neighbours(
             F.col("parts")[0].alias("part"), "vector", "ids"
         )
     )
-    blocks = indexed.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))  # one row per partition
+    counts = {row["part"]: row["n"] for row in indexed.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    place_rows = [(part, *place) for part, place in grouped(counts, block_rows).items()]
+
+    def places() -> DataFrame:  # one row per partition
+        return F.broadcast(spark.createDataFrame(place_rows, "part int, group int, blocks int"))
 
     queries = rows.where(is_query).select("vec_id", "vector")
     asked = stored(queries.groupBy("vector").agg(F.min("vec_id").alias("asked")))
     turns = max(1, -(-asked.count() // block_rows))
     candidates = (
-        indexed.join(F.broadcast(blocks), "part")
+        indexed.join(places(), "part")
         .withColumn("block", F.pmod(F.xxhash64("vector"), "blocks"))
         .withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-        .select("part", "block", "turn", "vector", "ids")
+        .select("group", "block", "turn", "part", "vector", "ids")
     )
+    probed = asked.mapInArrow(_assigned(shared, probes, max(1, size)), "vector array<double>, asked long, parts array<int>")
     probing = (
-        asked.mapInArrow(_assigned(shared, probes, max(1, size)), "vector array<double>, asked long, parts array<int>")
-        .select("asked", "vector", F.explode("parts").alias("part"))
-        .join(F.broadcast(blocks), "part")
+        probed.withColumn("part", F.explode("parts"))
+        .join(places(), "part")
+        .groupBy("asked", "group")
+        .agg(F.max("blocks").alias("blocks"), F.collect_list("part").alias("parts"))  # at most one entry per partition
+        .join(asked, "asked")
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
         .withColumn("turn", F.pmod(F.xxhash64("asked"), F.lit(turns)).cast("int"))
-        .select("part", "block", "turn", "asked", "vector")
+        .select("group", "block", "turn", "asked", "vector", "parts")
     )
-    keys = ("part", "block", "turn")
+    keys = ("group", "block", "turn")
     found = (
         probing.groupBy(*keys)
         .cogroup(candidates.groupBy(*keys))
-        .applyInArrow(_compared(nearest + 1, max(1, size)), "asked long, vec_id long, score double")
+        .applyInArrow(_compared(nearest + 1, max(1, size), parts), "asked long, vec_id long, score double")
     )
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= nearest + 1).drop("place")

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from flightpulse.llm.neighbours import balanced_parts, nearest_neighbours, op7_neighbours
+from flightpulse.llm.neighbours import balanced_parts, grouped, nearest_neighbours, op7_neighbours
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -84,3 +84,10 @@ def test_parts_are_balanced_and_follow_the_graph(parts):
     assert sizes.max() - sizes.min() <= 1
     kept = (part[graph] == part[:, None]).mean()
     assert kept > 0.85
+
+
+def test_groups_hold_about_as_many_rows_as_a_block():
+    assert grouped({0: 30, 1: 30, 2: 50, 3: 250, 4: 10, 5: 100}, 100) == {
+        0: (0, 1), 1: (0, 1), 2: (1, 1), 3: (2, 3), 4: (3, 1), 5: (4, 1),
+    }
+    assert grouped({}, 100) == {}
