@@ -10,6 +10,8 @@ from flightpulse.llm.shared import DOCUMENT, SPACE, stored, table
 #: Bytes of a block. A Spark string is below 2 GB, so a text has fewer than 2^POSITION_BITS blocks.
 BLOCK_BYTES = 2048
 POSITION_BITS = 21
+#: Bits of the hash that stands for a block where no other block has the same.
+MARK_BITS = 64
 #: The missing right half of an odd last pair; names are never negative.
 NO_PARTNER = -1
 
@@ -23,19 +25,43 @@ def _address(row: Column, position: Column) -> Column:
     return (row.cast("decimal(20,0)") * F.lit(1 << POSITION_BITS).cast("decimal(7,0)") + position).cast("decimal(30,0)")
 
 
+def _joined(pieces: DataFrame, names: DataFrame, key: list[str]) -> DataFrame:
+    """Gives each piece its name. `names` is stored, so both sides are shuffled for the join alone and Spark
+    may split the partition of a content that a third of all rows hold."""
+    return pieces.join(names, key).select("row", "position", "name")
+
+
 def _named(pieces: DataFrame, key: list[str]) -> DataFrame:
     """Replaces `key` by the integer name of its content.
 
     Equal contents meet in a sorted run of their own partition and get the address of their first
     occurrence as their name: different contents never share one, and a rerun gives the same names.
-    The run is combined before the shuffle, so a content that a third of all rows hold arrives once
-    for each task. The join back is one that Spark may split by skewed partitions.
+    Each task sends a content once, however often it holds it.
     """
-    names = pieces.groupBy(*key).agg(F.min(_address(F.col("row"), F.col("position"))).alias("name"))
-    return pieces.join(names, key).select("row", "position", "name")
+    first = F.min(_address(F.col("row"), F.col("position"))).alias("name")
+    return _joined(pieces, stored(pieces.groupBy(*key).agg(first)), key)
 
 
-def identities(rows: DataFrame, content: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _named_blocks(pieces: DataFrame, mark_bits: int) -> DataFrame:
+    """As `_named` for blocks, but the join back carries a hash of the block in its place.
+
+    All blocks are grouped by their full bytes, once; that also tells which hashes stand for one block
+    only. Where several blocks share a hash, and only there, the bytes are joined as well, so that names
+    stay free of collisions.
+    """
+    mark = F.shiftrightunsigned(F.xxhash64("block"), 64 - mark_bits)
+    marked = pieces.select("row", "position", "block", mark.alias("mark"))
+    first = F.min(_address(F.col("row"), F.col("position"))).alias("name")
+    blocks = stored(marked.groupBy("mark", "block").agg(first).select("mark", "name"))
+    marks = stored(blocks.groupBy("mark").agg(F.count("*").alias("blocks"), F.min("name").alias("name")))
+    named = _joined(marked.select("row", "position", "mark"), marks.where("blocks = 1").drop("blocks"), ["mark"])
+    crowded = marks.where("blocks > 1").select("mark")
+    if crowded.isEmpty():
+        return named
+    return named.unionAll(_named(marked.join(crowded, "mark", "left_semi"), ["mark", "block"]))
+
+
+def identities(rows: DataFrame, content: Column, block_bytes: int = BLOCK_BYTES, mark_bits: int = MARK_BITS) -> DataFrame:
     """One collision-free identity (`level`, `name`) for each `row` of `rows`.
 
     The bytes of `content` are cut into blocks of fixed size, and equal blocks get one integer name.
@@ -45,16 +71,13 @@ def identities(rows: DataFrame, content: Column, block_bytes: int = BLOCK_BYTES)
     """
     data = F.col("data")
     blocks = F.greatest(F.lit(1), F.ceil(F.length(data) / block_bytes)).cast("int")
-    pieces = (
-        rows.select("row", F.encode(content, "utf-8").alias("data"))
-        .select(
-            "row",
-            F.posexplode(
-                F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.substring(data, i * block_bytes + 1, F.lit(block_bytes)))
-            ).alias("position", "block"),
-        )
+    pieces = rows.select("row", F.encode(content, "utf-8").alias("data")).select(
+        "row",
+        F.posexplode(
+            F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.substring(data, i * block_bytes + 1, F.lit(block_bytes)))
+        ).alias("position", "block"),
     )
-    named = stored(_named(pieces, ["block"]))
+    named = stored(_named_blocks(pieces, mark_bits))
     level, done = 0, []
     while True:
         ends = named.groupBy("row").agg(F.max("position").alias("last"))
@@ -76,7 +99,9 @@ def identities(rows: DataFrame, content: Column, block_bytes: int = BLOCK_BYTES)
     return found
 
 
-def exact_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_duplicates(
+    docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES, mark_bits: int = MARK_BITS
+) -> DataFrame:
     """One row per document: row, `carry`, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical after each run of ASCII white space became one space; a
@@ -94,11 +119,11 @@ def exact_duplicates(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), bloc
         F.col("doc_id").alias("id"),
         F.col("text"),
     )
-    named = identities(rows, normalised(F.col("text")), block_bytes)
+    named = identities(rows, normalised(F.col("text")), block_bytes, mark_bits)
     described = rows.select("row", "carried", "id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
     members = described.join(named, "row")
     first = F.struct(F.col("id").isNull().alias("missing"), F.col("id"), F.col("row"))
-    groups = members.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min(first).alias("first"))
+    groups = stored(members.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min(first).alias("first")))
     return members.join(groups, ["level", "name"]).select(
         "carried.*",
         F.col("first.id").alias("keep_id"),

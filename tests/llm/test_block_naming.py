@@ -17,22 +17,23 @@ def plain(rows):
     return sorted(answer, key=str)
 
 
-@pytest.mark.parametrize("block_bytes", [1, 3, 64, 2048])
-def test_equals_a_plain_version(odd_documents, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "mark_bits"), [(1, 64), (3, 2), (64, 1), (2048, 64)])
+def test_equals_a_plain_version(odd_documents, block_bytes, mark_bits):
     rows = [(r["doc_id"], (r["text"] or "")[:400] or None) for r in odd_documents.collect()]
     frame = odd_documents.sparkSession.createDataFrame(rows, "doc_id long, text string").coalesce(1) if block_bytes < 64 else odd_documents
     rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
-    found = exact_duplicates(frame, block_bytes=block_bytes).collect()
+    found = exact_duplicates(frame, block_bytes=block_bytes, mark_bits=mark_bits).collect()
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found), key=str) == plain(rows)
     kept = [r["text_sha256"] for r in found if r["kept"]]
     assert len(kept) == len(set(kept)) == len({r["text_sha256"] for r in found})
     assert all(r["doc_id"] == r["keep_id"] for r in found if r["kept"])
 
 
-def test_neighbouring_contents_keep_their_names_apart(spark):
+@pytest.mark.parametrize("mark_bits", [64, 1])
+def test_neighbouring_contents_keep_their_names_apart(spark, mark_bits):
     texts = ["aabb", "bbaa", "aab", "aabbaabb", "aabba", "abab", "aabbaabbaabb", "a", "aa", "aabb", "aabba"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    found = exact_duplicates(frame, block_bytes=2).collect()
+    found = exact_duplicates(frame, block_bytes=2, mark_bits=mark_bits).collect()
     assert {r["doc_id"]: r["keep_id"] for r in found} == {i: texts.index(t) for i, t in enumerate(texts)}
 
 
