@@ -42,43 +42,55 @@ def _named(pieces: DataFrame, key: list[str]) -> DataFrame:
     return _joined(pieces, stored(pieces.groupBy(*key).agg(first)), key)
 
 
-def _named_blocks(pieces: DataFrame, mark_bits: int) -> DataFrame:
-    """As `_named` for blocks, but the join back carries a hash of the block in its place.
+def _blocks(content: Column, block_bytes: int) -> Column:
+    """The bytes of a text in blocks of fixed size; one empty block for an empty text."""
+    data = F.encode(content, "utf-8")
+    count = F.greatest(F.lit(1), F.ceil(F.length(data) / block_bytes)).cast("int")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(data, i * block_bytes + 1, F.lit(block_bytes)))
 
-    All blocks are grouped by their full bytes, once; that also tells which hashes stand for one block
-    only. Where several blocks share a hash, and only there, the bytes are joined as well, so that names
-    stay free of collisions.
+
+def _mark(block: Column, mark_bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(block), 64 - mark_bits)
+
+
+def _named_blocks(docs: DataFrame, rows: DataFrame, block_bytes: int, mark_bits: int) -> DataFrame:
+    """The integer name of each block (`row`, `position`, `name`).
+
+    All blocks are grouped by their full bytes, once, and named by the address of their first
+    occurrence. That also tells which hashes stand for one block only, so the join back carries a
+    hash in the block's place. Where several blocks share a hash, and only there, the bytes are joined
+    as well, so that names stay free of collisions.
     """
-    mark = F.shiftrightunsigned(F.xxhash64("block"), 64 - mark_bits)
-    marked = pieces.select("row", "position", "block", mark.alias("mark"))
+    content = normalised(F.col("text"))
+    spread = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col("doc_id").alias("id"),
+        F.sha2(content, 256).alias("sha"),
+        F.posexplode(_blocks(content, block_bytes)).alias("position", "block"),
+    ).withColumn("mark", _mark(F.col("block"), mark_bits))
     first = F.min(_address(F.col("row"), F.col("position"))).alias("name")
-    blocks = stored(marked.groupBy("mark", "block").agg(first).select("mark", "name"))
-    marks = stored(blocks.groupBy("mark").agg(F.count("*").alias("blocks"), F.min("name").alias("name")))
-    named = _joined(marked.select("row", "position", "mark"), marks.where("blocks = 1").drop("blocks"), ["mark"])
+    names = stored(spread.groupBy("mark", "block").agg(first).select("mark", "name"))
+    marks = stored(names.groupBy("mark").agg(F.count("*").alias("blocks"), F.min("name").alias("name")))
+    pieces = rows.select("row", "id", "sha", F.posexplode("marks").alias("position", "mark"))
+    named = _joined(pieces, marks.where("blocks = 1").drop("blocks"), ["mark"])
     crowded = marks.where("blocks > 1").select("mark")
     if crowded.isEmpty():
         return named
-    return named.unionAll(_named(marked.join(crowded, "mark", "left_semi"), ["mark", "block"]))
+    among = spread.join(crowded, "mark", "left_semi")
+    told = among.join(stored(among.groupBy("mark", "block").agg(first)), ["mark", "block"])
+    told = told.select(F.col("id").alias("its_id"), F.col("sha").alias("its_sha"), F.col("position").alias("at"), "name").distinct()
+    same = F.col("id").eqNullSafe(F.col("its_id")) & (F.col("sha") == F.col("its_sha")) & (F.col("position") == F.col("at"))
+    return named.unionAll(pieces.join(told, same).select("row", "position", "name"))
 
 
-def identities(rows: DataFrame, content: Column, block_bytes: int = BLOCK_BYTES, mark_bits: int = MARK_BITS) -> DataFrame:
-    """One collision-free identity (`level`, `name`) for each `row` of `rows`.
+def identities(named: DataFrame) -> DataFrame:
+    """One collision-free identity (`level`, `name`) for each row of named blocks.
 
-    The bytes of `content` are cut into blocks of fixed size, and equal blocks get one integer name.
-    Then adjacent names are paired and equal pairs get one name, level by level, until each row is one
-    name. Two rows have the same level and name exactly if their contents are the same bytes. The
-    number of levels is the logarithm of the longest row's blocks; every level has half the pieces.
+    Adjacent names are paired and equal pairs get one name, level by level, until each row is one
+    name. Two rows have the same level and name exactly if their blocks are the same. The number of
+    levels is the logarithm of the longest row's blocks; every level has half the pieces.
     """
-    data = F.col("data")
-    blocks = F.greatest(F.lit(1), F.ceil(F.length(data) / block_bytes)).cast("int")
-    pieces = rows.select("row", F.encode(content, "utf-8").alias("data")).select(
-        "row",
-        F.posexplode(
-            F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.substring(data, i * block_bytes + 1, F.lit(block_bytes)))
-        ).alias("position", "block"),
-    )
-    named = stored(_named_blocks(pieces, mark_bits))
-    level, done = 0, []
+    named, level, done = stored(named), 0, []
     while True:
         ends = named.groupBy("row").agg(F.max("position").alias("last"))
         finished = ends.where("last = 0").select("row")
@@ -102,26 +114,29 @@ def identities(rows: DataFrame, content: Column, block_bytes: int = BLOCK_BYTES,
 def exact_duplicates(
     docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES, mark_bits: int = MARK_BITS
 ) -> DataFrame:
-    """One row per document: row, `carry`, keep_id, group_size, kept, text_sha256.
+    """One row per document: `carry`, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical after each run of ASCII white space became one space; a
     null text is an empty one, and empty texts are equal to each other. Of equal texts the row with the
-    smallest doc_id stays, a null doc_id being the largest; of rows that repeat that doc_id, the first
-    in the order of the files. Columns of `docs` not in `carry` are ignored, whatever their names. No rows
+    smallest doc_id stays, a null doc_id being the largest; of rows that repeat that doc_id, one stays.
+    Columns of `docs` not in `carry`, which should be narrow, are ignored, whatever their names. No rows
     give no rows.
 
-    Rows are numbered by their place in the files of `docs`, which reruns and lost executors do not
-    change; a frame that is not read from files should be written first.
+    Rows are numbered once and stored with the hashes of their blocks, so nothing depends on how a
+    later scan is split among executors.
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.struct(F.monotonically_increasing_id().alias("row"), *carry).alias("carried"),
-        F.col("doc_id").alias("id"),
-        F.col("text"),
+    content = normalised(F.col("text"))
+    rows = stored(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.struct(*carry).alias("carried"),
+            F.col("doc_id").alias("id"),
+            F.sha2(content, 256).alias("sha"),
+            F.transform(_blocks(content, block_bytes), lambda block: _mark(block, mark_bits)).alias("marks"),
+        )
     )
-    named = identities(rows, normalised(F.col("text")), block_bytes, mark_bits)
-    described = rows.select("row", "carried", "id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
-    members = described.join(named, "row")
+    named = identities(_named_blocks(docs, rows, block_bytes, mark_bits))
+    members = rows.select("row", "carried", "id", F.col("sha").alias("text_sha256")).join(named, "row")
     first = F.struct(F.col("id").isNull().alias("missing"), F.col("id"), F.col("row"))
     groups = stored(members.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min(first).alias("first")))
     return members.join(groups, ["level", "name"]).select(
@@ -135,14 +150,15 @@ def exact_duplicates(
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the columns of documents that `docs` has."""
-    columns = tuple(c for c in DOCUMENT if c in docs.columns)
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*columns).alias("document"))
-    stay = exact_duplicates(docs, carry=()).where("kept").select("row")
-    return numbered.join(stay, "row", "left_semi").select("document.*")
+    columns = [c for c in DOCUMENT if c in docs.columns]
+    stay = exact_duplicates(docs).where("kept").select(F.struct("doc_id", F.col("text_sha256").alias("sha")).alias("same"))
+    sha = F.sha2(normalised(F.col("text")), 256)
+    rows = docs.select(*columns, F.struct("doc_id", sha.alias("sha")).alias("same")).dropDuplicates(["same"])
+    return rows.join(stay, "same", "left_semi").select(*columns)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(table(spark, sf_dir, "documents")).drop("row")
+    return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 OP6_SQL = r"""

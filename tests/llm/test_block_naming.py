@@ -19,7 +19,7 @@ def plain(rows):
 
 @pytest.mark.parametrize(("block_bytes", "mark_bits"), [(1, 64), (3, 2), (64, 1), (2048, 64)])
 def test_equals_a_plain_version(odd_documents, block_bytes, mark_bits):
-    rows = [(r["doc_id"], (r["text"] or "")[:400] or None) for r in odd_documents.collect()]
+    rows = [(r["doc_id"], (r["text"] or "")[:90] or None) for r in odd_documents.collect()]
     frame = odd_documents.sparkSession.createDataFrame(rows, "doc_id long, text string").coalesce(1) if block_bytes < 64 else odd_documents
     rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
     found = exact_duplicates(frame, block_bytes=block_bytes, mark_bits=mark_bits).collect()
