@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flightpulse.llm.shared import DOCUMENT, table, word_count
+from flightpulse.llm.shared import DOCUMENT, stored, table, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -74,18 +74,16 @@ def mix(
         key.alias("key"),
     ).withColumn("range", F.shiftright(first_bits * ranges, 28).cast("int"))
 
-    group = Window.partitionBy("src", "range")
-    in_order = group.orderBy("key", "id", "size")
-    summed = rows.withColumn("upto", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "following", F.lead("size").over(in_order)
-    )
-    totals = summed.where(F.col("following").isNull()).select("src", "range", F.col("upto").alias("total"))
+    # One pass sums up the ranges, which are few; the other places the documents in them.
+    totals = stored(rows.groupBy("src", "range").agg(F.sum("size").alias("total")))
     by_source = Window.partitionBy("src")
     before = totals.withColumn(
         "before", F.sum("total").over(by_source.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")
     )
     sizes = totals.groupBy("src").agg(F.sum("total").alias("source_size"))
     plan = before.join(source_targets(sizes, weights, share, limit), "src").drop("total")
+    in_order = Window.partitionBy("src", "range").orderBy("key", "id", "size")
+    summed = rows.withColumn("upto", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     placed = summed.join(plan, ["src", "range"])
 
     begin = F.col("before") + F.col("upto") - F.col("size")
