@@ -20,8 +20,10 @@ PIPELINE_SHINGLE = 5
 #: At similarity 0.8 all BANDS bands of ROWS coordinates differ with probability (1 - 0.8^4)^24 = 3e-6.
 BANDS = 24
 ROWS = 4
-#: Members of a bucket that one task compares with the bucket's unresolved members.
-BLOCK = 256
+
+#: Members of a bucket in a block on average; two blocks are compared at once. Columns of the matrices.
+BLOCK = 1024
+STRETCH = 2048
 
 U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15
@@ -174,6 +176,83 @@ def _resolved(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(_alike(F.col("of_a"), F.col("of_b"))).select("a", "b")
 
 
+def _linked_roots(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs of roots that a link joins, between the members of two blocks of one bucket.
+
+    Common elements are counted for all pairs at once, as a product of matrices with a row for each member
+    and a column for each element that two or more members hold, a stretch of columns at a time.
+    """
+    names = ["key", "root", "elements"]
+    tables = (side.select([f"{n}_{mark}" for n in names]).rename_columns(names) for side, mark in ((left, "a"), (right, "b")))
+    both = pa.concat_tables(tables)
+    keys, roots = both.column("key").to_pylist(), both.column("root").to_pylist()
+    place: dict[bytes, int] = {}
+    rows = np.array([place.setdefault(key, len(place)) for key in keys], np.int64)
+    _, first = np.unique(rows, return_index=True)
+    sets = both.column("elements").combine_chunks().take(pa.array(first))
+    size = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    _, column, held = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(size)), size)[held[column] > 1]
+    column = (np.cumsum(held > 1) - 1)[column[held[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    a, b = rows[: len(left)], rows[len(left) :]
+    common = np.zeros((len(a), len(b)), np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, STRETCH):
+        at, end = np.searchsorted(column, [begin, begin + STRETCH])
+        part = np.zeros((len(size), STRETCH), np.float32)
+        part[row[at:end], column[at:end] - begin] = 1
+        common += part[a] @ part[b].T
+    number = {root: i for i, root in enumerate(dict.fromkeys(roots))}
+    root = np.array([number[r] for r in roots])
+    root_a, root_b = root[: len(left)], root[len(left) :]
+    whole = size[a][:, None] + size[b][None, :] - common
+    i, j = np.nonzero((100 * common >= PERCENT * whole) & (root_a[:, None] != root_b[None, :]))
+    pairs = np.unique(np.sort(np.stack([root_a[i], root_b[j]], axis=1), axis=1), axis=0)
+    named = list(number)
+    return pa.table({c: pa.array([named[k] for k in pairs[:, n]], pa.binary()) for n, c in enumerate(("a", "b"))})
+
+
+def _further_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of roots that a link between members of a bucket joins.
+
+    `rest` has band, value, key and root of the members but for the pivots. In a bucket, each pair of
+    different roots has a member outside the bucket's largest root, so those are compared with all
+    members. Buckets of the same members are compared once. A large bucket is cut into blocks, and
+    each block of the ones meets each block of the others in a task of bounded size.
+    """
+    hashed = rest.select("*", F.xxhash64("key").alias("h"), F.xxhash64("key", F.lit(1)).alias("g"))
+    roots = hashed.groupBy("band", "value", "root").agg(
+        F.count("*").alias("size"), F.sum(F.col("h").cast("decimal(38,0)")).alias("sum"), F.bit_xor("g").alias("xor")
+    )
+    buckets = (
+        roots.groupBy("band", "value")
+        .agg(
+            F.max(F.struct("size", "root")).alias("largest"),
+            F.count("*").alias("roots"),
+            F.sum("size").alias("size"),
+            F.sum("sum").alias("sum"),
+            F.bit_xor("xor").alias("xor"),
+        )
+        .where("roots > 1")
+        .groupBy("size", "sum", "xor")
+        .agg(F.min(F.struct("band", "value", F.col("largest.root").alias("largest"))).alias("bucket"))
+        .select("bucket.*", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    )
+    members = hashed.join(buckets, ["band", "value"]).join(sets, "key").withColumn("block", F.pmod("h", "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sides = {
+        "a": members.where(F.col("root") != F.col("largest")).withColumn("other", every),
+        "b": members.withColumn("other", F.col("block")).withColumn("block", every),
+    }
+    keys = ("band", "value", "block", "other")
+    left, right = (
+        side.select(*(F.col(c).alias(f"{c}_{mark}") for c in (*keys, "key", "root", "elements"))).groupBy(*(f"{k}_{mark}" for k in keys))
+        for mark, side in sides.items()
+    )
+    return left.cogroup(right).applyInArrow(_linked_roots, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, mark.
 
@@ -181,8 +260,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, bands: int = BANDS, r
     meet in a bucket, and only the least row of a class does, so copies cost nothing. In each bucket all
     members are compared with one pivot, the member that shares most buckets, on their whole sets. Members
     that are then still in different components are compared with the rest of their bucket, where those
-    of the bucket's largest component need not be compared with each other. So no two classes that
-    share a bucket are left untested unless they are already connected, and no bucket gives all its pairs.
+    of the bucket's largest component need not be compared with each other. So every two classes that
+    share a bucket and are alike end in one component, and no bucket gives all its pairs.
 
     A text without words has no shingles and is linked with nothing: its component is its own doc_id. A null
     doc_id never names a component that has another; a row is kept if its doc_id is the component's. Rows
@@ -210,8 +289,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, bands: int = BANDS, r
     sizes = members.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(members.join(sizes, ["band", "value"]))
     popular = members.groupBy("key").agg(F.sum("size").alias("popularity"))
-    members = stored(members.join(popular, "key"))
-    best = members.groupBy("band", "value").agg(F.max(F.struct("popularity", "key", "n")).alias("pivot"))
+    ranked = members.join(popular, "key").groupBy("band", "value").agg(F.max(F.struct("popularity", "key", "n")).alias("pivot"))
+    with_pivot = stored(members.join(ranked, ["band", "value"]).where(F.col("key") != F.col("pivot.key")))
 
     candidates = members.select("key", "least_id", "least_mark").distinct()
     texts = source.join(
@@ -219,50 +298,15 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, bands: int = BANDS, r
     )
     sets = stored(texts.select("key", "text").mapInArrow(_sets(words), "key binary, elements array<long>").dropDuplicates(["key"]))
 
-    with_pivot = members.join(best, ["band", "value"]).where(F.col("key") != F.col("pivot.key"))
     pairs = with_pivot.where(_may_be_alike(F.col("n"), F.col("pivot.n"))).select(F.col("pivot.key").alias("a"), F.col("key").alias("b"))
-    edges = stored(_resolved(pairs.distinct(), sets))
-    roots = connected_components(edges)
+    roots = connected_components(_resolved(pairs.distinct(), sets))
 
     rest = stored(
         with_pivot.select("band", "value", "key", "n")
         .join(roots.withColumnRenamed("node", "key"), "key", "left")
         .withColumn("root", F.coalesce("root", "key"))
     )
-    per_root = rest.groupBy("band", "value", "root").agg(
-        F.count("*").alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("xor")
-    )
-    buckets = (
-        per_root.groupBy("band", "value")
-        .agg(
-            F.max(F.struct("size", "root")).alias("largest"),
-            F.count("*").alias("roots"),
-            F.sum("size").alias("size"),
-            F.sum("sum").alias("sum"),
-            F.bit_xor("xor").alias("xor"),
-        )
-        .where("roots > 1")
-        .groupBy("size", "sum", "xor")  # buckets of the same members need comparing once
-        .agg(F.min(F.struct("band", "value", F.col("largest.root").alias("largest"))).alias("bucket"))
-        .select("bucket.*", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    )
-    open_members = rest.join(buckets, ["band", "value"]).join(sets, "key")
-    all_members = open_members.withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
-    minority = open_members.where(F.col("root") != F.col("largest")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = minority.select("band", "value", "block", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "root", "elements")))
-    more = left.join(
-        all_members,
-        (left["band"] == all_members["band"])
-        & (left["value"] == all_members["value"])
-        & (left["block"] == all_members["block"])
-        & (F.col("root_a") != F.col("root"))
-        & _may_be_alike(F.col("n_a"), F.col("n"))
-        & _alike(F.col("elements_a"), F.col("elements")),
-    ).select(F.col("key_a").alias("a"), F.col("key").alias("b"))
-    merged = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_of_a")), "a", "left")
-    merged = merged.join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_of_b")), "b", "left")
-    merged = merged.select(F.coalesce("root_of_a", "a").alias("a"), F.coalesce("root_of_b", "b").alias("b"))
-    second = connected_components(merged.distinct()).select(F.col("node").alias("root"), F.col("root").alias("final"))
+    second = connected_components(_further_links(rest, sets)).select(F.col("node").alias("root"), F.col("root").alias("final"))
 
     labelled = (
         classes.select("key", "least_id")

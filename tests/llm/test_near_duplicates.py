@@ -4,6 +4,9 @@ import re
 import numpy as np
 import pytest
 
+import pyarrow as pa
+
+from flightpulse.llm import near_duplicates as near
 from flightpulse.llm.components import connected_components
 from flightpulse.llm.near_duplicates import _Powers, near_duplicates, op4_near_dedup, shingle_set, sketch, without_near_duplicates
 
@@ -49,7 +52,10 @@ def family(rows, seed=1):
     return texts
 
 
-def test_families_of_graded_similarity(spark):
+@pytest.mark.parametrize(("block", "stretch"), [(1024, 2048), (7, 16)])
+def test_families_of_graded_similarity(spark, monkeypatch, block, stretch):
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "STRETCH", stretch)
     rows = family(240)
     sets = plain_sets(rows)
     expected = plain_components(sets)
@@ -121,3 +127,31 @@ def test_components(spark, shape):
     touched = {x for a, b in edges if a != b for x in (a, b)}
     assert {r["node"]: r["root"] for r in found} == {x: find(x) for x in touched}
     assert len(found) == len(touched)
+
+
+@pytest.mark.parametrize("stretch", [5, 2048])
+def test_links_between_blocks(monkeypatch, stretch):
+    monkeypatch.setattr(near, "STRETCH", stretch)
+    draw = random.Random(stretch)
+    base = list(range(100, 160))
+    sets = {}
+    for i in range(60):
+        kept = draw.sample(base, draw.randrange(40, 60))
+        sets[bytes([i])] = sorted(kept + [1000 * (i + 1) + k for k in range(draw.randrange(0, 8))])
+    root = {key: bytes([200 + draw.randrange(12)]) for key in sets}
+    left, right = list(sets)[:35], list(sets)[20:]  # some on both sides
+
+    def side(keys, mark):
+        columns = {"key": keys, "root": [root[k] for k in keys], "elements": [sets[k] for k in keys]}
+        types = {"key": pa.binary(), "root": pa.binary(), "elements": pa.list_(pa.int64())}
+        return pa.table({f"{c}_{mark}": pa.array(v, types[c]) for c, v in columns.items()})
+
+    expected = set()
+    for a in left:
+        for b in right:
+            common = len(set(sets[a]) & set(sets[b]))
+            if root[a] != root[b] and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                expected.add(frozenset((root[a], root[b])))
+    found = near._linked_roots(side(left, "a"), side(right, "b")).to_pylist()
+    assert {frozenset((r["a"], r["b"])) for r in found} == expected and len(found) == len(expected) > 3
+    assert near._linked_roots(side([], "a"), side(right, "b")).num_rows == 0
