@@ -42,9 +42,14 @@ def _named(pieces: DataFrame, key: list[str]) -> DataFrame:
     return _joined(pieces, stored(pieces.groupBy(*key).agg(first)), key)
 
 
-def _blocks(content: Column, block_bytes: int) -> Column:
-    """The bytes of a text in blocks of fixed size; one empty block for an empty text."""
-    data = F.encode(content, "utf-8")
+def _content() -> Column:
+    """The bytes that are compared. Selected as a column of its own, it is worked out once for each text."""
+    return F.encode(normalised(F.col("text")), "utf-8").alias("data")
+
+
+def _blocks(block_bytes: int) -> Column:
+    """The bytes of `data` in blocks of fixed size; one empty block for an empty text."""
+    data = F.col("data")
     count = F.greatest(F.lit(1), F.ceil(F.length(data) / block_bytes)).cast("int")
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(data, i * block_bytes + 1, F.lit(block_bytes)))
 
@@ -61,12 +66,9 @@ def _named_blocks(docs: DataFrame, rows: DataFrame, block_bytes: int, mark_bits:
     hash in the block's place. Where several blocks share a hash, and only there, the bytes are joined
     as well, so that names stay free of collisions.
     """
-    content = normalised(F.col("text"))
-    spread = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col("doc_id").alias("id"),
-        F.sha2(content, 256).alias("sha"),
-        F.posexplode(_blocks(content, block_bytes)).alias("position", "block"),
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"), _content())
+    spread = numbered.select(
+        "row", "id", F.sha2("data", 256).alias("sha"), F.posexplode(_blocks(block_bytes)).alias("position", "block")
     ).withColumn("mark", _mark(F.col("block"), mark_bits))
     first = F.min(_address(F.col("row"), F.col("position"))).alias("name")
     names = stored(spread.groupBy("mark", "block").agg(first).select("mark", "name"))
@@ -125,14 +127,15 @@ def exact_duplicates(
     Rows are numbered once and stored with the hashes of their blocks, so nothing depends on how a
     later scan is split among executors.
     """
-    content = normalised(F.col("text"))
     rows = stored(
         docs.select(
-            F.monotonically_increasing_id().alias("row"),
-            F.struct(*carry).alias("carried"),
-            F.col("doc_id").alias("id"),
-            F.sha2(content, 256).alias("sha"),
-            F.transform(_blocks(content, block_bytes), lambda block: _mark(block, mark_bits)).alias("marks"),
+            F.monotonically_increasing_id().alias("row"), F.struct(*carry).alias("carried"), F.col("doc_id").alias("id"), _content()
+        ).select(
+            "row",
+            "carried",
+            "id",
+            F.sha2("data", 256).alias("sha"),
+            F.transform(_blocks(block_bytes), lambda block: _mark(block, mark_bits)).alias("marks"),
         )
     )
     named = identities(_named_blocks(docs, rows, block_bytes, mark_bits))
