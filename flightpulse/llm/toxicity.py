@@ -1,17 +1,19 @@
-"""Toxicity by class-conditional Kneser-Ney models of letters."""
+"""Toxicity by class-conditional Kneser-Ney models: of the letters inside words, and of byte classes."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightpulse.llm.shared import fitted_logistic, fold, labelled_sample, logistic, table, utf8
 
-#: Letters of the model's alphabet, and of an n-gram; SYMBOLS ** ORDER counts are all that a model has.
+#: Symbols of the model of byte classes, and of its n-grams. The model of words has neither alphabet nor table size.
 SYMBOLS = 32
 ORDER = 4
 DISCOUNT = 0.75
@@ -22,6 +24,19 @@ PER_CLASS = 20_000
 FOLDS = 5
 #: Bytes of a text that are scored at once.
 STRETCH = 1 << 20
+#: Characters of an n-gram inside a word, blanks before and after it included.
+LETTERS = 8
+#: Consecutive characters of a word whose scores are added up, at most; the best ones of a longer word or unspaced text.
+SPAN = 16
+#: Numbers of a text's most toxic words, and what a word's score must pass to count towards the text's rate.
+WORST = (1, 2, 4, 8)
+MARGINS = (0.0, 1.0, 2.0, 4.0)
+#: Distinct words, or their characters, that a task remembers; when full, the memory starts anew. It bounds memory only.
+REMEMBERED = 300_000
+REMEMBERED_LETTERS = 8_000_000
+#: Features of a text by both models, and the penalty on their coefficients.
+FEATURES = 1 + len(PASSAGES) + 1 + len(MARGINS) + len(WORST)
+DECAY = 1e-3
 
 
 def _alphabet() -> np.ndarray:
@@ -111,10 +126,158 @@ def features(data: np.ndarray, ratios: np.ndarray) -> list[float]:
     return [total / length, *best]
 
 
-def _featured(ratios):
+def letters(words: list[str]) -> np.ndarray:
+    """A row of LETTERS code points for each character of each word and the blank after it; blanks stand before a word."""
+    text = "".join(" " * (LETTERS - 1) + word + " " for word in words)
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    codes = np.where(codes == 0, np.uint32(0xFFFD), codes)
+    lengths = np.array([len(word) + LETTERS for word in words], np.int64)
+    ends = np.cumsum(lengths)
+    last = np.arange(len(codes)) - np.repeat(ends - lengths, lengths) >= LETTERS - 1
+    windows = np.lib.stride_tricks.sliding_window_view(codes, LETTERS) if len(codes) else np.empty((0, LETTERS), np.uint32)
+    return windows[last[LETTERS - 1 :]] if len(codes) else windows
+
+
+_FACTORS = np.random.default_rng(11).integers(1, 1 << 63, LETTERS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def hashed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit numbers of n-grams, and of what stands before their last characters."""
+    history = np.full(len(rows), _FACTORS[-1])
+    for j in range(LETTERS - 1):
+        history += rows[:, j].astype(np.uint64) * _FACTORS[j]
+    return history - _FACTORS[-1] + rows[:, -1].astype(np.uint64) * _FACTORS[LETTERS - 1], history
+
+
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All n-grams inside words in a task, with their counts in ordinary and in toxic labelled rows."""
+
+    def given(counts: dict[int | None, Counter]) -> pa.RecordBatch:
+        words = list(set().union(*counts.values()))
+        rows = np.ascontiguousarray(letters(words))
+        repeats = np.array([len(word) + 1 for word in words], np.int64)
+        _, first, inverse = np.unique(hashed(rows)[0], return_index=True, return_inverse=True)
+        columns = [
+            np.bincount(inverse, np.repeat(np.array([counts[k][word] for word in words], float), repeats), len(first)).astype(np.int64)
+            for k in (0, 1)
+        ]
+        grams = np.ascontiguousarray(rows[first]).view(f"<U{LETTERS}").ravel().tolist()
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *map(pa.array, columns)], names=["gram", "ordinary", "toxic"])
+
+    counts: dict[int | None, Counter] = {k: Counter() for k in (None, 0, 1)}
+    characters = 0
+    for batch in batches:
+        for label, text in zip(batch.column("label").to_pylist(), batch.column("text")):
+            found = (text.as_py() or "").lower()
+            counts[label].update(found.split())
+            characters += len(found)
+            if characters > REMEMBERED_LETTERS:
+                yield given(counts)
+                counts, characters = {k: Counter() for k in (None, 0, 1)}, 0
+    if characters:
+        yield given(counts)
+
+
+def letter_ratios(grams: pd.DataFrame) -> pd.DataFrame:
+    """`number` and `ratio` of each n-gram that a class has, and of each history of one, from all n-grams (gram, ordinary, toxic)
+    of whole groups of three characters before the last.
+
+    Each class has its discounted counts. What the discount frees is spread by the numbers of different left
+    neighbours that shorter n-grams have in the corpus, which both classes share, down to an even spread
+    over the characters that follow. After a history that both have, a character that neither has seen
+    there has the ratio of what the discounts freed; it is kept under the history's number.
+    """
+    grams = grams.reset_index(drop=True)
+    text = grams["gram"]
+    lower = 1.0 / text.str[-1].groupby(text.str[-4:-1]).transform("nunique")
+    for size in range(4, LETTERS):
+        known = pd.DataFrame({"gram": text.str[-size:], "longer": text.str[-size - 1 :]}).drop_duplicates()
+        n = known.groupby("gram").size()
+        own = pd.DataFrame({"gram": n.index, "n": n.to_numpy(), "history": n.index.str[:-1]})
+        total, kinds = own.groupby("history")["n"].transform("sum"), own.groupby("history")["n"].transform("size")
+        place = pd.Index(own["gram"]).get_indexer(text.str[-size:])
+        spread = (np.maximum(own["n"] - DISCOUNT, 0) / total).to_numpy()[place], (DISCOUNT * kinds / total).to_numpy()[place]
+        lower = spread[0] + spread[1] * lower
+    history = text.str[:-1]
+    logs, freed = [], []
+    for name in ("toxic", "ordinary"):
+        n = grams[name]
+        total, kinds = n.groupby(history).transform("sum"), (n > 0).groupby(history).transform("sum")
+        back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        logs.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1) + back * lower))
+        freed.append(np.log(back))
+    rows = np.array(text.tolist(), f"<U{LETTERS}").view(np.uint32).reshape(-1, LETTERS)
+    number, before = hashed(rows)
+    seen = (grams["toxic"] + grams["ordinary"] > 0).to_numpy()
+    begun = (freed[0] != freed[1])
+    found = pd.DataFrame(
+        {
+            "number": np.concatenate([number[seen], before[begun]]).view(np.int64),
+            "ratio": np.concatenate([(logs[0] - logs[1])[seen], (freed[0] - freed[1])[begun]]).astype(np.float32),
+        }
+    )
+    return found.drop_duplicates("number")
+
+
+def _letter_ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [batch for batch in batches if batch.num_rows]
+    if rows:
+        yield from pa.Table.from_pandas(letter_ratios(pa.Table.from_batches(rows).to_pandas()), preserve_index=False).to_batches()
+
+
+class WordScores:
+    """Scores of words by the ratios of their n-grams; each distinct word is worked out once as long as it is remembered."""
+
+    def __init__(self, numbers: np.ndarray, ratios: np.ndarray) -> None:
+        self.numbers, self.ratios = numbers, ratios
+        self.known: dict[str, float] = {}
+
+    def _of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.numbers, numbers), len(self.numbers) - 1)
+        return self.numbers[at] == numbers, self.ratios[at]
+
+    def scored(self, words: list[str]) -> np.ndarray:
+        """The greatest sum of at most SPAN consecutive characters' ratios of each word; of all of them if there are fewer."""
+        if not len(self.numbers) or not words:
+            return np.zeros(len(words))
+        number, before = hashed(letters(words))
+        (found, ratio), (begun, freed) = self._of(number), self._of(before)
+        score = np.where(found, ratio, np.where(begun, freed, 0)).astype(np.float64)
+        lengths = np.array([len(word) + 1 for word in words], np.int64)
+        ends = np.cumsum(lengths)
+        sums = np.concatenate([[0.0], np.cumsum(score)])
+        whole = sums[ends] - sums[ends - lengths]
+        for i in np.flatnonzero(lengths > SPAN):
+            part = sums[ends[i] - lengths[i] : ends[i] + 1]
+            whole[i] = (part[SPAN:] - part[:-SPAN]).max()
+        return whole
+
+    def features(self, text: str) -> list[float]:
+        """Of a text's words: the mean score, what passes each margin by word, and the means of the worst few."""
+        words = text.lower().split()
+        if not words:
+            return [0.0] * (1 + len(MARGINS) + len(WORST))
+        new = list(set(words).difference(self.known))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, list(set(words))
+        self.known.update(zip(new, self.scored(new).tolist()))
+        score = np.array([self.known[word] for word in words])
+        worst = -np.sort(-score if len(score) <= max(WORST) else -np.partition(score, len(score) - max(WORST))[-max(WORST) :])
+        return [score.mean(), *(np.maximum(score - m, 0).mean() for m in MARGINS), *(worst[:k].sum() / k for k in WORST)]
+
+
+def text_features(batch: pa.RecordBatch, ratios: np.ndarray, scores: WordScores) -> list[list[float]]:
+    """Features of each text by both models."""
+    texts = batch.column("text")
+    return [features(data, ratios) + scores.features(text.as_py() or "") for data, text in zip(utf8(texts), texts)]
+
+
+def _featured(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios, table = model.value
+        scores = WordScores(*table)
         for batch in batches:
-            found = [features(data, ratios.value) for data in utf8(batch.column("text"))]
+            found = text_features(batch, ratios, scores)
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.float64()))], names=["label", "features"])
 
     return run
@@ -122,9 +285,10 @@ def _featured(ratios):
 
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios, beta = model.value
+        ratios, table, beta = model.value
+        scores = WordScores(*table)
         for batch in batches:
-            found = np.array([features(data, ratios) for data in utf8(batch.column("text"))]).reshape(-1, 1 + len(PASSAGES))
+            found = np.array(text_features(batch, ratios, scores)).reshape(-1, FEATURES)
             score = logistic(found @ beta[:-1] + beta[-1])
             columns = [*(batch.column(n) for n in ("doc_id", "held_out")), pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
@@ -132,26 +296,25 @@ def _scored(model):
     return run
 
 
-def fitted_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, np.ndarray]:
-    """Log ratios of all n-grams, and the coefficients that turn a text's features into a score.
+def fitted_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Log ratios of byte classes, the table of ratios inside words, and the coefficients that turn a text's features into a score.
 
     Shared counts come from all documents outside the held-out fold, labelled or not; class counts from
-    three quarters of the bounded sample; the calibration from the remaining quarter. What reaches the
-    driver are at most SYMBOLS ** ORDER sums and the features of the calibration rows. Without rows of
-    both classes all scores are 0.
+    three quarters of the bounded sample; the calibration from the remaining quarter. N-grams inside words
+    are counted, and their ratios worked out, in tables keyed by the n-gram itself. What reaches the
+    driver are at most SYMBOLS ** ORDER sums of byte classes, 12 bytes for each n-gram inside words that a
+    class has, and the features of the calibration rows. Without rows of both classes all scores are 0.
     """
     learn = fold(F.col("doc_id"), FOLDS) > 0
     sample, weight = labelled_sample(docs, labels, "toxic", learn, per_class)
+    none = (np.empty(0, np.uint64), np.empty(0, np.float32))
     if len(weight) < 2:
-        return np.zeros(SYMBOLS**ORDER, np.float32), np.array([0.0] * (1 + len(PASSAGES)) + [-40.0])
+        return np.zeros(SYMBOLS**ORDER, np.float32), none, np.array([0.0] * FEATURES + [-40.0])
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0
     ids = sample.where(~calibrates).select("doc_id", "label")
+    told = docs.select("doc_id", "text").where(learn).join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id", "left").select("label", "text")
     counted = (
-        docs.select("doc_id", "text")
-        .where(learn)
-        .join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id", "left")
-        .select("label", "text")
-        .mapInArrow(_counted, "ngram long, every long, ordinary long, toxic long")
+        told.mapInArrow(_counted, "ngram long, every long, ordinary long, toxic long")
         .groupBy("ngram")
         .agg(*(F.sum(c).alias(c) for c in ("every", "ordinary", "toxic")))
         .toPandas()
@@ -160,21 +323,33 @@ def fitted_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     for k, name in enumerate(("every", "ordinary", "toxic")):
         dense[k, counted["ngram"].to_numpy()] = counted[name].to_numpy()
     ratios = log_ratios(*dense)
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    found = (
+        told.mapInArrow(_lettered, "gram string, ordinary long, toxic long")
+        .groupBy("gram")
+        .agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+        .repartition(F.substring("gram", LETTERS - 3, 3))
+        .mapInArrow(_letter_ratios, "number long, ratio float")
+        .toArrow()
+    )
+    numbers = found.column("number").to_numpy().view(np.uint64)
+    order = np.argsort(numbers)
+    inside = (numbers[order], found.column("ratio").to_numpy()[order])
+    shared = docs.sparkSession.sparkContext.broadcast((ratios, inside))
     rows = sample.where(calibrates).select("label", "text").mapInArrow(_featured(shared), "label int, features array<double>").collect()
     y = np.array([row["label"] for row in rows], float)
     if len(set(y)) < 2:
-        return ratios, np.array([1.0] + [0.0] * (1 + len(PASSAGES)))
+        return ratios, inside, np.array([1.0] + [0.0] * FEATURES)
     x = np.array([row["features"] for row in rows])
     weights = np.array([weight[int(k)] for k in y])
-    return ratios, fitted_logistic(x, y, weights / weights.mean())
+    return ratios, inside, fitted_logistic(x, y, weights / weights.mean(), DECAY)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     `score` rises with the ratio of toxic to ordinary likelihood, by symbol of the whole text and of its
-    most toxic passages, so a few words in a long text still show. Labels are learned only from rows
+    most toxic passages, and by the letters of its words, on average and in the most toxic ones, so a few
+    words in a long text still show, and in any script. Labels are learned only from rows
     whose crc32 of doc_id modulo 5 is not 0; a null doc_id is never learned from nor held out. A null
     or blank text has the score of a single blank. Repeated rows give repeated rows; other columns are
     ignored, whatever their names. No documents give no rows.

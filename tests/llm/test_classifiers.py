@@ -245,3 +245,13 @@ def test_given_findings_are_learned(spark):
     labels = spark.createDataFrame([(i, begins[i], 1 - i % 2) for i, _ in texts], "doc_id long, begin long, label int")
     rows = secrets.secret_findings(docs, labels).collect()
     assert len(rows) == 200 and np.mean([r["is_secret"] == (r["doc_id"] % 2 == 0) for r in rows]) > 0.95
+
+
+def test_toxicity_by_language_on_held_out_rows(spark):
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    told = {r["doc_id"]: r["toxic"] for r in labels.where("toxic is not null").collect()}
+    langs = {r["doc_id"]: r["lang"] for r in documents.select("doc_id", "lang").collect()}
+    rows = [r for r in toxicity.toxicity(documents, labels).collect() if r["held_out"] and r["doc_id"] in told]
+    for lang, least in (("en", 0.75), ("fr", 0.75), ("de", 0.5), ("es", 0.0)):  # es has six such rows
+        found = [(told[r["doc_id"]], r["predicted"]) for r in rows if langs[r["doc_id"]] == lang]
+        assert np.mean([b for a, b in found if a == 1]) >= least and np.mean([b for a, b in found if a == 0]) <= 0.05
