@@ -1,6 +1,8 @@
 import zlib
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +257,51 @@ def test_toxicity_by_language_on_held_out_rows(spark):
     for lang, least in (("en", 0.75), ("fr", 0.75), ("de", 0.5), ("es", 0.0)):  # es has six such rows
         found = [(told[r["doc_id"]], r["predicted"]) for r in rows if langs[r["doc_id"]] == lang]
         assert np.mean([b for a, b in found if a == 1]) >= least and np.mean([b for a, b in found if a == 0]) <= 0.05
+
+
+@pytest.mark.parametrize("toxic,clean", [("агжмп", "пмжга"), ("混沌", "秩序"), ("sh1t", "sh.t")])
+def test_toxic_words_in_any_script(spark, toxic, clean):
+    draw = np.random.default_rng(6)
+    filler = ["алма", "река", "時間", "river", "stone", "ein", "haus"]
+
+    def text(label):
+        words = list(draw.choice(filler, 12))
+        words.insert(int(draw.integers(0, 12)), toxic if label else clean)
+        return " ".join(words)
+
+    rows = [(i, text(i % 2)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    found = [r for r in toxicity.toxicity(docs, labels).collect() if r["held_out"]]
+    assert len(found) > 40 and np.mean([r["predicted"] == r["doc_id"] % 2 for r in found]) == 1
+
+
+def test_ratios_inside_words_follow_the_discounted_counts():
+    draw = np.random.default_rng(1)
+    words = ["".join(draw.choice(list("abж時"), draw.integers(1, 6))) for _ in range(400)]
+    grams = [w for word in words for w in np.ascontiguousarray(toxicity.letters([word])).view(f"<U{toxicity.LETTERS}").ravel().tolist()]
+    every = Counter(grams)
+    frame = pd.DataFrame({"gram": list(every)})
+    frame["ordinary"], frame["toxic"] = draw.integers(0, 4, len(frame)), draw.integers(0, 4, len(frame))
+    found = toxicity.letter_ratios(frame).set_index("number")["ratio"]
+    d = toxicity.DISCOUNT
+
+    def lower(gram):
+        if len(gram) == 3:
+            after = {g[-1] for g in every if g[-4:-1] == history[-3:]}
+            return 1 / len(after)
+        longer = {g[-len(gram) - 1 :] for g in every}
+        counts = Counter(g[1:] for g in longer if g[1:-1] == gram[:-1])
+        return (counts[gram] - d + d * len(counts) * lower(gram[1:])) / sum(counts.values())
+
+    for gram in list(every)[:: max(1, len(every) // 40)]:
+        history, ratio = gram[:-1], 0.0
+        for sign, name in ((1, "toxic"), (-1, "ordinary")):
+            counts = {g: n for g, n in zip(frame["gram"], frame[name]) if g[:-1] == history and n}
+            base, total = lower(gram[1:]), sum(counts.values())
+            own = (max(counts.get(gram, 0) - d, 0) + d * len(counts) * base) / total if total else base
+            ratio += sign * np.log(own)
+        number = toxicity.hashed(np.array([list(map(ord, gram))], np.uint32))[0].view(np.int64)[0]
+        row = frame[frame["gram"] == gram].iloc[0]
+        if row["toxic"] + row["ordinary"]:
+            assert found[number] == pytest.approx(ratio, abs=1e-4)
