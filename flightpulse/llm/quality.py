@@ -16,9 +16,8 @@ WIDTH, STRIDE, FILTERS, EMBEDDING = 8, 4, 32, 8
 #: Places of the filters in a chunk, and between the beginnings of two chunks: chunks overlap by half.
 CHUNK, STEP = 64, 32
 HIDDEN = 24
-#: Labelled rows of either class that the network is fitted on, at most, and their longest text in bytes.
+#: Labelled rows of either class that the network is fitted on, at most; whole texts, however long.
 PER_CLASS = 1500
-LONGEST = 16_384
 #: Steps of the optimiser, and rows of one: a small sample is gone through more often.
 STEPS, ROWS = 560, 32
 RATE = 0.004
@@ -84,9 +83,14 @@ def probability(p: Parameters, data: np.ndarray) -> float:
     return float(logistic(np.float64(best @ p["out"] + p["out_offset"][0])))
 
 
+def _telling(p: Parameters, view: np.ndarray) -> np.ndarray:
+    """The chunks of a text that hold a unit's maximum: no error flows to others."""
+    return view if len(view) <= HIDDEN else view[np.unique(chunk_units(p, view).argmax(0))]
+
+
 def _gradients(p: Parameters, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> Parameters:
     """Gradients of the weighted log loss; a text's error flows to the chunks that hold its maxima."""
-    views = [chunks(t) for t in texts]
+    views = [_telling(p, chunks(t)) for t in texts]
     at = np.cumsum([0] + [len(v) for v in views])
     block = np.concatenate(views)
     windows, active, pooled = _convolved(p, block)
@@ -144,7 +148,7 @@ def fitted(texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: in
     return p
 
 
-def fitted_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST) -> Parameters:
+def fitted_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Parameters:
     """A network fitted on a bounded sample of labelled rows outside the held-out fold.
 
     Rows count by the number of labels they stand for, so scores follow the labels' shares. With labels of
@@ -152,7 +156,7 @@ def fitted_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     """
     learn = fold(F.col("doc_id"), FOLDS).isin(0, 2)
     sample, weight = labelled_sample(docs, labels, "quality", learn, per_class)
-    rows = sample.where(F.octet_length("text") <= longest).orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
+    rows = sample.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
     y = np.array([row["label"] for row in rows], float)
     if len(set(y)) < 2:
         p = initial()

@@ -305,3 +305,13 @@ def test_ratios_inside_words_follow_the_discounted_counts():
         row = frame[frame["gram"] == gram].iloc[0]
         if row["toxic"] + row["ordinary"]:
             assert found[number] == pytest.approx(ratio, abs=1e-4)
+
+
+def test_long_texts_are_learned(spark):
+    draw = np.random.default_rng(5)
+    words = ["river", "stone", "light", "house", "garden", "evening"]
+    rows = [(i, " ".join(draw.choice(words, 40)) if i % 2 else "".join(draw.choice(list("0123456789#"), 17_000))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    found = [r for r in quality.quality(docs, labels).collect() if r["held_out"]]
+    assert len(found) > 10 and all(r["predicted"] == r["doc_id"] % 2 for r in found)
