@@ -35,6 +35,7 @@ _NEIGHBOUR = re.compile(r"[A-Za-z][A-Za-z_]*")
 # forms of strings that are none.
 _ACCESS_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}")
 _ASSIGNMENT = re.compile(r"(?:password|passwd|pwd|secret|token|api_?key|access_?key)[\"']?\s*[=:]\s*[\"']?", re.IGNORECASE)
+_GIVEN = re.compile(_ASSIGNMENT.pattern.removesuffix(r"[\"']?") + r"""(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|["']?(\S+))""", re.IGNORECASE)
 _ADDRESS = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 _NUMBER = re.compile(r"[0-9.+-]+")
 _PLACEHOLDER = re.compile(r"(?i)x{4,}|(?:example|changeme|placeholder|your[_-])|(.)\1{7,}")
@@ -51,17 +52,29 @@ _CLASS[ord("a") : ord("z") + 1] = 2
 
 
 def candidates(text: str) -> Iterator[tuple[int, str]]:
-    """Begin and value of strings that could be a secret: long, unbroken, and with a digit; a name that is assigned to is cut off."""
+    """Begin and value of strings that could be a secret: whatever is given to a credential's name, of any length and
+    characters, and unbroken long strings with a digit; a name that is assigned to is cut off."""
+    given = set()
+    for found in _GIVEN.finditer(text):
+        kind = found.lastindex
+        value = found.group(kind) if kind < 3 else found.group(kind).rstrip("\"',;.=-")
+        if value:
+            given.add(found.start(kind))
+            yield found.start(kind), value
     for found in CANDIDATE.finditer(text):
         begin, value = found.start(), found.group()
         name = _ASSIGNMENT.match(value)
         if name:
             begin, value = begin + name.end(), value[name.end() :]
         kept = value.rstrip(".=-")
-        if len(kept) >= 12 and any(c.isdigit() for c in kept):
+        if begin not in given and _long(kept):
             yield begin, kept
 
 
+def _long(value: str) -> bool:
+    return len(value) >= 12 and any(c.isdigit() for c in value) and CANDIDATE.fullmatch(value) is not None
+
+
 def rule_label(value: str, before: str) -> int | None:
     """1 or 0 where the form alone tells, for learning; None for other candidates."""
     if _PLACEHOLDER.search(value) or _ADDRESS.fullmatch(value) or _NUMBER.fullmatch(value) or _PATH.fullmatch(value):
@@ -69,7 +82,7 @@ def rule_label(value: str, before: str) -> int | None:
     if _ACCESS_KEY.fullmatch(value):
         return 1
     assigned = list(_ASSIGNMENT.finditer(before))
-    return 1 if assigned and assigned[-1].end() == len(before) else None
+    return 1 if _long(value) and assigned and assigned[-1].end() == len(before) else None
 
 
 def covered(value: str, words: set[str]) -> float:
@@ -88,7 +101,7 @@ def covered(value: str, words: set[str]) -> float:
 
 def described(value: str, before: str, words: set[str]) -> list[float]:
     """The features of a candidate but for the rates of its neighbouring words."""
-    kinds = _CLASS[np.minimum(np.frombuffer(value.encode("ascii"), np.uint8), 127)]
+    kinds = _CLASS[np.minimum(np.array([ord(c) for c in value]), 127)]
     counts = np.array(list(Counter(value).values()), float) / len(value)
     changes = np.flatnonzero(np.diff(kinds)) + 1
     runs = np.diff(np.concatenate([[0], changes, [len(value)]]))
@@ -128,7 +141,7 @@ def _found(shared):
                     next_names = _NEIGHBOUR.findall(after)
                     rows.append(
                         (
-                            doc_id, learned, begin, begin + len(value), value[:4] + "*" * (len(value) - 4),
+                            doc_id, learned, begin, begin + len(value), value[: min(4, len(value) // 2)].ljust(len(value), "*"),
                             names[-1].lower() if names else "", next_names[0].lower() if next_names else "",
                             rule_label(value, before), described(value, before, words),
                         )
@@ -222,14 +235,15 @@ def _scored(shared):
 def secret_findings(docs: DataFrame, labels: DataFrame | None = None, per_label: int = PER_LABEL, trees: int = TREES) -> DataFrame:
     """One row per candidate: doc_id, begin, end, masked, label, score, is_secret.
 
-    Candidates are unbroken strings of 12 or more characters with a digit. The forest judges them by length,
+    Candidates are all values given to a credential's name, and unbroken strings of 12 or more characters with a
+    digit. Of the former, the form alone tells only for unbroken long ones with a digit. The forest judges them by length,
     mix of and changes between kinds of characters, the share that dictionary words cover, paths,
     assignment, and the words beside them. It is fitted on a bounded sample of labelled findings: `labels`
     (doc_id, begin, label), or else the candidates whose form alone tells (a published key form or an
     assigned credential; a number, an address, a path, a placeholder). Documents whose crc32 of doc_id
     modulo 3 is 1, or whose doc_id is null, are not learned from. The dictionary is counted over all documents.
 
-    `begin` and `end` count characters; `masked` shows four. Null and empty texts have no candidates. Repeated
+    `begin` and `end` count characters; `masked` shows four, and of short values less than half or half. Null and empty texts have no candidates. Repeated
     rows give repeated findings; other columns are ignored, whatever their names. No documents give
     no rows.
     """

@@ -315,3 +315,11 @@ def test_long_texts_are_learned(spark):
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
     found = [r for r in quality.quality(docs, labels).collect() if r["held_out"]]
     assert len(found) > 10 and all(r["predicted"] == r["doc_id"] % 2 for r in found)
+
+
+@pytest.mark.parametrize("value", ["Tr0ub4dor3", "correcthorsebatterystaple", "a!b#c$9%", "four words of passphrase", "schlüssel"])
+@pytest.mark.parametrize("form", ['password = "{}"', "api_key: '{}' end"])
+def test_given_values_are_candidates(value, form):
+    text = "see " + form.format(value)
+    assert (text.index(value), value) in list(secrets.candidates(text))
+    assert len(secrets.described(value, text[: text.index(value)], set())) == len(secrets.FEATURES) - 2
