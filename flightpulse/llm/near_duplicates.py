@@ -197,12 +197,12 @@ def _linked_roots(left: pa.Table, right: pa.Table) -> pa.Table:
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     a, b = rows[: len(left)], rows[len(left) :]
-    common = np.zeros((len(a), len(b)), np.float32)
+    common = np.zeros((len(a), len(b)), np.int64)
     for begin in range(0, int(column[-1]) + 1 if len(column) else 0, STRETCH):
         at, end = np.searchsorted(column, [begin, begin + STRETCH])
         part = np.zeros((len(size), STRETCH), np.float32)
         part[row[at:end], column[at:end] - begin] = 1
-        common += part[a] @ part[b].T
+        common += (part[a] @ part[b].T).astype(np.int64)
     number = {root: i for i, root in enumerate(dict.fromkeys(roots))}
     root = np.array([number[r] for r in roots])
     root_a, root_b = root[: len(left)], root[len(left) :]

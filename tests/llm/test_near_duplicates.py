@@ -155,3 +155,11 @@ def test_links_between_blocks(monkeypatch, stretch):
     found = near._linked_roots(side(left, "a"), side(right, "b")).to_pylist()
     assert {frozenset((r["a"], r["b"])) for r in found} == expected and len(found) == len(expected) > 3
     assert near._linked_roots(side([], "a"), side(right, "b")).num_rows == 0
+
+
+def test_links_of_extremely_long_texts_are_counted_in_whole_numbers(monkeypatch):
+    monkeypatch.setattr(near, "STRETCH", 1 << 20)
+    common = next(c for c in range(2_700_000, 2_800_000, 4) if float(np.float32(100) * np.float32(c)) < 100 * c)
+    sets = [np.arange(common), np.arange(common + common // 4)]  # exactly at 0.8
+    side = lambda mark, k: pa.table({f"key_{mark}": pa.array([b"%d" % k], pa.binary()), f"root_{mark}": pa.array([b"%d" % k], pa.binary()), f"elements_{mark}": pa.array([sets[k]], pa.list_(pa.int64()))})
+    assert near._linked_roots(side("a", 0), side("b", 1)).num_rows == 1
