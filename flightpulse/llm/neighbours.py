@@ -195,16 +195,19 @@ def _compared(count: int, size: int, parts: int):
         lies, ids = candidates.column("part").to_numpy(), candidates.column("ids").to_pylist()
         keys, probed = queries.column("asked").to_numpy(), queries.column("parts").to_pylist()
         found: list[tuple[int, int, float]] = []
-        short = min(len(known), count + 12)
+        short = min(len(known), count)
+        longest = np.sqrt((known * known).sum(1).max(initial=0))
         for at in range(0, len(asked) if len(known) else 0, 256):
             block = asked[at : at + 256]
             allowed = np.zeros((len(block), parts), bool)
             for i, chosen in enumerate(probed[at : at + 256]):
                 allowed[i, chosen] = True
             product = np.where(allowed[:, lies], block @ known.T, -np.inf)
-            near = np.argpartition(-product, short - 1, axis=1)[:, :short]
-            for i, chosen in enumerate(near):
-                chosen = chosen[allowed[i, lies[chosen]]]
+            # all rows that tie with the last one, as far as the product's rounding can tell
+            margin = 4 * size * np.finfo(float).eps * longest * np.sqrt((block * block).sum(1))
+            least = np.partition(product, len(known) - short, axis=1)[:, len(known) - short] - margin
+            for i in range(len(block)):
+                chosen = np.flatnonzero(allowed[i, lies] & (product[i] >= least[i]))
                 # summed anew, the same way for every pair, whatever the blocks were
                 scores = (known[chosen] * block[i]).sum(1)
                 rows = [(-s, v) for s, c in zip(scores.tolist(), chosen) for v in ids[c]]

@@ -91,3 +91,17 @@ def test_groups_hold_about_as_many_rows_as_a_block():
         0: (0, 1), 1: (0, 1), 2: (1, 1), 3: (2, 3), 4: (3, 1), 5: (4, 1),
     }
     assert grouped({}, 100) == {}
+
+
+def test_different_vectors_that_tie_give_the_smaller_ids(spark):
+    draw = np.random.default_rng(8)
+    bits = np.unique(draw.integers(0, 2, (300, 12)), axis=0)
+    bits = draw.permutation(bits[bits.any(1)]).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(bits)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest_neighbours(vectors, F.col("vec_id") < 20, nearest=5).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for i in range(20):
+        order = sorted((-float(bits[j] @ bits[i]), j) for j in range(len(bits)) if j != i)[:5]
+        assert [j for _, j in sorted(found[i])] == [j for _, j in order]
