@@ -9,7 +9,7 @@ from flightpulse.llm.registry import ORACLE_SQL, QUERIES
 
 def test_every_operator_is_registered():
     names = entry_points.queries()
-    assert sorted(int(name[2:].split("_")[0]) for name in names if name.startswith("op") and name[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in names if name.startswith("op") and name[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in names and set(ORACLE_SQL) <= set(QUERIES) <= set(names)
     assert set(ORACLE_SQL) <= set(entry_points.oracle_sql())
 
