@@ -99,8 +99,8 @@ def test_chunks_give_the_groups_of_whole_texts(monkeypatch):
         for text in ODD:
             found = plain_groups(text)
             want = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in found)
-            assert aligner.document(text)[4] == want, text
-    assert aligner.document(ODD[2])[:5] == (0, 0, 0, 0, "")
+            assert aligner.texts([None, text, ""])[1][5] == want, text
+    assert aligner.texts(ODD)[2] is alignment.NOTHING
 
 
 def test_query_equals_the_plain_version(spark, sf_dir):
@@ -134,7 +134,7 @@ def test_a_long_text_keeps_memory_small():
     aligner = alignment.Aligner(*PATHS)
     text = "some words of a long text " * 200_000  # 5.2 MB
     tracemalloc.start()
-    found = aligner.document(text)
+    found = aligner.texts([text])[0]
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found[0] == 6 * 200_000 + 1 and found[2] == found[1] and peak < 40 * len(text)
