@@ -10,11 +10,12 @@ from __future__ import annotations
 import csv
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import partial, reduce
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..vocabulary import (
@@ -30,7 +31,11 @@ from ..vocabulary import (
 _TIMESTAMP_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
 # One field of a raw line: quoted, with doubled quotes inside, or plain.
 _FIELD = r'(?:^|;)(?:"(?:[^"]|"")*+"[^;]*|[^";][^;]*)?'
-_HEADERS_AT_ONCE = 8
+# What a line without text consists of: control characters and blanks.
+_BLANK = "".join(map(chr, range(33)))
+_SOME_TEXT = r"[^\\x00-\\x20]"  # in a SQL literal
+# Larger than any file, and small enough that the sum over many files is still a long.
+_WHOLE_FILES = 1 << 44
 
 
 def month_of_file(path: str) -> str:
@@ -56,21 +61,35 @@ def list_monthly_files(spark: SparkSession, directory: str) -> list[str]:
     return sorted((row.path for row in found), key=lambda path: (month_of_file(path), path))
 
 
-def read_header_fields(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Fields of the header line: the first line with text after the preamble.
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The header line of the one file that a task reads; nothing more of the file is asked for."""
+    number, empty = 0, True
+    for batch in batches:
+        for line, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if number and line.strip(_BLANK):
+                yield pa.RecordBatch.from_pydict({"path": [path], "empty": [empty], "header": [line]})
+                return
+            empty = empty and not line
+            number += 1
 
-    Reads the start of the file only, ten times as far again while there are
-    nothing but blank lines.
+
+def read_beginnings(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[tuple[str, ...], bool]]:
+    """Fields of each file's header line, and whether all lines before it are empty; keyed by path.
+
+    The header is the first line with text after the first line. One job for any number of files: a
+    session of its own reads each file as one split, and a task stops at the header, a few lines on.
     """
-    reach = 10
-    while True:
-        lines = spark.read.text(path).head(reach)
-        text = next((row.value for row in lines[1:] if row.value.strip()), None)
-        if text is not None:
-            return tuple(next(csv.reader([text], delimiter=";")))
-        if len(lines) < reach:
-            raise ValueError(f"no header line in {path}")
-        reach *= 10
+    own = spark.newSession()
+    for name, value in {
+        "spark.sql.files.maxPartitionBytes": _WHOLE_FILES,
+        "spark.sql.files.openCostInBytes": _WHOLE_FILES,
+        "spark.sql.files.maxPartitionNum": (1 << 31) - 1,
+        "spark.sql.execution.arrow.maxRecordsPerBatch": 16,
+    }.items():
+        own.conf.set(name, str(value))
+    lines = own.read.text(list(paths)).select("value", "_metadata.file_path")
+    found = lines.mapInArrow(_beginnings, "path string, empty boolean, header string").collect()
+    return {row.path: (tuple(next(csv.reader([row.header], delimiter=";"))), row.empty) for row in found}
 
 
 def column_names(fields: Sequence[str]) -> tuple[str, ...]:
@@ -85,7 +104,8 @@ def column_names(fields: Sequence[str]) -> tuple[str, ...]:
 
 def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
     """Column names of one file."""
-    return column_names(read_header_fields(spark, path))
+    ((fields, _),) = read_beginnings(spark, [path]).values()
+    return column_names(fields)
 
 
 def parse_timestamp(text: Column) -> Column:
@@ -116,12 +136,12 @@ def month_of_name(file_name: str) -> str:
 def named_rows(
     rows: DataFrame,
     columns: dict[str, str],
-    file_name: str,
+    month: str,
     na_tokens: Sequence[str] = NA_TOKENS,
 ) -> DataFrame:
     """Text fields under their column names, missing-value texts as null, and ``ref_month``.
 
-    ``columns`` maps fields of ``rows`` to names; ``file_name`` is SQL.
+    ``columns`` maps fields of ``rows`` to names; ``month`` is SQL.
     """
     missing = ", ".join(_text(token) for token in na_tokens) or "NULL"
     return rows.selectExpr(
@@ -129,12 +149,17 @@ def named_rows(
             f"CASE WHEN {_name(field)} IN ({missing}) THEN NULL ELSE {_name(field)} END AS {_name(column)}"
             for field, column in columns.items()
         ],
-        f"{month_of_name(file_name)} AS ref_month",
+        f"{month} AS ref_month",
     )
 
 
-def flights_of_named_rows(parts: Sequence[DataFrame]) -> DataFrame:
-    """Flights from parts whose columns differ in order and kind, matched by name."""
+def flights_of_named_rows(parts: Sequence[DataFrame], checks: Observation | None = None) -> DataFrame:
+    """Flights from parts whose columns differ in order and kind, matched by name.
+
+    ``checks`` is filled by whatever action runs over the flights, without a
+    scan of its own: ``rows``, ``refused_`` a time column (text that is no
+    time), ``missing_`` any other known column.
+    """
     known = {name for part in parts for name in part.columns}
     missing = [
         name for name in (*SOURCE_COLUMNS.values(), DROPPED_SOURCE_COLUMN) if name not in known
@@ -145,58 +170,98 @@ def flights_of_named_rows(parts: Sequence[DataFrame]) -> DataFrame:
     flights = rows.drop(F.col(_name(DROPPED_SOURCE_COLUMN))).withColumnsRenamed(
         {name: ours for ours, name in SOURCE_COLUMNS.items()}
     )
-    return flights.withColumns({name: parse_timestamp(F.col(name)) for name in TIMESTAMP_COLUMNS})
+    times = {name: parse_timestamp(F.col(name)) for name in TIMESTAMP_COLUMNS}
+    if checks is None:
+        return flights.withColumns(times)
+    refused = {name: F.count_if(F.col(name).isNotNull() & F.col(f"_time_{name}").isNull()) for name in TIMESTAMP_COLUMNS}
+    absent = {name: F.count_if(F.col(name).isNull()) for name in SOURCE_COLUMNS if name not in TIMESTAMP_COLUMNS}
+    observed = flights.withColumns({f"_time_{name}": time for name, time in times.items()}).observe(
+        checks,
+        F.count(F.lit(1)).alias("rows"),
+        *[value.alias(f"refused_{name}") for name, value in refused.items()],
+        *[value.alias(f"missing_{name}") for name, value in absent.items()],
+    )
+    return observed.select(
+        *[F.col(f"_time_{name}").alias(name) if name in times else F.col(_name(name)) for name in flights.columns]
+    )
+
+
+def _without_header(from_line: bool):
+    """Passes on what follows the header of each file, and nothing else of the beginning.
+
+    A batch's last two columns say where in its file a row's split begins and
+    which file it is; a header lies in the split that begins at 0. Of lines,
+    the first and all up to the next one with text go; of parsed rows, whose
+    reader has passed over the preamble, all up to the first with text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, number, over = None, 0, False
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            *columns, start, files = batch.columns
+            files = files.to_numpy()
+            at = np.flatnonzero(start.to_numpy() == 0)
+            k = 0
+            while k < len(at):
+                if files[at[k]] != file:
+                    file, number, over = files[at[k]], 0, False
+                if over:  # on to the next file
+                    other = np.flatnonzero(files[at[k:]] != file)
+                    k = k + int(other[0]) if len(other) else len(at)
+                    continue
+                keep[at[k]] = False
+                texts = [column[int(at[k])].as_py() for column in columns[:-1]]
+                over = (number > 0 or not from_line) and any(text and text.strip(_BLANK) for text in texts)
+                number += 1
+                k += 1
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2]).filter(pa.array(keep))
+
+    return run
 
 
 def _read_group(
     spark: SparkSession,
     paths: Sequence[str],
     header: Sequence[str],
+    empty: bool,
     na_tokens: Sequence[str],
     multi_line: bool,
 ) -> DataFrame:
-    """Files that share one header, as text columns plus ``ref_month``.
+    """Files that share one header, as text columns plus ``ref_month``, in one scan.
 
-    The reader keeps the raw line of a row whose number of fields is not the
-    header's; such a row is an error if it has more. One row per file is its
-    header. Rows that repeat it are data: since all of them are the same, they
-    are counted per file and all but one are put back.
+    A file's preamble and header go by their place in the file, so rows that
+    repeat the header are data. The parser keeps the raw line of a row whose
+    number of fields is not the header's; such a row is an error if it has more.
     """
     fields = [f"c{position}" for position in range(len(header))]
-    raw = (
-        spark.read.schema(", ".join(f"{field} STRING" for field in [*fields, "raw_line"]))
-        .option("sep", ";")
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("columnNameOfCorruptRecord", "raw_line")
-        # With a given schema this skips the first line of every file: the preamble.
-        .option("header", True)
-        .csv(list(paths))
-    )
-    is_header = " AND ".join(
-        f"{field} <=> {_text(name) if name else 'NULL'}" for field, name in zip(fields, header)
-    )
-    columns = dict(zip(fields, column_names(header)))
+    schema = ", ".join(f"{field} STRING" for field in [*fields, "raw_line"])
+    options = {"sep": ";", "escape": '"', "columnNameOfCorruptRecord": "raw_line"}
+    place = [
+        f"{month_of_name('_metadata.file_name')} AS ref_month",
+        "_metadata.file_block_start AS start",
+        "xxhash64(_metadata.file_path) AS file",
+    ]
+    if multi_line:
+        # With a given schema, ``header`` passes over the first line that is not empty: the header itself if
+        # nothing stands before it, or the preamble alone.
+        rows = spark.read.schema(schema).options(**options, multiLine=True, header=True).csv(list(paths))
+        if empty:
+            raw = rows.selectExpr("*", place[0])
+        else:
+            raw = rows.selectExpr("*", *place).mapInArrow(_without_header(False), f"{schema}, ref_month STRING")
+        raw = raw.where(rf"raw_line IS NULL OR raw_line RLIKE '{_SOME_TEXT}'")
+    else:
+        lines = spark.read.text(list(paths)).selectExpr("value", *place)
+        data = lines.mapInArrow(_without_header(True), "value STRING, ref_month STRING")
+        parsed = F.from_csv("value", schema, options).alias("row")
+        raw = data.where(f"value RLIKE '{_SOME_TEXT}'").select(parsed, "ref_month").select("row.*", "ref_month")
     # The test reads all fields, so the raw line is there whatever columns a caller selects.
-    data = raw.where(
+    whole = raw.where(
         f"CASE WHEN raw_line IS NULL OR regexp_count(raw_line, {_text(_FIELD)}) <= {len(fields)} THEN true "
-        "ELSE raise_error('a row has more fields than its header') END "
-        f"AND NOT ({is_header})"
-    )
-    repeats = (
-        raw.where(is_header)
-        .groupBy("_metadata.file_path", "_metadata.file_name")
-        .agg(F.count("*").alias("n"))
-        .where("n > 1")
-        .selectExpr("file_name", "explode(sequence(2, n)) AS repeat")
-        .selectExpr(
-            "file_name",
-            *[f"{_text(name) if name else 'CAST(NULL AS STRING)'} AS {field}" for field, name in zip(fields, header)],
-        )
-    )
-    return named_rows(data, columns, "_metadata.file_name", na_tokens).unionAll(
-        named_rows(repeats, columns, "file_name", na_tokens)
+        "ELSE raise_error('a row has more fields than its header') END"
     )
+    return named_rows(whole, dict(zip(fields, column_names(header))), "ref_month", na_tokens)
 
 
 def read_monthly_files(
@@ -204,25 +269,30 @@ def read_monthly_files(
     paths: Iterable[str],
     na_tokens: Sequence[str] = NA_TOKENS,
     multi_line: bool = False,
+    checks: Observation | None = None,
 ) -> DataFrame:
     """Flights from the given files, columns matched by name.
 
-    The driver looks at one header line per file, a few files at once; files
-    with the same header are then read together, split and parsed in parallel.
-    A row shorter than its header is filled with nulls, a longer one, be its
+    The driver sees one header line per file, found by one job; files with the
+    same header are then read together, split and parsed in parallel, once. A
+    row shorter than its header is filled with nulls, a longer one, be its
     surplus empty, is an error. ``multi_line`` allows line breaks inside
-    quotes, at the price of unsplittable files.
+    quotes, at the price of unsplittable files. ``checks`` is an observation
+    that counts rows, refused times and missing codes as the flights are written.
     """
     paths = list(paths)
     for path in paths:
         month_of_file(path)
-    with ThreadPoolExecutor(max_workers=_HEADERS_AT_ONCE) as pool:
-        headers = list(pool.map(partial(read_header_fields, spark), paths))
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for header, path in zip(headers, paths):
-        groups[header].append(path)
+    listed = spark.read.format("binaryFile").load(paths).select("path", "_metadata.file_path").collect()
+    beginnings = read_beginnings(spark, paths)
+    groups: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
+    for row in listed:
+        if row.file_path not in beginnings:
+            raise ValueError(f"no header line in {row.path}")
+        header, empty = beginnings[row.file_path]
+        groups[header, empty and multi_line].append(row.path)
     return flights_of_named_rows(
-        [_read_group(spark, group, header, na_tokens, multi_line) for header, group in groups.items()]
+        [_read_group(spark, group, *kind, na_tokens, multi_line) for kind, group in groups.items()], checks
     )
 
 

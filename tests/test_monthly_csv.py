@@ -179,6 +179,80 @@ def test_one_header_row_per_file_goes(spark, tmp_path):
     assert found == [("2024-01", "GLO"), ("2024-01", name), ("2024-01", name), ("2024-02", "GLO")]
 
 
+@pytest.mark.parametrize("multi_line", [False, True])
+@pytest.mark.parametrize("preamble", [PREAMBLE, "", "  ", '"a;b'])
+def test_only_the_header_in_its_place_goes(spark, tmp_path, preamble, multi_line):
+    """Blank preambles, rows that repeat the header, and files that end with it."""
+    if multi_line and preamble.startswith('"'):
+        preamble += '"'  # an open quote would take in the lines after it
+    header = dict(zip(HEADER, HEADER))
+    for name, rows in (("VRA_20241.csv", [header, {}, header]), ("VRA_20242.csv", []), ("VRA_20243.csv", [header]), ("VRA_20244.csv", [{}])):
+        write_file(tmp_path, name, rows)
+        text = (tmp_path / name).read_text(encoding="utf-8-sig")
+        gap = "\n \n" if name == "VRA_20243.csv" else "\n"
+        (tmp_path / name).write_text(preamble + gap + text.split("\n", 1)[1], encoding="utf-8-sig")
+    found = read_monthly_directory(spark, str(tmp_path), multi_line=multi_line).collect()
+    name = "ICAO Empresa Aérea"
+    expected = [("2024-01", "GLO"), ("2024-01", name), ("2024-01", name), ("2024-03", name), ("2024-04", "GLO")]
+    assert sorted((row.ref_month, row.carrier) for row in found) == expected
+
+
+def test_files_in_many_splits(spark, tmp_path):
+    """A header-like row in any split but the first, files that share a task, and one scan in the plan."""
+    header = dict(zip(HEADER, HEADER))
+    write_file(tmp_path, "VRA_20241.csv", [{}] * 300 + [header] + [{}] * 300 + [header])
+    for month in range(2, 8):
+        write_file(tmp_path, f"VRA_2024{month}.csv", [header, {}])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (before, "2000", "200"):
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "10")
+            frame = read_monthly_directory(spark, str(tmp_path))
+            assert frame._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+            found = sorted((row.ref_month, row.carrier) for row in frame.collect())
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        name = "ICAO Empresa Aérea"
+        assert len(found) == 602 + 12 and found.count(("2024-01", name)) == 2
+        assert [month for month, carrier in found if carrier == name][2:] == [f"2024-{m:02d}" for m in range(2, 8)]
+
+
+def test_headers_are_found_by_one_job(spark, tmp_path):
+    def jobs(files):
+        folder = tmp_path / str(files)
+        folder.mkdir()
+        for k in range(files):
+            write_file(folder, f"VRA_2{k:03d}1.csv", [{}], HEADER if k % 2 else [*HEADER, f"Nota {k % 4}"])
+        group = f"headers-{files}"
+        spark.sparkContext.setJobGroup(group, group)
+        columns = read_monthly_directory(spark, str(folder)).columns
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert {"Nota 0", "Nota 2"} <= set(columns)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(4) == jobs(25) <= 3
+
+
+def test_checks_are_filled_by_the_write(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    rows = [{}, {"Partida Real": "x"}, {"Partida Real": ""}, {"ICAO Empresa Aérea": "NA", "Partida Real": "2024-02-30 00:00:00"}]
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    write_file(raw, "VRA_20241.csv", rows)
+    write_file(raw, "VRA_20242.csv", [{"Chegada Prevista": "24:00"}], [*HEADER, "Nota"])
+    checks = Observation("ingest")
+    flights = read_monthly_directory(spark, str(raw), checks=checks)
+    assert flights.columns == read_monthly_directory(spark, str(raw)).columns
+    write_flights(flights, str(tmp_path / "flights"))
+    found = checks.get
+    assert {k: v for k, v in found.items() if v} == {"rows": 5, "refused_actual_dep": 2, "refused_sched_arr": 1, "missing_carrier": 1}
+    stored = read_flights(spark, str(tmp_path / "flights"))
+    assert stored.count() == found["rows"] and stored.where("carrier IS NULL").count() == found["missing_carrier"]
+
+
 def test_header_with_repeated_and_empty_names_goes(spark, tmp_path):
     write_file(tmp_path, "VRA_20241.csv", [{}], [*HEADER, "Nota", "", "Nota"])
     rows = read_monthly_directory(spark, str(tmp_path)).collect()
