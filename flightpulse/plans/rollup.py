@@ -6,10 +6,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.cells import roll_up
 from ..operators.derive import ARRIVAL_KEYS, CELL_KEYS, MAXIMA, MINIMA, PAIR_KEYS, SUMS, histogram
-from ..sources.tables import write_months
+from ..sources.publish import Publication, Store
+from ..sources.tables import published
 from .facts import Facts
 
 _MEASURES = [f"{measure} BIGINT" for measure in SUMS] + [
@@ -35,7 +37,11 @@ def rolled_arrivals(facts: Facts) -> DataFrame:
 
 def pair_totals(facts: Facts) -> DataFrame:
     """Flights and cancellations per month, origin and carrier: what the phantom pairs follow from."""
-    return facts.pairs.groupBy(*PAIR_KEYS).agg(
+    return summed_pairs(facts.pairs)
+
+
+def summed_pairs(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*PAIR_KEYS).agg(
         F.sum("n").alias("n"), F.sum("n_cancelled").alias("n_cancelled")
     )
 
@@ -46,32 +52,54 @@ def delay_histogram(facts: Facts) -> DataFrame:
 
 
 def write_rollup(facts: Facts, path: str, months: Iterable[str] | None = None) -> None:
-    """Build the rollup under ``path`` (a shared folder).
+    """Build the rollup under ``path`` (a shared folder) and publish its four parts at once.
 
-    With ``months`` only these partitions are rebuilt: the measures add up, so
-    no other month is read or written. ``rebalance`` gathers a month's rows
-    into files of the advised size and splits a month that outgrows one.
+    With ``months`` only these partitions are rebuilt, or go if no flights are
+    left of them: the measures add up, so no other month is read or written.
+    The pair totals are sums of the cells just written, so they need no scan of
+    the flights. ``rebalance`` gathers a month's rows into files of the advised
+    size and splits a month that outgrows one.
     """
-    replace_all = months is None
-    if not replace_all:
-        facts = facts.where(F.col("ref_month").isin(list(months)))
-    for name, frame in (
-        ("cells", rolled_cells(facts)),
-        ("arrivals", rolled_arrivals(facts)),
-        ("delays", delay_histogram(facts)),
-        ("pairs", pair_totals(facts)),
-    ):
-        write_months(frame.hint("rebalance", "ref_month"), f"{path}/{name}", replace_all)
+    spark = facts.cells.sparkSession
+    store = Store(spark, path)
+    before = store.current() or Publication()
+    if months is not None:
+        months = list(months)
+        facts = facts.where(F.col("ref_month").isin(months))
+    fresh = {
+        name: store.write(frame.hint("rebalance", "ref_month"), name)
+        for name, frame in (
+            ("cells", rolled_cells(facts)),
+            ("arrivals", rolled_arrivals(facts)),
+            ("delays", delay_histogram(facts)),
+        )
+    }
+    cells = store.read(Publication(parts=fresh), "cells", _schema(CELL_SCHEMA))
+    fresh["pairs"] = store.write(summed_pairs(cells).hint("rebalance", "ref_month"), "pairs")
+    if months is not None:
+        for name, folders in fresh.items():
+            kept = {m: f for m, f in before.parts.get(name, {}).items() if m not in months}
+            fresh[name] = kept | folders
+    store.publish(before, Publication(parts=fresh))
+
+
+def _schema(text: str) -> StructType:
+    """Fields of a stored part, the month last."""
+    fields = StructType.fromDDL(text).fields
+    return StructType([f for f in fields if f.name != "ref_month"]).add("ref_month", "string")
 
 
 def read_rollup(spark: SparkSession, path: str) -> Facts:
+    """The four parts of one publication."""
+    store = Store(spark, path)
+    state = published(store)
     return Facts(
-        spark.read.schema(CELL_SCHEMA).parquet(f"{path}/cells"),
-        spark.read.schema(DELAY_SCHEMA).parquet(f"{path}/delays"),
-        spark.read.schema(ARRIVAL_SCHEMA).parquet(f"{path}/arrivals"),
-        read_pair_totals(spark, path),
+        *[
+            store.read(state, name, _schema(text))
+            for name, text in (("cells", CELL_SCHEMA), ("delays", DELAY_SCHEMA), ("arrivals", ARRIVAL_SCHEMA), ("pairs", PAIR_SCHEMA))
+        ]
     )
 
 
 def read_pair_totals(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAIR_SCHEMA).parquet(f"{path}/pairs")
+    return read_rollup(spark, path).pairs

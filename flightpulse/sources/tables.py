@@ -1,65 +1,65 @@
-"""Stored tables: Parquet, one partition per reference month."""
+"""Stored flights: Parquet, one partition per reference month, replaced all at once."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..vocabulary import SOURCE_COLUMNS, TIMESTAMP_COLUMNS
-
-# Spark's readers of the table pass over names with an underscore.
-COLUMN_LIST = "_columns"
-
+from ..vocabulary import TIMESTAMP_COLUMNS
+from .publish import Publication, Store
 
-def write_months(frame: DataFrame, path: str, replace_all: bool = True) -> None:
-    """Write a table partitioned by ``ref_month``.
+FLIGHTS = "flights"
 
-    ``replace_all=False`` replaces only the months present in ``frame``.
-    """
-    mode = "static" if replace_all else "dynamic"
-    (
-        frame.write.mode("overwrite")
-        .option("partitionOverwriteMode", mode)
-        .partitionBy("ref_month")
-        .parquet(path)
-    )
 
+def write_flights(
+    flights: DataFrame, path: str, replace_all: bool = True, months: Iterable[str] | None = None
+) -> None:
+    """Store flights as read from monthly files, and the names of their columns.
 
-def write_flights(flights: DataFrame, path: str, replace_all: bool = True) -> None:
-    """Store flights as read from monthly files, and the names of their columns beside them.
+    ``replace_all=False`` replaces only the months present in ``flights``, and
+    ``months``, which go if no flights are left of them. Readers see the old
+    months and columns until all new ones are there, whenever a write ends.
 
     Writing needs no shuffle: a split of a large file belongs to one month, and
     a task that reads several small files sorts its own rows by month. Months
     that come later may bring columns of their own; the names are added up.
     """
-    spark = flights.sparkSession
+    store = Store(flights.sparkSession, path)
+    before = store.current() or Publication()
+    written = store.write(flights, FLIGHTS)
     names = flights.drop("ref_month").columns
     if not replace_all:
-        known = stored_columns(spark, path)
+        known = before.columns.get(FLIGHTS, [])
         names = known + [name for name in names if name not in known]
-    write_months(flights, path, replace_all)
-    rows = spark.createDataFrame(list(enumerate(names)), "position INT, name STRING")
-    rows.coalesce(1).write.mode("overwrite").json(f"{path}/{COLUMN_LIST}")
+        replaced = {*written, *(months or ())}
+        written = {m: f for m, f in before.parts.get(FLIGHTS, {}).items() if m not in replaced} | written
+    store.publish(before, Publication(parts={FLIGHTS: written}, columns={FLIGHTS: names}))
+
+
+def published(store: Store) -> Publication:
+    state = store.current()
+    if state is None:
+        raise FileNotFoundError(f"no table was published in {store.path}")
+    return state
 
 
 def stored_columns(spark: SparkSession, path: str) -> list[str]:
-    """Column names a table was stored with; the known ones where no list is stored."""
-    try:
-        rows = spark.read.schema("position INT, name STRING").json(f"{path}/{COLUMN_LIST}").collect()
-    except AnalysisException:
-        return list(SOURCE_COLUMNS)
-    return [row.name for row in sorted(rows)]
+    """Names of all columns that any month was stored with."""
+    return published(Store(spark, path)).columns[FLIGHTS]
 
 
 def read_flights(spark: SparkSession, path: str) -> DataFrame:
     """Every column that any month was stored with; null in months without it.
 
-    The schema comes from the stored list of names: no footer is opened to
-    plan a query, and a report still reads only the columns it needs.
+    The frame stays with the state that is current now. Its schema comes from
+    the stored list of names: no footer is opened to plan a query, and a report
+    still reads only the columns it needs.
     """
-    types = ((name, "timestamp_ntz" if name in TIMESTAMP_COLUMNS else "string") for name in stored_columns(spark, path))
+    store = Store(spark, path)
+    state = published(store)
     schema = StructType()
-    for name, kind in types:
-        schema = schema.add(name, kind)
-    return spark.read.schema(schema.add("ref_month", "string")).parquet(path)
+    for name in state.columns[FLIGHTS]:
+        schema = schema.add(name, "timestamp_ntz" if name in TIMESTAMP_COLUMNS else "string")
+    return store.read(state, FLIGHTS, schema.add("ref_month", "string"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.facts import facts_from_flights
@@ -19,15 +19,23 @@ _LISTING_SCHEMA = "path STRING, modificationTime TIMESTAMP_LTZ, length BIGINT, c
 
 
 def load_months(
-    spark: SparkSession, directory: str, table: str, months: set[str], rollup: str | None = None
+    spark: SparkSession,
+    directory: str,
+    table: str,
+    months: set[str],
+    rollup: str | None = None,
+    checks: Observation | None = None,
 ) -> None:
     """Rebuild the partitions of the given months from all their files.
 
     The result depends only on the files present, so repeating it after a
-    failure gives the same table. Registered views see the new months.
+    failure gives the same table. The flights and the rollup each change all at
+    once; views of the stored flights then show the new months and their
+    columns. ``checks`` counts rows, refused times and missing codes on
+    the way.
     """
     paths = [path for path in list_monthly_files(spark, directory) if month_of_file(path) in months]
-    write_flights(read_monthly_files(spark, paths), table, replace_all=False)
+    write_flights(read_monthly_files(spark, paths, checks=checks), table, replace_all=False, months=months)
     if rollup is not None:
         write_rollup(facts_from_flights(read_flights(spark, table)), rollup, sorted(months))
     refresh_views(spark)
