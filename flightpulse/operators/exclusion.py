@@ -15,56 +15,56 @@ def exclude_pairs(rows: DataFrame, pairs: DataFrame, first: str, second: str) ->
     SQL's ``NOT IN`` treats a null on either side as "could be equal", which
     Spark would plan as a nested loop. A row is dropped when the pair list has
 
-    * the same pair;
-    * its first value with a null second, or its second value with a null first;
-    * its first value, if its own second is null (and the other way round);
-    * any null second, if its own first is null (and the other way round);
-    * anything at all, if both its values are null; or (null, null) itself.
-
-    The first three are hash lookups, the others a one-row summary of the list.
-    All lookups use null-safe equality: it gives the same answer and, unlike
-    plain equality, adds no not-null filter below the pair list, so the list
-    is computed once and its shuffle is reused by every branch. They are left
-    joins rather than an anti join, which Spark may push below an aggregate
-    of ``rows`` and so repeat for every flight. No join is hinted: the list
-    can grow, and its real size decides.
+    * the same pair, or its first value with a null second, or a null first
+      with its second value, or (null, null);
+    * if its second is null: its first value, or any null first;
+    * if its first is null: its second value, or any null second;
+    * anything at all, if both its values are null.
+
+    A row meets the list in one lookup: an entry for each first value holds the
+    set of its seconds and whether one of them is null. What rows need beside
+    their entry is one row for the whole list: the seconds that stand with a
+    null first, all seconds (looked at for rows with a null first only), and
+    four flags. So entries are as many as first values, and sets as long as the
+    second values are many; both are codes, far fewer than rows.
+
+    The lookup uses null-safe equality: it gives the same answer (a null first
+    has an entry of its own, which no test needs) and, unlike plain equality,
+    adds no not-null filter below the pair list, so the list is computed once
+    and its shuffle is reused. It is a left join rather than an anti join, which
+    Spark may push below an aggregate of ``rows`` and so repeat for every flight.
+    No join is hinted: the list can grow, and its real size decides.
     """
     listed = pairs.selectExpr(f"`{first}` AS _first", f"`{second}` AS _second")
-    by_pair = listed.distinct().selectExpr(
-        "_first AS _pair_first", "_second AS _pair_second", "true AS _pair_listed"
-    )
-    by_first = listed.groupBy(F.col("_first").alias("_own_first")).agg(
-        F.expr("true AS _first_listed"), F.expr("bool_or(_second IS NULL) AS _second_open")
-    )
-    by_second = listed.groupBy(F.col("_second").alias("_own_second")).agg(
-        F.expr("true AS _second_listed"), F.expr("bool_or(_first IS NULL) AS _first_open")
+    entries = listed.groupBy(F.col("_first").alias("_own_first")).agg(
+        F.expr("struct(collect_set(_second) AS seconds, bool_or(_second IS NULL) AS open) AS _entry")
     )
     summary = listed.selectExpr(
         """struct(
              count(1) > 0 AS any_pair,
              coalesce(bool_or(_first IS NULL), false) AS open_first,
              coalesce(bool_or(_second IS NULL), false) AS open_second,
-             coalesce(bool_or(_first IS NULL AND _second IS NULL), false) AS open_both)"""
+             coalesce(bool_or(_first IS NULL AND _second IS NULL), false) AS open_both,
+             collect_set(_second) FILTER (WHERE _first IS NULL) AS with_open_first,
+             collect_set(_second) AS seconds)"""
     ).scalar()
     # ``greatest`` is true when any of its tests is and skips nulls. Unlike an OR
     # it is not taken apart, so no test on the keys alone moves down to the
     # flights, where their scan would have to wait for the list.
     dropped = f"""greatest(
         false,
-        _pair_listed,
-        _second_open,
-        _first_open,
-        `{second}` IS NULL AND _first_listed,
-        `{first}` IS NULL AND _second_listed,
-        `{first}` IS NULL AND _list.open_second,
+        _list.open_both,
+        array_contains(_entry.seconds, `{second}`),
+        _entry.open,
+        array_contains(_list.with_open_first, `{second}`),
+        `{second}` IS NULL AND _entry IS NOT NULL,
         `{second}` IS NULL AND _list.open_first,
-        `{first}` IS NULL AND `{second}` IS NULL AND _list.any_pair,
-        _list.open_both)"""
+        `{first}` IS NULL AND `{second}` IS NOT NULL AND array_contains(_list.seconds, `{second}`),
+        `{first}` IS NULL AND _list.open_second,
+        `{first}` IS NULL AND `{second}` IS NULL AND _list.any_pair)"""
     return (
         rows.withColumn("_list", summary)
-        .join(by_pair, F.expr(f"`{first}` <=> _pair_first AND `{second}` <=> _pair_second"), "left")
-        .join(by_first, F.expr(f"`{first}` <=> _own_first"), "left")
-        .join(by_second, F.expr(f"`{second}` <=> _own_second"), "left")
+        .join(entries, F.expr(f"`{first}` <=> _own_first"), "left")
         .where(f"NOT {dropped}")
         .select(*rows.columns)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import pct
@@ -69,9 +69,9 @@ def origin_month_coverage(facts: Facts) -> DataFrame:
 
     An origin with fewer months, or with months below LOW_VOLUME_PCT percent of
     its own typical month (the upper median), had its operation interrupted
-    and is not comparable month by month. One grouping gives both: an origin
-    carries one entry per month, and the months of all origins meet in one row
-    per airport code.
+    and is not comparable month by month. One grouping gives an entry per month
+    and origin, the months as a bitmap. The bitmaps of all origins, one row per
+    airport code, add up to the months in the data, which is one number.
     """
     monthly = facts.cells.groupBy("origin", "ref_month").agg(total("n").alias("n"))
     origins = monthly.groupBy(F.col("origin").alias("aeroporto")).agg(
@@ -80,17 +80,17 @@ def origin_month_coverage(facts: Facts) -> DataFrame:
         F.min("n").alias("menor_volume_mes"),
         F.max("n").alias("maior_volume_mes"),
         F.sort_array(F.collect_list("n")).alias("volumes"),
-        F.collect_set("ref_month").alias("months"),
     )
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    all_months = F.array_distinct(F.flatten(F.collect_list("months").over(every)))
+    # The sum keeps the entries' columns the same for both uses, so that their shuffle serves both.
+    every = monthly.selectExpr("struct(count(DISTINCT ref_month) AS months, sum(n) AS n)").scalar()
     typical = F.expr("element_at(volumes, CAST(size(volumes) div 2 + 1 AS INT))")
     low = F.expr(f"size(filter(volumes, v -> v * 100 < volume_tipico_mes * {LOW_VOLUME_PCT}))")
     return (
-        origins.withColumn("meses_no_periodo", F.size(all_months).cast("bigint"))
+        origins.withColumn("_every", every)
+        .withColumn("meses_no_periodo", F.col("_every.months"))
         .withColumn("interrompido", F.col("meses_com_voos") < F.col("meses_no_periodo"))
         .withColumn("volume_tipico_mes", typical)
         .withColumn("meses_baixo_volume", low.cast("bigint"))
-        .drop("volumes", "months")
+        .drop("volumes", "_every")
         .orderBy("aeroporto")
     )

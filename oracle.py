@@ -8,7 +8,7 @@ ties are broken by the key, so both sides can be compared value by value.
 
 from __future__ import annotations
 
-from flightpulse.vocabulary import MONTH_LABELS
+from flightpulse.vocabulary import MONTH_LABELS, WEEKDAY_LABELS, WEEKDAY_NAMES
 
 FLIGHTS = """
 terms AS (
@@ -140,10 +140,9 @@ FIGURES = f"""{N} AS total_voos, {PCT} AS taxa_pontualidade_pct,
 CANCELLATIONS = f"""{N} AS total_voos, {count_if(CANCELLED)} AS cancelados,
        {CANC} AS taxa_cancelamento_pct"""
 
-WEEKDAY_NAME = """CASE weekday WHEN 0 THEN 'Domingo' WHEN 1 THEN 'Segunda' WHEN 2 THEN 'Terca'
-       WHEN 3 THEN 'Quarta' WHEN 4 THEN 'Quinta' WHEN 5 THEN 'Sexta' WHEN 6 THEN 'Sabado' END"""
+WEEKDAY_NAME = "CASE weekday " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in WEEKDAY_NAMES.items()) + " END"
 MONTH_LABEL = f"{list(MONTH_LABELS.values())}[mes]"
-WEEKDAY_LABEL = """['Dom','Seg','Ter','Qua','Qui','Sex','Sáb'][weekday + 1]"""
+WEEKDAY_LABEL = f"{list(WEEKDAY_LABELS.values())}[weekday + 1]"
 
 
 def on_rows(body: str) -> str:

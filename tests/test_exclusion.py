@@ -85,6 +85,12 @@ def test_plan_has_no_nested_loop_and_two_scans(flights):
     assert nodes(lines, "ReusedExchange")
 
 
+def test_rows_meet_the_list_in_one_join(flights):
+    pairs = phantom_pairs(flight_cells(flights))
+    lines = final_plan(exclude_pairs(flights, pairs, "origin", "carrier"))
+    assert len([line for line in lines if "Join" in line]) == 1
+
+
 def test_nothing_is_joined_or_tested_before_the_pre_aggregation(flights):
     """Below the first shuffle of the flights there are only projections and partial sums."""
     lines = final_plan(operational_cells(flight_cells(flights), "ref_month"))

@@ -19,7 +19,8 @@ def sql():
     reports = report_sql(
         MIN_FLIGHTS, MIN_FLIGHTS, entry_points.EXCLUDED_ORIGIN, entry_points.LABELS, entry_points.FLAGGED
     )
-    return {**reports, **operator_sql()}
+    statements = {f"sql_{name}": reports[name] for name in entry_points.STATEMENTS}
+    return {**reports, **statements, **operator_sql()}
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -29,7 +30,10 @@ def small_thresholds():
     entry_points.MIN_FLIGHTS_OF_YEAR = MIN_FLIGHTS
     for params in changed:
         params["min_flights"] = MIN_FLIGHTS
+    statement = entry_points.STATEMENT_PARAMETERS["carrier_best_on_time"]
+    statement[0] = MIN_FLIGHTS
     yield
+    statement[0] = entry_points.MIN_FLIGHTS
     for params, value in zip(changed, before):
         params["min_flights"] = value
     entry_points.MIN_FLIGHTS_OF_YEAR = of_year

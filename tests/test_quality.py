@@ -31,3 +31,8 @@ def test_no_flights(make_flights):
 def test_one_scan(flights):
     lines = final_plan(origin_month_coverage(facts_from_flights(flights)))
     assert len(nodes(lines, "FileScan parquet")) + len(nodes(lines, "Scan parquet")) == 1
+
+
+def test_no_window_over_all_origins(flights):
+    lines = final_plan(origin_month_coverage(facts_from_flights(flights)))
+    assert not nodes(lines, "Window") and nodes(lines, "ReusedExchange")
