@@ -13,17 +13,20 @@ from flightpulse.llm.shared import stored, table
 
 NEAREST = 20
 QUERY_EVERY = 20
-#: Distinct vectors that the partitions are learned from, at most.
+#: Distinct vectors that the partitions are learned from: so many, or as many more as there are partitions to
+#: tell apart, up to the second figure.
 SAMPLE = 8192
-#: Vectors of a partition on average, and the most partitions that the sample can tell apart.
-PARTITION_ROWS = 1024
-MOST_PARTITIONS = 128
+LARGEST_SAMPLE = 65_536
+#: The root of a table's distinct vectors over this is the number of partitions, as a power of two.
+ROOT_SHARE = 2.5
+#: Vectors of the sample in a partition, at least.
+SAMPLED_ROWS = 32
 #: Neighbours of a vector in the sample's graph.
 GRAPH = 20
 HIDDEN = 96
 EPOCHS = 25
 #: Share of the true neighbours that the probed partitions must hold for the sample's own queries.
-RECALL = 0.94
+RECALL = 0.95
 #: Candidates, and queries, that one task compares with each other at most, on average.
 BLOCK_ROWS = 16_384
 SEED = 11
@@ -134,12 +137,25 @@ def fitted_router(vectors: np.ndarray, shares: np.ndarray, epochs: int = EPOCHS,
     return tuple(p)
 
 
-def learned(vectors: np.ndarray, parts: int, recall: float = RECALL) -> tuple[Router, int]:
-    """A router, and the number of partitions to probe for the wanted recall.
+def mass_before(logits: np.ndarray) -> np.ndarray:
+    """For each row and partition, the probability of the partitions that are more probable."""
+    chance = np.exp(logits - logits.max(1, keepdims=True))
+    chance /= chance.sum(1, keepdims=True)
+    order = np.argsort(-chance, axis=1, kind="stable")
+    ordered = np.take_along_axis(chance, order, axis=1)
+    answer = np.empty_like(chance)
+    np.put_along_axis(answer, order, np.cumsum(ordered, axis=1) - ordered, axis=1)
+    answer[np.arange(len(answer)), order[:, 0]] = 0.0
+    return answer
+
+
+def learned(vectors: np.ndarray, parts: int, recall: float = RECALL) -> tuple[Router, float]:
+    """A router, and the mass of probability that a query's probed partitions reach.
 
-    The recall is measured with vectors of the sample that the router is not fitted on: a quarter of
-    them ask for their exact nearest neighbours in the whole sample, and the number of probes is the
-    least with which the wanted share of these lies in the probed partitions.
+    A query probes its most probable partitions until those before the next one have more than that mass, so
+    few where the router is sure and many where it is not. The mass is measured with vectors of the sample that the
+    router is not fitted on: a quarter of them ask for their exact nearest neighbours in the whole
+    sample, and it is the least with which the wanted share of these lies in the probed partitions.
     """
     graph = _nearest(vectors, GRAPH)
     part = balanced_parts(graph, parts)
@@ -150,10 +166,14 @@ def learned(vectors: np.ndarray, parts: int, recall: float = RECALL) -> tuple[Ro
     router = fitted_router(vectors[~asks], shares[~asks])
     logits = routed(router, vectors)
     lies = logits.argmax(1)
-    rank = np.empty((asks.sum(), parts), np.int64)
-    np.put_along_axis(rank, np.argsort(-logits[asks], axis=1, kind="stable"), np.arange(parts)[None, :], axis=1)
-    needed = np.sort(np.take_along_axis(rank, lies[graph[asks]], axis=1).ravel())
-    return router, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+    needed = np.sort(np.take_along_axis(mass_before(logits[asks]), lies[graph[asks]], axis=1).ravel())
+    return router, float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
+
+
+def partitions(distinct: int) -> int:
+    """How many partitions a table of so many distinct vectors has."""
+    wanted = min(np.sqrt(distinct) / ROOT_SHARE, LARGEST_SAMPLE / SAMPLED_ROWS, distinct / SAMPLED_ROWS)
+    return 1 << max(0, int(np.log2(max(1.0, wanted))))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
@@ -173,20 +193,63 @@ def grouped(counts: dict[int, int], rows: int) -> dict[int, tuple[int, int]]:
     return answer
 
 
-def _assigned(shared, probes: int, size: int):
-    """Adds `parts`: the most probable partitions of each vector, best first."""
+def _assigned(shared, mass: float, size: int, scale: float):
+    """Adds `parts`: the most probable partition of each vector, or all before which the mass is no larger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router = shared.value
         for batch in batches:
-            logits = routed(router, _matrix(batch.column("vector"), size))
-            order = np.argsort(-logits, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            parts = pa.ListArray.from_arrays(np.arange(0, order.size + 1, order.shape[1], dtype=np.int32), order.ravel())
+            logits = routed(router, scaled(_matrix(batch.column("vector"), size), scale))
+            chosen = mass_before(logits) <= mass if len(logits) else np.empty((0, 1), bool)
+            if mass < 0:  # rows lie in one partition only
+                chosen = np.arange(logits.shape[1])[None, :] == logits.argmax(1)[:, None] if len(logits) else chosen
+            at = np.concatenate([[0], np.cumsum(chosen.sum(1))]).astype(np.int32)
+            parts = pa.ListArray.from_arrays(at, np.nonzero(chosen)[1].astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, parts], names=[*batch.schema.names, "parts"])
 
     return run
 
 
+def scaled(vectors: np.ndarray, scale: float) -> np.ndarray:
+    """Vectors as the router takes them: by a common scale, outliers cut off. Only the choice of partitions sees this."""
+    return np.clip(vectors / scale, -1e3, 1e3)
+
+
+def best_rows(
+    asked: np.ndarray, known: np.ndarray, ids: list[list[int]], allowed: np.ndarray, count: int
+) -> Iterator[list[tuple[float, int]]]:
+    """For each row of `asked`, its `count` best ids among the `allowed` rows of `known`, as (-score, id) in order.
+
+    Rows are chosen by products of vectors that are divided by their largest entry, so that none overflows. A
+    score is the plain sum of products; one that is beyond double precision is infinite and ties with others.
+    """
+    size = known.shape[1]
+    short = min(len(known), count)
+    top = np.abs(known).max(initial=0) or 1.0
+    known_part = known / top
+    longest = np.sqrt((known_part * known_part).sum(1).max(initial=0))
+    tops = np.abs(asked).max(axis=1, initial=0)
+    asked_part = asked / np.where(tops > 0, tops, 1.0)[:, None]
+    product = np.where(allowed, asked_part @ known_part.T, -np.inf)
+    # all rows that tie with the last one, as far as the product's rounding can tell
+    margin = 4 * size * np.finfo(float).eps * longest * np.sqrt((asked_part * asked_part).sum(1))
+    least = np.partition(product, len(known) - short, axis=1)[:, len(known) - short] - margin
+    for i in range(len(asked)):
+        close = product[i] >= least[i]
+        huge = top * (size * min(tops[i], 1e300)) > 1e300  # some products may not be finite
+        with np.errstate(over="ignore", invalid="ignore"):
+            if huge:
+                close |= product[i] * tops[i] * top == np.inf
+            chosen = np.flatnonzero(allowed[i] & close)
+            # summed anew, the same way for every pair, whatever the blocks were
+            scores = (known[chosen] * asked[i]).sum(1)
+            if huge:
+                scores = np.where(np.isnan(scores), product[i, chosen] * tops[i] * top, scores)
+        rows = [(-s, v) for s, c in zip(scores.tolist(), chosen) for v in ids[c]]
+        rows.sort()
+        yield rows[:count]
+
+
 def _compared(count: int, size: int, parts: int):
     """The best rows of a block of candidates for each query of a turn, among the partitions it probes."""
 
@@ -195,24 +258,13 @@ def _compared(count: int, size: int, parts: int):
         lies, ids = candidates.column("part").to_numpy(), candidates.column("ids").to_pylist()
         keys, probed = queries.column("asked").to_numpy(), queries.column("parts").to_pylist()
         found: list[tuple[int, int, float]] = []
-        short = min(len(known), count)
-        longest = np.sqrt((known * known).sum(1).max(initial=0))
         for at in range(0, len(asked) if len(known) else 0, 256):
             block = asked[at : at + 256]
             allowed = np.zeros((len(block), parts), bool)
             for i, chosen in enumerate(probed[at : at + 256]):
                 allowed[i, chosen] = True
-            product = np.where(allowed[:, lies], block @ known.T, -np.inf)
-            # all rows that tie with the last one, as far as the product's rounding can tell
-            margin = 4 * size * np.finfo(float).eps * longest * np.sqrt((block * block).sum(1))
-            least = np.partition(product, len(known) - short, axis=1)[:, len(known) - short] - margin
-            for i in range(len(block)):
-                chosen = np.flatnonzero(allowed[i, lies] & (product[i] >= least[i]))
-                # summed anew, the same way for every pair, whatever the blocks were
-                scores = (known[chosen] * block[i]).sum(1)
-                rows = [(-s, v) for s, c in zip(scores.tolist(), chosen) for v in ids[c]]
-                rows.sort()
-                found.extend((int(keys[at + i]), v, -s) for s, v in rows[:count])
+            for key, rows in zip(keys[at : at + 256], best_rows(block, known, ids, allowed[:, lies], count)):
+                found.extend((int(key), v, -s) for s, v in rows)
         columns = list(zip(*found)) if found else [(), (), ()]
         return pa.table(
             {"asked": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())}
@@ -231,22 +283,23 @@ def nearest_neighbours(
     vectors: DataFrame,
     is_query: Column,
     nearest: int = NEAREST,
-    sample_rows: int = SAMPLE,
-    partition_rows: int = PARTITION_ROWS,
+    parts: int | None = None,
     recall: float = RECALL,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the `nearest` other rows of each query by inner product.
 
     `vectors` has vec_id and embedding. On a bounded sample, a graph of neighbours is cut into balanced
-    partitions and a small network learns to tell them apart; every row is indexed under its most
-    probable partition, and a query probes as many partitions as the sample needed for `recall`. Equal
-    vectors are indexed once, with the smallest ids that an answer can need, so a vector that a third of
-    all rows share costs no more than another. Small partitions are searched together, large ones in blocks.
+    partitions, as many as the root of the number of distinct vectors asks for (or `parts`), and a small network
+    learns to tell them apart; every row is indexed under its most probable partition, and a query probes as
+    many partitions as the sample needed for `recall`. Fewer than a few hundred vectors are one partition.
+    Equal vectors are indexed once, with the smallest ids that an answer can need, so a vector that a third of
+    all rows share costs no more than another. Small partitions are searched together, large ones in
+    blocks; the queries of a partition are cut into turns where they are many, and only its rows meet each turn.
 
     Rows whose vector is null, zero, or holds null or non-finite components, whose id is null, or whose
     vector differs in length from the most frequent length take no part. Of rows that repeat an id, the
-    least vector counts. Ties go to the smaller vec_id. Other columns are ignored, whatever their names.
+    least vector counts. Ties go to the smaller vec_id; products beyond double precision are infinite and tie. Other columns are ignored, whatever their names.
     No rows give no rows.
     """
     spark = vectors.sparkSession
@@ -260,19 +313,19 @@ def nearest_neighbours(
     few = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= nearest + 1)
     distinct = stored(few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     total = distinct.count()
+    parts = partitions(total) if parts is None else parts
+    sample_rows = min(LARGEST_SAMPLE, max(SAMPLE, SAMPLED_ROWS * parts))
     sample = distinct.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample_rows).toArrow()
     sample_vectors = _matrix(sample.column("vector"), max(1, size))
-    parts = 1
-    while parts < MOST_PARTITIONS and 2 * parts * partition_rows <= total and 2 * parts * 2 * GRAPH <= len(sample_vectors):
-        parts *= 2
+    scale = float(np.median(np.abs(sample_vectors).max(axis=1, initial=0))) if len(sample_vectors) else 1.0
     if parts == 1:
-        router, probes = (np.zeros((max(1, size), 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 1
+        router, mass = (np.zeros((max(1, size), 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 0.0
     else:
-        router, probes = learned(sample_vectors, parts, recall)
+        router, mass = learned(scaled(sample_vectors, scale), parts, recall)
     shared = spark.sparkContext.broadcast(router)
 
     indexed = stored(
-        distinct.mapInArrow(_assigned(shared, 1, max(1, size)), "vector array<double>, ids array<long>, parts array<int>").select(
+        distinct.mapInArrow(_assigned(shared, -1.0, max(1, size), scale), "vector array<double>, ids array<long>, parts array<int>").select(
             F.col("parts")[0].alias("part"), "vector", "ids"
         )
     )
@@ -284,22 +337,31 @@ def nearest_neighbours(
 
     queries = rows.where(is_query).select("vec_id", "vector")
     asked = stored(queries.groupBy("vector").agg(F.min("vec_id").alias("asked")))
-    turns = max(1, -(-asked.count() // block_rows))
+    probed = asked.mapInArrow(_assigned(shared, mass, max(1, size), scale), "vector array<double>, asked long, parts array<int>")
+    probing = stored(
+        probed.select("asked", F.explode("parts").alias("part"))
+        .join(places(), "part")
+        .groupBy("asked", "group")
+        .agg(F.max("blocks").alias("blocks"), F.collect_list("part").alias("parts"))  # at most one entry per partition
+    )
+    asking = probing.groupBy("group").agg(F.count("*").alias("n")).collect()  # one row per group
+    turn_rows = [(row["group"], -(-row["n"] // block_rows)) for row in asking]
+
+    def turns() -> DataFrame:
+        return F.broadcast(spark.createDataFrame(turn_rows, "group int, turns int"))
+
     candidates = (
         indexed.join(places(), "part")
+        .join(turns(), "group")
         .withColumn("block", F.pmod(F.xxhash64("vector"), "blocks"))
-        .withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+        .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
         .select("group", "block", "turn", "part", "vector", "ids")
     )
-    probed = asked.mapInArrow(_assigned(shared, probes, max(1, size)), "vector array<double>, asked long, parts array<int>")
     probing = (
-        probed.withColumn("part", F.explode("parts"))
-        .join(places(), "part")
-        .groupBy("asked", "group")
-        .agg(F.max("blocks").alias("blocks"), F.collect_list("part").alias("parts"))  # at most one entry per partition
-        .join(asked, "asked")
+        probing.join(asked, "asked")
+        .join(turns(), "group")
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-        .withColumn("turn", F.pmod(F.xxhash64("asked"), F.lit(turns)).cast("int"))
+        .withColumn("turn", F.pmod(F.xxhash64("asked"), "turns").cast("int"))
         .select("group", "block", "turn", "asked", "vector", "parts")
     )
     keys = ("group", "block", "turn")
