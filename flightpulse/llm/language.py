@@ -106,18 +106,25 @@ def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(found, pa.list_(pa.float32()))], names=["lang", "profile"])
 
 
+#: Rows of a language that are ranked for the sample, as a multiple of the sample's.
+LOOKED_AT = 4
+
+
 def fitted_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Classifiers fitted on at most `per_language` rows of each language, those with the smallest hash of doc_id.
+    """Classifiers fitted on at most `per_language` rows of each language, those with the smallest hash of id and text.
 
-    Only rows with a language and a text whose crc32 of doc_id modulo 3 is not 1 are learned from.
+    Only rows with a language and a text whose crc32 of doc_id modulo 3 is not 1 are learned from; equal rows
+    count once. A language's count tells below which hash its rows are looked at, so that however many it
+    has, a few times `per_language` of them are ranked.
     """
     known = docs.where(fold(F.col("doc_id"), FOLDS).isin(0, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("doc_id", "lang")
-    )
-    chosen = chosen.groupBy("doc_id").agg(F.min("lang").alias("chosen"))
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").where("lang = chosen and text is not null")
+    known = known.select("doc_id", "lang", "text", F.xxhash64("text").alias("mark"))
+    bounds = known.groupBy("lang").agg((F.lit(float(LOOKED_AT * per_language << 31)) / F.count("*")).alias("bound"))
+    place = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(1 << 31))
+    few = known.select("doc_id", "lang", "mark").join(F.broadcast(bounds), "lang").where(place < F.col("bound")).select("doc_id", "lang", "mark").distinct()
+    order = Window.partitionBy("lang").orderBy(place, "doc_id", "mark")
+    chosen = few.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).drop("place")
+    sample = known.join(F.broadcast(chosen), ["doc_id", "lang", "mark"]).dropDuplicates(["doc_id", "lang", "mark"])
     rows = sample.select("lang", "text").mapInArrow(_profiled, "lang string, profile array<float>").toArrow()
     languages = sorted(set(rows.column("lang").to_pylist()))
     if not languages:

@@ -77,17 +77,22 @@ def utf8(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: int) -> tuple[DataFrame, dict[int, float]]:
-    """doc_id, label, text of at most `per_class` labelled documents of either class, and each class's weight.
+    """doc_id, text, label of at most `per_class` labelled documents of either class, and each class's weight.
 
     The rows with the smallest hash of doc_id are taken of those whose doc_id passes `learn` and whose label is
-    0 or 1; a doc_id with both labels counts as 1. A class's weight is the number of labels that each of
+    0 or 1; a doc_id with both labels counts as 1. Rows that share a doc_id count by their texts, equal ones once,
+    so the bound holds however often an id repeats. A class's weight is the number of labels that each of
     its sampled rows stands for. The sample's ids are the only thing that is broadcast.
     """
     known = labels.select("doc_id", F.col(column).cast("int").alias("label")).where(learn & F.col("label").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {row["label"]: row["n"] for row in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    found = marked.select("doc_id", "mark").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").distinct()
+    kept = [found.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(per_class) for k in (0, 1)]
+    rows = F.broadcast(kept[0].unionAll(kept[1]))
+    sample = marked.join(rows, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("doc_id", "text", "label")
     return sample, {k: max(1.0, n / per_class) for k, n in counts.items()}
 
 

@@ -95,6 +95,40 @@ def test_without_labels(spark, odd_documents, labels):
     assert {r["lang_pred"] for r in language.languages(unnamed).collect()} == {"und"}
 
 
+def repeated_rows(spark):
+    """20,000 rows of one doc_id that is learned from: half of them equal, half with texts of their own; and 40 other documents."""
+    from flightpulse.llm.shared import fold
+
+    many = spark.range(20_000).selectExpr("0 AS doc_id", "if(id % 2 = 0, 'the same text', concat('text number ', id)) AS text", "if(id % 3 = 0, 'fr', 'en') AS lang")
+    others = spark.range(100, 140).selectExpr("id AS doc_id", "concat('another text ', id) AS text", "if(id % 2 = 0, 'fr', 'en') AS lang")
+    docs = many.unionAll(others).repartition(8)
+    return docs, docs.where(fold(F.col("doc_id"), 3) != 1)
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    from flightpulse.llm.shared import labelled_sample
+
+    docs, learned = repeated_rows(spark)
+    labels = docs.select("doc_id").distinct().selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    sample, _ = labelled_sample(docs, labels, "quality", F.lit(True), 10)
+    rows = sample.collect()
+    assert Counter(row["label"] for row in rows) == {0: 10, 1: 10}
+    assert len({(row["doc_id"], row["text"]) for row in rows}) == 20
+    seen = []
+    monkeypatch.setattr(language, "fitted", lambda x, y, real=language.fitted: (seen.append(len(x)), real(x, y))[1])
+    language.fitted_model(docs, 10)
+    assert seen and seen[0] <= 20 and learned.count() > 10_000
+
+
+def test_more_than_six_languages(spark):
+    """Drawn codes, end to end: ten languages of letters of their own."""
+    alphabets = {f"l{k}": "".join(chr(0x61 + k + j) for j in range(5)) for k in range(10)}
+    rows = [(10 * n + k, " ".join(a[(n + i) % 5] + a[i % 5] * 2 for i in range(30)), name) for k, (name, a) in enumerate(alphabets.items()) for n in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language.languages(docs).collect()}
+    assert np.mean([found[i] == lang for i, _, lang in rows]) > 0.9
+
+
 def test_network_gradients():
     draw = np.random.default_rng(2)
     p = {k: v.astype(np.float64) for k, v in quality.initial(1).items()}
