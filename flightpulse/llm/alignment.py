@@ -26,6 +26,8 @@ REMEMBERED_CHARACTERS = 1 << 23
 #: Characters of texts that are cut into chunks, and distinct chunks that are aligned, at a time.
 STRETCH = 1 << 20
 TOGETHER = 10_000
+#: Pairs of ids that are sent to all tasks, at most.
+FREQUENT = 1 << 20
 
 Encoder = Callable[[list[str]], list[list[int]]]
 
@@ -325,25 +327,40 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return pairs.join(highest, "a").select("a", "b", "documents", (F.col("documents") == F.col("highest")).alias("best"))
 
 
-def scored(aligned: DataFrame, counts: DataFrame) -> DataFrame:
+def frequent_from(counts: DataFrame, most: int) -> int:
+    """The least power of two such that at most `most` pairs are in as many documents or more."""
+    power = F.floor(F.log2("documents")).cast("int").alias("power")
+    sizes = {row["power"]: row["n"] for row in counts.groupBy(power).agg(F.count("*").alias("n")).collect()}  # at most 63 rows
+    total = 0
+    for power in sorted(sizes, reverse=True):
+        total += sizes[power]
+        if total > most:
+            return 2 << power
+    return 1
+
+
+def scored(aligned: DataFrame, counts: DataFrame, most: int = FREQUENT) -> DataFrame:
     """The rows of `aligned` without their pairs, with n_best and count_sum over all their links.
 
-    `counts` is a stored table: if its files are small, it goes to the documents, and the sums of a document are
-    worked out where it is; else both sides are dealt by pair, and a frequent pair's rows are split.
+    Both are stored tables. The most frequent pairs, at most `most` of them, go to the documents, where
+    a document's links are summed at once. If there are more pairs, the rare ones' links are dealt by pair; as each is
+    in fewer documents than the frequent ones, they are the smaller part of the links and no pair is hot.
     """
     rest = [c for c in aligned.columns if c not in ("a", "b", "links")]
     rows = aligned.withColumn("row", F.monotonically_increasing_id())
-    pairs = rows.select("row", *rest, F.explode_outer(F.arrays_zip("a", "b", "links")).alias("pair")).select("row", *rest, "pair.*")
-    known = counts.select("a", "b", "documents", "best")
-    return (
-        pairs.join(known, ["a", "b"], "left")
-        .groupBy("row", *rest)
-        .agg(
-            F.coalesce(F.sum(F.when(F.col("best"), F.col("links"))), F.lit(0)).cast("long").alias("n_best"),
-            F.coalesce(F.sum(F.col("links") * F.col("documents")), F.lit(0)).cast("long").alias("count_sum"),
-        )
-        .drop("row")
+    pairs = rows.select("row", F.explode(F.arrays_zip("a", "b", "links")).alias("pair")).select("row", "pair.*")
+    least = frequent_from(counts, most)
+    found = pairs.join(F.broadcast(counts.where(F.col("documents") >= least)), ["a", "b"], "left")
+    if least > 1:
+        rare = counts.where(F.col("documents") < least)
+        others = found.where(F.col("documents").isNull()).select("row", "a", "b", "links").join(rare, ["a", "b"])
+        columns = ["row", "links", "documents", "best"]
+        found = found.where(F.col("documents").isNotNull()).select(columns).unionAll(others.select(columns))
+    sums = found.groupBy("row").agg(
+        F.sum(F.when(F.col("best"), F.col("links"))).alias("n_best"), F.sum(F.col("links") * F.col("documents")).alias("count_sum")
     )
+    zero = F.lit(0).cast("long")
+    return rows.select("row", *rest).join(sums, "row", "left").select(*rest, *[F.coalesce(c, zero).alias(c) for c in ("n_best", "count_sum")])
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,7 +109,7 @@ def test_query_equals_the_plain_version(spark, sf_dir):
     assert ordered(map(tuple, found)) == ordered(plain_rows(documents))
 
 
-def test_odd_documents_and_large_pair_tables(spark, odd_documents, no_documents):
+def test_odd_documents_and_rare_pairs(spark, odd_documents, no_documents):
     extra = spark.createDataFrame(enumerate(ODD, 100), "doc_id long, text string")
     docs = odd_documents.select("doc_id", "text").unionAll(extra).withColumn("a", F.lit("extra")).withColumn("groups", F.lit(1))
     want = ordered(plain_rows([(r["doc_id"], r["text"]) for r in docs.collect()]))
@@ -117,13 +117,11 @@ def test_odd_documents_and_large_pair_tables(spark, odd_documents, no_documents)
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "a", "b", "links"]
     aligned = alignment.stored(alignment.alignments(docs).select(*columns))
     counts = alignment.written(alignment.pair_counts(aligned))
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        for limit in (before, "-1"):  # the table of pairs goes to the documents, or both sides are dealt by pair
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-            assert ordered(map(tuple, alignment.scored(aligned, counts).select(*COLUMNS).collect())) == want
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    n = counts.count()
+    for most in (n, n // 2, 3, 0):  # all pairs go to the documents, or the frequent ones only, or none
+        least = alignment.frequent_from(counts, most)
+        assert counts.where(F.col("documents") >= least).count() <= most and (least == 1) == (most == n)
+        assert ordered(map(tuple, alignment.scored(aligned, counts, most).select(*COLUMNS).collect())) == want
     assert alignment.alignments(no_documents).collect() == []
     assert alignment.pair_counts(alignment.alignments(no_documents)).collect() == []
 
