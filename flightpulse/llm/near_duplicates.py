@@ -21,13 +21,19 @@ PIPELINE_SHINGLE = 5
 BANDS = 24
 ROWS = 4
 
-#: Members of a bucket in a block on average; two blocks are compared at once. Columns of the matrices.
+#: Members of a bucket in a block on average, and shingles of all of them; two blocks are compared at once.
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 22
+#: Columns of the matrices.
 STRETCH = 2048
+#: Bytes of a text that are hashed at once, and shingles that are sketched at once.
+PIECE = 1 << 20
 
 U = np.uint64
-_PRIME = 0x9E3779B97F4A7C15
-_INVERSE = pow(_PRIME, -1, 1 << 64)
+_ODD = 0x9E3779B97F4A7C15
+#: Words are hashed by two polynomials over the integers modulo this prime.
+_PRIME = (1 << 31) - 1
+_BASES = (1_357_924_680, 2_012_345_679)
 _IS_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 _FOLDED = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
 
@@ -39,36 +45,70 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-#: A random odd number for each byte, the same for A-Z and a-z.
-_BYTE_CODE = _mixed(np.arange(1, 257, dtype=np.uint64))[_FOLDED] | U(1)
+#: A random number below the prime for each byte, the same for A-Z and a-z.
+_BYTE_CODE = (_mixed(np.arange(1, 257, dtype=np.uint64))[_FOLDED] % U(_PRIME - 1)) + U(1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2^62 modulo the prime, up to one more multiple of it."""
+    return (x & U(_PRIME)) + (x >> U(31))
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse, as many as the longest text so far needed."""
+    """Powers of the hash bases and of their inverses, as many as a piece of a text needs."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+        self.tables = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _BASES]
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            with np.errstate(over="ignore"):
-                self.up = np.concatenate([self.up, self.up * (self.up[-1] * U(_PRIME))])
-                self.down = np.concatenate([self.down, self.down * (self.down[-1] * U(_INVERSE))])
-        return self.up[:n], self.down[:n]
+    def upto(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        for base, both in zip(_BASES, self.tables):
+            for i, factor in enumerate((base, pow(base, -1, _PRIME))):
+                while len(both[i]) < n:
+                    both[i] = np.concatenate([both[i], both[i] * U(pow(factor, len(both[i]), _PRIME)) % U(_PRIME)])
+        return [(up[:n], down[:n]) for up, down in self.tables]
 
 
 def word_hashes(data: np.ndarray, powers: _Powers) -> np.ndarray:
-    """One 64-bit hash for each word of UTF-8 bytes; differences of one running sum give all of them."""
-    n = len(data)
-    space = np.concatenate(([True], _IS_SPACE[data], [True]))
-    edges = np.flatnonzero(space[1:] != space[:-1])
-    begin, end = edges[::2], edges[1::2]
-    if not len(begin):
-        return np.empty(0, np.uint64)
-    up, down = powers.upto(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * up, out=total[1:])
-    return _mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    """One 64-bit hash for each word of UTF-8 bytes, by its length and two polynomials over a prime field.
+
+    Differences of one running sum give all words of a piece of the text; a word that goes on in the next
+    piece is put together from its parts, so memory beside the hashes does not grow with the text.
+    """
+    done, parts, length = [], [0] * len(_BASES), 0
+    for start in range(0, len(data), PIECE):
+        piece = data[start : start + PIECE]
+        space = np.concatenate(([True], _IS_SPACE[piece], [True]))
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        begin, end = edges[::2], edges[1::2]
+        goes_on = length > 0 and len(begin) > 0 and begin[0] == 0
+        if length and not goes_on:
+            done.append(_named(np.array([parts], np.uint64).T, np.array([length])))
+        if not len(begin):
+            length = 0
+            continue
+        found = np.empty((len(_BASES), len(begin)), np.uint64)
+        codes = _BYTE_CODE[piece]
+        for k, (up, down) in enumerate(powers.upto(len(piece))):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_reduced(codes * up))])
+            found[k] = (total[end] - total[begin]) % U(_PRIME) * down[begin] % U(_PRIME)
+        lengths = end - begin
+        if goes_on:
+            for k, base in enumerate(_BASES):
+                found[k, 0] = (parts[k] + int(found[k, 0]) * pow(base, length, _PRIME)) % _PRIME
+            lengths[0] += length
+        if end[-1] == len(piece) and start + PIECE < len(data):
+            parts, length = [int(x) for x in found[:, -1]], int(lengths[-1])
+            found, lengths = found[:, :-1], lengths[:-1]
+        else:
+            length = 0
+        done.append(_named(found, lengths))
+    return np.concatenate(done) if done else np.empty(0, np.uint64)
+
+
+def _named(polynomials: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """One number from a word's two polynomials and its length in bytes."""
+    with np.errstate(over="ignore"):
+        return _mixed((polynomials[0] << U(31) | polynomials[1]) + lengths.astype(np.uint64) * U(_ODD))
 
 
 def shingle_set(data: np.ndarray, words: int, powers: _Powers) -> np.ndarray:
@@ -77,11 +117,12 @@ def shingle_set(data: np.ndarray, words: int, powers: _Powers) -> np.ndarray:
     if not len(hashes):
         return hashes
     width = min(words, len(hashes))
-    count = len(hashes) - width + 1
+    runs = np.full(len(hashes) - width + 1, U(width), np.uint64)
     with np.errstate(over="ignore"):
-        runs = np.full(count, U(width), np.uint64)
-        for i in range(width):
-            runs = _mixed(runs * U(_PRIME) + hashes[i : i + count])
+        for begin in range(0, len(runs), PIECE):
+            part = runs[begin : begin + PIECE]
+            for i in range(width):
+                part[:] = _mixed(part * U(_ODD) + hashes[begin + i : begin + i + len(part)])
     return np.unique(runs)
 
 
@@ -96,12 +137,14 @@ def sketch(elements: np.ndarray, size: int) -> np.ndarray:
     bins = np.full(size, empty, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(2 * size):
-            hashed = _mixed(elements + _mixed(np.array([i + 1], np.uint64)))
-            value = (hashed >> U(10)) | U(i << 54)
-            if i < size:
-                np.minimum.at(bins, (((hashed & U(0xFFFFFFFF)) * U(size)) >> U(32)).astype(np.int64), value)
-            else:
-                bins[i - size] = min(bins[i - size], value.min())
+            salt = _mixed(np.array([i + 1], np.uint64))
+            for begin in range(0, len(elements), PIECE):
+                hashed = _mixed(elements[begin : begin + PIECE] + salt)
+                value = (hashed >> U(10)) | U(i << 54)
+                if i < size:
+                    np.minimum.at(bins, (((hashed & U(0xFFFFFFFF)) * U(size)) >> U(32)).astype(np.int64), value)
+                else:
+                    bins[i - size] = min(bins[i - size], value.min())
             if (bins != empty).all():
                 break
     return bins
@@ -127,7 +170,7 @@ def _sketched(words: int, bands: int, rows: int):
                 band = np.arange(bands, dtype=np.uint64)
                 with np.errstate(over="ignore"):
                     for j in range(rows):
-                        band = _mixed(band * U(_PRIME) + coordinates[:, j])
+                        band = _mixed(band * U(_ODD) + coordinates[:, j])
                 values.append(band.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -216,14 +259,14 @@ def _linked_roots(left: pa.Table, right: pa.Table) -> pa.Table:
 def _further_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of roots that a link between members of a bucket joins.
 
-    `rest` has band, value, key and root of the members but for the pivots. In a bucket, each pair of
+    `rest` has band, value, key, n and root of the members but for the pivots. In a bucket, each pair of
     different roots has a member outside the bucket's largest root, so those are compared with all
-    members. Buckets of the same members are compared once. A large bucket is cut into blocks, and
-    each block of the ones meets each block of the others in a task of bounded size.
+    members. Buckets of the same members are compared once. A bucket of many members, or of long ones, is
+    cut into blocks, and each block of the ones meets each block of the others in a task of bounded size.
     """
     hashed = rest.select("*", F.xxhash64("key").alias("h"), F.xxhash64("key", F.lit(1)).alias("g"))
     roots = hashed.groupBy("band", "value", "root").agg(
-        F.count("*").alias("size"), F.sum(F.col("h").cast("decimal(38,0)")).alias("sum"), F.bit_xor("g").alias("xor")
+        F.count("*").alias("size"), F.sum("n").alias("shingles"), F.sum(F.col("h").cast("decimal(38,0)")).alias("sum"), F.bit_xor("g").alias("xor")
     )
     buckets = (
         roots.groupBy("band", "value")
@@ -231,13 +274,14 @@ def _further_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
             F.max(F.struct("size", "root")).alias("largest"),
             F.count("*").alias("roots"),
             F.sum("size").alias("size"),
+            F.sum("shingles").alias("shingles"),
             F.sum("sum").alias("sum"),
             F.bit_xor("xor").alias("xor"),
         )
         .where("roots > 1")
-        .groupBy("size", "sum", "xor")
+        .groupBy("size", "shingles", "sum", "xor")
         .agg(F.min(F.struct("band", "value", F.col("largest.root").alias("largest"))).alias("bucket"))
-        .select("bucket.*", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        .select("bucket.*", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     )
     members = hashed.join(buckets, ["band", "value"]).join(sets, "key").withColumn("block", F.pmod("h", "blocks").cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -266,7 +310,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, bands: int = BANDS, r
     A text without words has no shingles and is linked with nothing: its component is its own doc_id. A null
     doc_id never names a component that has another; a row is kept if its doc_id is the component's. Rows
     that repeat a doc_id and its text are one class and are all kept or dropped. Other columns are ignored,
-    whatever their names. `mark` is xxhash64 of the text, to find a row again together with its doc_id.
+    whatever their names. No rows give no rows. A very long text is hashed and sketched piece by piece; its set
+    takes eight bytes a shingle. Sets hold 64-bit hashes of shingles, and similarity is counted on whole sets. `mark` is xxhash64 of the text, to find a row again together with its doc_id.
     """
     source = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     found = stored(
@@ -326,7 +371,12 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, bands: int = BANDS, r
 
 
 def without_near_duplicates(docs: DataFrame, words: int = PIPELINE_SHINGLE) -> DataFrame:
-    """One document of each component, with the columns of documents that `docs` has."""
+    """One document of each component, with the columns of documents that `docs` has.
+
+    The document with the least doc_id of a component stays, and so does every text without words. Rows that
+    repeat a doc_id and its text stay or go together. Other columns are left out, whatever their names. No rows give
+    no rows; a very long text counts as a whole.
+    """
     columns = [c for c in DOCUMENT if c in docs.columns]
     stay = near_duplicates(docs, words).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"))
     rows = docs.select(*columns, F.xxhash64("text").alias("kept_mark"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 
 from flightpulse.llm import near_duplicates as near
 from flightpulse.llm.components import connected_components
-from flightpulse.llm.near_duplicates import _Powers, near_duplicates, op4_near_dedup, shingle_set, sketch, without_near_duplicates
+from flightpulse.llm.near_duplicates import _Powers, near_duplicates, op4_near_dedup, shingle_set, sketch, without_near_duplicates, word_hashes
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -163,3 +163,39 @@ def test_links_of_extremely_long_texts_are_counted_in_whole_numbers(monkeypatch)
     sets = [np.arange(common), np.arange(common + common // 4)]  # exactly at 0.8
     side = lambda mark, k: pa.table({f"key_{mark}": pa.array([b"%d" % k], pa.binary()), f"root_{mark}": pa.array([b"%d" % k], pa.binary()), f"elements_{mark}": pa.array([sets[k]], pa.list_(pa.int64()))})
     assert near._linked_roots(side("a", 0), side("b", 1)).num_rows == 1
+
+
+@pytest.mark.parametrize("length", [10, 14])
+def test_words_of_one_byte_each_and_its_complement_stay_apart(length):
+    word = "a"
+    for _ in range(length):
+        word += word.translate({97: 98, 98: 97})
+    text = f"{word} {word.translate({97: 98, 98: 97})}"
+    assert len(set(word_hashes(np.frombuffer(text.encode(), np.uint8), _Powers()).tolist())) == 2
+
+
+@pytest.mark.parametrize("piece", [1, 3, 64, 1 << 20])
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch, piece):
+    draw = random.Random(4)
+    text = " ".join("".join(draw.choice("abcDEé時\t") for _ in range(draw.randrange(1, 90))) for _ in range(300)).encode()
+    words = re.findall(rb"[^\x20\x09-\x0d]+", text.lower())
+    monkeypatch.setattr(near, "PIECE", piece)
+    hashes = word_hashes(np.frombuffer(text, np.uint8), _Powers()).tolist()
+    assert len(hashes) == len(words) and len(set(zip(words, hashes))) == len(set(words)) == len(set(hashes))
+    assert word_hashes(np.frombuffer(b" \n ", np.uint8), _Powers()).tolist() == []
+
+
+def test_sets_and_sketches_of_long_texts_do_not_depend_on_pieces(monkeypatch):
+    draw = random.Random(9)
+    data = np.frombuffer(" ".join(f"w{draw.randrange(400)}" for _ in range(3000)).encode(), np.uint8)
+    elements = shingle_set(data, 4, _Powers())
+    values = sketch(elements, 96)
+    monkeypatch.setattr(near, "PIECE", 50)
+    assert (shingle_set(data, 4, _Powers()) == elements).all() and (sketch(elements, 96) == values).all()
+
+
+def test_a_bucket_of_long_members_is_cut_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 500)
+    rows = family(120, seed=3)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == plain_components(plain_sets(rows))
