@@ -12,7 +12,7 @@ BLOCK_BYTES = 2048
 POSITION_BITS = 21
 #: Bits of the hash that stands for a block where no other block has the same.
 MARK_BITS = 64
-#: The missing right half of an odd last pair; names are never negative.
+#: The missing right half of an odd last pair; no name is -1.
 NO_PARTNER = -1
 
 
@@ -64,7 +64,8 @@ def _named_blocks(docs: DataFrame, rows: DataFrame, block_bytes: int, mark_bits:
     All blocks are grouped by their full bytes, once, and named by the address of their first
     occurrence. That also tells which hashes stand for one block only, so the join back carries a
     hash in the block's place. Where several blocks share a hash, and only there, the bytes are joined
-    as well, so that names stay free of collisions.
+    as well, so that names stay free of collisions. Those names come from a scan of their own, which may
+    be split otherwise; they are below NO_PARTNER, so they never equal an address of the first scan.
     """
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"), _content())
     spread = numbered.select(
@@ -79,7 +80,8 @@ def _named_blocks(docs: DataFrame, rows: DataFrame, block_bytes: int, mark_bits:
     if crowded.isEmpty():
         return named
     among = spread.join(crowded, "mark", "left_semi")
-    told = among.join(stored(among.groupBy("mark", "block").agg(first)), ["mark", "block"])
+    below = (F.lit(NO_PARTNER - 1) - F.min(_address(F.col("row"), F.col("position")))).cast("decimal(30,0)").alias("name")
+    told = among.join(stored(among.groupBy("mark", "block").agg(below)), ["mark", "block"])
     told = told.select(F.col("id").alias("its_id"), F.col("sha").alias("its_sha"), F.col("position").alias("at"), "name").distinct()
     same = F.col("id").eqNullSafe(F.col("its_id")) & (F.col("sha") == F.col("its_sha")) & (F.col("position") == F.col("at"))
     return named.unionAll(pieces.join(told, same).select("row", "position", "name"))
@@ -124,8 +126,9 @@ def exact_duplicates(
     Columns of `docs` not in `carry`, which should be narrow, are ignored, whatever their names. No rows
     give no rows.
 
-    Rows are numbered once and stored with the hashes of their blocks, so nothing depends on how a
-    later scan is split among executors.
+    Rows are numbered once and stored with the hashes of their blocks; no result depends on how a later
+    scan is split among executors. A very long text is as many blocks as it needs; only its normalised
+    copy is held whole.
     """
     rows = stored(
         docs.select(
@@ -152,12 +155,17 @@ def exact_duplicates(
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with the columns of documents that `docs` has."""
+    """The documents that stay, with the columns of documents that `docs` has.
+
+    Null and empty texts are equal, and of them one row stays. Of rows that repeat a doc_id and whose texts are
+    equal but for white space, the least by its columns in their order stays, nulls first, so a rerun gives the same rows.
+    Other columns are left out, whatever their names. No rows give no rows.
+    """
     columns = [c for c in DOCUMENT if c in docs.columns]
     stay = exact_duplicates(docs).where("kept").select(F.struct("doc_id", F.col("text_sha256").alias("sha")).alias("same"))
     sha = F.sha2(normalised(F.col("text")), 256)
-    rows = docs.select(*columns, F.struct("doc_id", sha.alias("sha")).alias("same")).dropDuplicates(["same"])
-    return rows.join(stay, "same", "left_semi").select(*columns)
+    rows = docs.select(F.struct("doc_id", sha.alias("sha")).alias("same"), F.struct(*columns).alias("document"))
+    return rows.join(stay, "same", "left_semi").groupBy("same").agg(F.min("document").alias("document")).select("document.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
