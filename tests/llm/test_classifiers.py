@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,3 +358,53 @@ def test_given_values_are_candidates(value, form):
     text = "see " + form.format(value)
     assert (text.index(value), value) in list(secrets.candidates(text))
     assert len(secrets.described(value, text[: text.index(value)], set())) == len(secrets.FEATURES) - 2
+
+
+@pytest.mark.parametrize("piece", [8, 24, 1 << 17])
+def test_long_words_are_scored_in_spans_that_cover_them(monkeypatch, piece):
+    draw = np.random.default_rng(8)
+    words = ["".join(draw.choice(list("ab時ж"), n)) for n in (16, 17, 23, 24, 25, 40, 333)]
+    numbers = np.unique(toxicity.hashed(toxicity.letters(words))[0])
+    scores = toxicity.WordScores(numbers, draw.normal(size=len(numbers)).astype(np.float32))
+    each = {w: [scores.ratios[np.searchsorted(numbers, n)] for n in toxicity.hashed(toxicity.letters([w]))[0]] for w in words}
+    expected = [sum(each[w][i : i + 16]) for w in words for i in range(0, len(w) + 1 - 8, 8)]
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    found, total = scores.spans(words)
+    assert sorted(found.tolist()) == pytest.approx(sorted(map(float, expected)), abs=1e-4)
+    assert total == pytest.approx(float(sum(map(sum, each.values()))), abs=1e-3)
+    assert scores.features(" \n") == [0.0] * (1 + len(toxicity.MARGINS) + len(toxicity.WORST))
+
+
+@pytest.mark.parametrize("piece", [8, 64])
+def test_features_and_counts_do_not_depend_on_pieces(monkeypatch, piece):
+    draw = np.random.default_rng(3)
+    words = ["".join(draw.choice(list("abcж"), draw.integers(1, 40))) for _ in range(200)]
+    text = " ".join(words).upper()
+    numbers = np.unique(toxicity.hashed(toxicity.letters(words))[0])
+    table = numbers, draw.normal(size=len(numbers)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([text])], names=["label", "text"])
+
+    def counted():
+        frame = pa.Table.from_batches(list(toxicity._lettered(iter([batch])))).to_pandas()
+        return frame.groupby("gram")[["ordinary", "toxic"]].sum()
+
+    whole, counts = toxicity.WordScores(*table).features(text), counted()
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    assert toxicity.WordScores(*table).features(text) == pytest.approx(whole, abs=1e-4)
+    assert counted().equals(counts)
+
+
+def test_toxic_passages_of_a_script_without_blanks(spark):
+    draw = np.random.default_rng(12)
+    signs = [chr(0x4E00 + i) for i in range(60)]
+
+    def text(label):
+        run = list(draw.choice(signs, 90))
+        at = int(draw.integers(0, 80))
+        run[at:at] = "丂七丄丅丆万丈三上下丌不" if label else "不丌下上三丈万丆丅丄七丂"
+        return "".join(run)
+
+    rows = [(i, text(i % 2)) for i in range(600)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    found = [r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect() if r["held_out"]]
+    assert len(found) > 60 and np.mean([r["predicted"] == r["doc_id"] % 2 for r in found]) > 0.9
