@@ -202,7 +202,7 @@ def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for rows in letters_of_long(word) if len(word) > PIECE else ():
                         yield given(rows, *(np.full(len(rows), float(label == k)) for k in (0, 1)))
                 words = [word for word in words if len(word) <= PIECE]
-                characters += sum(map(len, set(words).difference(counts[label])))
+                characters += sum(len(word) for word in set(words) if word not in counts[label])
                 counts[label].update(words)
                 if characters > REMEMBERED_LETTERS:
                     yield given_words(counts)
