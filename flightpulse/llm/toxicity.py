@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -343,9 +344,9 @@ def _featured(model):
     return run
 
 
-def _scored(model):
+def _scored(model, beta: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios, table, beta = model.value
+        ratios, table = model.value
         scores = WordScores(*table)
         for batch in batches:
             found = np.array(text_features(batch, ratios, scores)).reshape(-1, FEATURES)
@@ -356,8 +357,9 @@ def _scored(model):
     return run
 
 
-def fitted_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Log ratios of byte classes, the table of ratios inside words, and the coefficients that turn a text's features into a score.
+def fitted_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Broadcast, np.ndarray]:
+    """Log ratios of byte classes and the table of ratios inside words, broadcast once, and the coefficients that turn a
+    text's features into a score.
 
     Shared counts come from all documents outside the held-out fold, labelled or not; class counts from
     three quarters of the bounded sample; the calibration from the remaining quarter. N-grams inside words
@@ -365,11 +367,12 @@ def fitted_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     driver are at most SYMBOLS ** ORDER sums of byte classes, 12 bytes for each n-gram inside words that a
     class has, and the features of the calibration rows. Without rows of both classes all scores are 0.
     """
+    context = docs.sparkSession.sparkContext
     learn = fold(F.col("doc_id"), FOLDS) > 0
     sample, weight = labelled_sample(docs, labels, "toxic", learn, per_class)
     none = (np.empty(0, np.uint64), np.empty(0, np.float32))
     if len(weight) < 2:
-        return np.zeros(SYMBOLS**ORDER, np.float32), none, np.array([0.0] * FEATURES + [-40.0])
+        return context.broadcast((np.zeros(SYMBOLS**ORDER, np.float32), none)), np.array([0.0] * FEATURES + [-40.0])
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0
     ids = sample.where(~calibrates).select("doc_id", "label")
     told = docs.select("doc_id", "text").where(learn).join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id", "left").select("label", "text")
@@ -394,14 +397,14 @@ def fitted_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     numbers = found.column("number").to_numpy().view(np.uint64)
     order = np.argsort(numbers)
     inside = (numbers[order], found.column("ratio").to_numpy()[order])
-    shared = docs.sparkSession.sparkContext.broadcast((ratios, inside))
+    shared = context.broadcast((ratios, inside))
     rows = sample.where(calibrates).select("label", "text").mapInArrow(_featured(shared), "label int, features array<double>").collect()
     y = np.array([row["label"] for row in rows], float)
     if len(set(y)) < 2:
-        return ratios, inside, np.array([1.0] + [0.0] * FEATURES)
+        return shared, np.array([1.0] + [0.0] * FEATURES)
     x = np.array([row["features"] for row in rows])
     weights = np.array([weight[int(k)] for k in y])
-    return ratios, inside, fitted_logistic(x, y, weights / weights.mean(), DECAY)
+    return shared, fitted_logistic(x, y, weights / weights.mean(), DECAY)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -415,9 +418,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     or blank text has the score of a single blank. Repeated rows give repeated rows; other columns are
     ignored, whatever their names. No documents give no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fitted_model(docs, labels, per_class))
+    model, beta = fitted_model(docs, labels, per_class)
     source = docs.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "text")
-    return source.mapInArrow(_scored(model), "doc_id long, held_out boolean, score double, predicted int")
+    return source.mapInArrow(_scored(model, beta), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
