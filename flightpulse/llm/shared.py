@@ -76,8 +76,12 @@ def utf8(column: pa.Array) -> Iterator[np.ndarray]:
         yield whole[at[i] : at[i + 1]] if present[i] else whole[:0]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: int) -> tuple[DataFrame, dict[int, float]]:
-    """doc_id, text, label of at most `per_class` labelled documents of either class, and each class's weight.
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+
+
+def sampled_rows(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: int) -> tuple[DataFrame, dict[int, float]]:
+    """doc_id, mark (a hash of the text), label of at most `per_class` labelled documents of either class, stored, and each class's weight.
 
     The rows with the smallest hash of doc_id are taken of those whose doc_id passes `learn` and whose label is
     0 or 1; a doc_id with both labels counts as 1. Rows that share a doc_id count by their texts, equal ones once,
@@ -88,12 +92,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Colu
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {row["label"]: row["n"] for row in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    found = marked.select("doc_id", "mark").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").distinct()
+    found = stored(_marked(docs).select("doc_id", "mark").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").distinct())
     kept = [found.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(per_class) for k in (0, 1)]
-    rows = F.broadcast(kept[0].unionAll(kept[1]))
-    sample = marked.join(rows, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("doc_id", "text", "label")
-    return sample, {k: max(1.0, n / per_class) for k, n in counts.items()}
+    return stored(kept[0].unionAll(kept[1])), {k: max(1.0, n / per_class) for k, n in counts.items()}
+
+
+def sampled_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, text, label of sampled rows."""
+    return _marked(docs).join(F.broadcast(rows), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("doc_id", "text", "label")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: int) -> tuple[DataFrame, dict[int, float]]:
+    """doc_id, text, label of the documents that `sampled_rows` chooses, and each class's weight."""
+    rows, weight = sampled_rows(docs, labels, column, learn, per_class)
+    return sampled_texts(docs, rows), weight
 
 
 def fitted_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-6, steps: int = 50) -> np.ndarray:

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightpulse.llm.shared import fitted_logistic, fold, labelled_sample, logistic, table, utf8
+from flightpulse.llm.shared import fitted_logistic, fold, logistic, sampled_rows, sampled_texts, table, utf8
 
 #: Symbols of the model of byte classes, and of its n-grams. The model of words has neither alphabet nor table size.
 SYMBOLS = 32
@@ -34,11 +34,11 @@ SPAN = 16
 #: Numbers of a text's most toxic words, and what a word's score must pass to count towards the text's rate.
 WORST = (1, 2, 4, 8)
 MARGINS = (0.0, 1.0, 2.0, 4.0)
-#: Distinct short words that a task remembers, and characters of distinct words that it counts before it passes them on;
-#: when full, the memory starts anew. Characters of a text that are split into words, or of a word that are scored, at once.
-REMEMBERED = 300_000
-REMEMBERED_LETTERS = 1 << 21
+#: Characters of texts whose distinct words are counted or scored together; of a text that are split into words, or of
+#: a word that are counted or scored, at once. N-grams that a task counts before it passes them on.
+TOGETHER = 1 << 22
 PIECE = 1 << 17
+KEPT = 1 << 21
 #: Features of a text by both models, and the penalty on their coefficients.
 FEATURES = 1 + len(PASSAGES) + 1 + len(MARGINS) + len(WORST)
 DECAY = 1e-4
@@ -74,16 +74,28 @@ def ngrams(data: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of n-grams in a task: column 0 over all its rows, column 1 + label over labelled ones."""
+    """Counts of n-grams in a task: unlabelled, ordinary and toxic rows, each added up a few million n-grams at a time."""
     counts = np.zeros((3, SYMBOLS**ORDER), np.int64)
+    waiting: list[list[np.ndarray]] = [[], [], []]
+
+    def add(k: int) -> None:
+        if waiting[k]:
+            counts[k] += np.bincount(np.concatenate(waiting[k]), minlength=SYMBOLS**ORDER)
+            waiting[k].clear()
+
+    held = [0, 0, 0]
     for batch in batches:
-        labels = batch.column("label").to_pylist()
-        for label, data in zip(labels, utf8(batch.column("text"))):
+        for label, data in zip(batch.column("label").to_pylist(), utf8(batch.column("text"))):
+            k = 0 if label is None else 1 + label
             for numbers in ngrams(data):
-                found, n = np.unique(numbers, return_counts=True)
-                counts[0, found] += n
-                if label is not None:
-                    counts[1 + label, found] += n
+                waiting[k].append(numbers)
+                held[k] += len(numbers)
+                if held[k] > TOGETHER:
+                    add(k)
+                    held[k] = 0
+    for k in range(3):
+        add(k)
+    counts[0] += counts[1] + counts[2]
     seen = np.flatnonzero(counts[0])
     yield pa.RecordBatch.from_arrays(
         [pa.array(seen, pa.int64()), *(pa.array(c[seen], pa.int64()) for c in counts)], names=["ngram", "every", "ordinary", "toxic"]
@@ -134,13 +146,13 @@ def features(data: np.ndarray, ratios: np.ndarray) -> list[float]:
 _BLANK = re.compile(r"\s")
 
 
-def word_lists(text: str) -> Iterator[list[str]]:
-    """The words of a text in lower case, those of PIECE characters at a time; a run without blanks is one word, however long."""
+def pieces_of(text: str) -> Iterator[str]:
+    """A text in lower case, about PIECE characters at a time, cut at blanks only; a run without blanks is one word, however long."""
     begin = 0
     while begin < len(text):
         blank = _BLANK.search(text, begin + PIECE) if begin + PIECE < len(text) else None
         end = blank.start() if blank else len(text)
-        yield text[begin:end].lower().split()
+        yield text[begin:end].lower()
         begin = end
 
 
@@ -151,13 +163,19 @@ def _windows(text: str) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(codes, LETTERS) if len(codes) >= LETTERS else np.empty((0, LETTERS), np.uint32)
 
 
+def _inside(words: list[str]) -> tuple[str, np.ndarray]:
+    """The words with LETTERS - 1 blanks before each and one after, and where the n-grams of their characters begin in that."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    begins = np.cumsum(lengths) - lengths + np.arange(len(words)) * (LETTERS - 1)
+    at = np.arange(lengths.sum()) + np.repeat(begins - (np.cumsum(lengths) - lengths), lengths)
+    pad = " " * (LETTERS - 1)
+    return pad + (" " + pad).join(words) + " ", at
+
+
 def letters(words: list[str]) -> np.ndarray:
     """A row of LETTERS code points for each character of each word and the blank after it; blanks stand before a word."""
-    rows = _windows("".join(" " * (LETTERS - 1) + word + " " for word in words))
-    lengths = np.array([len(word) + LETTERS for word in words], np.int64)
-    begins = np.cumsum(lengths) - lengths
-    inside = np.arange(lengths.sum()) - np.repeat(begins, lengths) >= LETTERS - 1
-    return rows[inside[LETTERS - 1 :]]
+    text, at = _inside(words)
+    return _windows(text)[at]
 
 
 def letters_of_long(word: str) -> Iterator[np.ndarray]:
@@ -179,37 +197,106 @@ def hashed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return history - _FACTORS[-1] + rows[:, -1].astype(np.uint64) * _FACTORS[LETTERS - 1], history
 
 
-def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All n-grams inside words in a task, with their counts in ordinary and in toxic labelled rows."""
+def _numbers(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What `hashed` gives for `letters` of the words."""
+    text, at = _inside(words)
+    number, before = hashed(_windows(text))
+    return number[at], before[at]
 
-    def given(rows: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> pa.RecordBatch:
-        rows = np.ascontiguousarray(rows)
-        _, first, inverse = np.unique(hashed(rows)[0], return_index=True, return_inverse=True)
-        columns = [np.bincount(inverse, n, len(first)).astype(np.int64) for n in (ordinary, toxic)]
-        grams = rows[first].view(f"<U{LETTERS}").ravel().tolist()
-        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *map(pa.array, columns)], names=["gram", "ordinary", "toxic"])
 
-    def given_words(counts: dict[int | None, Counter]) -> pa.RecordBatch:
-        words = list(set().union(*counts.values()))
-        repeats = np.array([len(word) + 1 for word in words], np.int64)
-        return given(letters(words), *(np.repeat(np.array([counts[k][word] for word in words], float), repeats) for k in (0, 1)))
+class DistinctWords:
+    """Words of consecutive pieces of text: the distinct ones, which of them each word is, and the piece that each word is in."""
+
+    def __init__(self, pieces: list[str]) -> None:
+        split = pc.utf8_split_whitespace(pa.array(pieces, pa.large_string()))
+        encoded = split.flatten().dictionary_encode()
+        self.words: list[str] = encoded.dictionary.to_pylist()
+        self.which = encoded.indices.to_numpy()
+        self.piece = np.repeat(np.arange(len(pieces)), split.value_lengths().to_numpy())
+        if "" in self.words:  # before a leading blank, or after the last one
+            none = self.words.index("")
+            given = self.which != none
+            self.which, self.piece = self.which[given], self.piece[given]
+            self.which = self.which - (self.which > none)
+            del self.words[none]
+        self.lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
 
-    counts: dict[int | None, Counter] = {k: Counter() for k in (None, 0, 1)}
+
+def together(texts: Iterator[str]) -> Iterator[tuple[list[int], DistinctWords]]:
+    """All words of texts, those of some TOGETHER characters at a time, and the place of the text that each piece is from."""
+    owners: list[int] = []
+    pieces: list[str] = []
     characters = 0
+    for owner, text in enumerate(texts):
+        for piece in pieces_of(text):
+            owners.append(owner)
+            pieces.append(piece)
+            characters += len(piece)
+            if characters > TOGETHER:
+                yield owners, DistinctWords(pieces)
+                owners, pieces, characters = [], [], 0
+    if pieces:
+        yield owners, DistinctWords(pieces)
+
+
+def in_parts(words: list[str], lengths: np.ndarray) -> Iterator[list[str]]:
+    """The words in turn, those of about TOGETHER / 8 characters, blanks before them included, at a time."""
+    part = (np.cumsum(lengths + LETTERS) - 1) // (TOGETHER // 8)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(words)]
+    for begin, end in zip(cuts, cuts[1:]):
+        if begin < end:
+            yield words[begin:end]
+
+
+class _Grams:
+    """N-grams with their counts in ordinary and in toxic rows, equal ones added up."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, rows: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Takes n-grams in; gives all out if even the distinct ones are many."""
+        self.parts.append((rows, ordinary, toxic))
+        self.held += len(rows)
+        if self.held > KEPT:
+            self.merge()
+            if self.held > KEPT // 2:
+                yield from self.given()
+
+    def merge(self) -> None:
+        rows, ordinary, toxic = (np.concatenate(part) for part in zip(*self.parts))
+        _, first, inverse = np.unique(hashed(rows)[0], return_index=True, return_inverse=True)
+        self.parts = [(rows[first], np.bincount(inverse, ordinary), np.bincount(inverse, toxic))]
+        self.held = len(first)
+
+    def given(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self.merge()
+            (rows, ordinary, toxic), self.parts, self.held = self.parts[0], [], 0
+            grams = np.ascontiguousarray(rows).view(f"<U{LETTERS}").ravel().tolist()
+            counts = (pa.array(n.astype(np.int64)) for n in (ordinary, toxic))
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *counts], names=["gram", "ordinary", "toxic"])
+
+
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All n-grams inside words in a task, with their counts in ordinary and in toxic labelled rows."""
+    grams = _Grams()
     for batch in batches:
-        for label, text in zip(batch.column("label").to_pylist(), batch.column("text")):
-            for words in word_lists(text.as_py() or ""):
-                for word in words if max(map(len, words), default=0) > PIECE else ():
-                    for rows in letters_of_long(word) if len(word) > PIECE else ():
-                        yield given(rows, *(np.full(len(rows), float(label == k)) for k in (0, 1)))
-                words = [word for word in words if len(word) <= PIECE]
-                characters += sum(len(word) for word in set(words) if word not in counts[label])
-                counts[label].update(words)
-                if characters > REMEMBERED_LETTERS:
-                    yield given_words(counts)
-                    counts, characters = {k: Counter() for k in (None, 0, 1)}, 0
-    if characters:
-        yield given_words(counts)
+        labels = np.array([-1 if label is None else label for label in batch.column("label").to_pylist()])
+        for owners, found in together(text.as_py() or "" for text in batch.column("text")):
+            label = labels[owners][found.piece]
+            counts = [np.bincount(found.which, label == k, len(found.words)) for k in (0, 1)]
+            usual = np.flatnonzero(found.lengths <= PIECE)
+            done = 0
+            for words in in_parts([found.words[i] for i in usual], found.lengths[usual]):
+                these = usual[done : done + len(words)]
+                done += len(words)
+                yield from grams.add(letters(words), *(np.repeat(n[these], found.lengths[these] + 1) for n in counts))
+            for i in np.flatnonzero(found.lengths > PIECE):
+                for rows in letters_of_long(found.words[i]):
+                    yield from grams.add(rows, *(np.full(len(rows), n[i]) for n in counts))
+    yield from grams.given()
 
 
 def letter_ratios(grams: pd.DataFrame) -> pd.DataFrame:
@@ -221,36 +308,38 @@ def letter_ratios(grams: pd.DataFrame) -> pd.DataFrame:
     over the characters that follow. After a history that both have, a character that neither has seen
     there has the ratio of what the discounts freed; it is kept under the history's number.
     """
-    grams = grams.reset_index(drop=True)
-    text = grams["gram"]
-    lower = 1.0 / text.str[-1].groupby(text.str[-4:-1]).transform("nunique")
-    for size in range(4, LETTERS):
-        known = pd.DataFrame({"gram": text.str[-size:], "longer": text.str[-size - 1 :]}).drop_duplicates()
-        n = known.groupby("gram").size()
-        own = pd.DataFrame({"gram": n.index, "n": n.to_numpy(), "history": n.index.str[:-1]})
-        total, kinds = own.groupby("history")["n"].transform("sum"), own.groupby("history")["n"].transform("size")
-        place = pd.Index(own["gram"]).get_indexer(text.str[-size:])
-        spread = (np.maximum(own["n"] - DISCOUNT, 0) / total).to_numpy()[place], (DISCOUNT * kinds / total).to_numpy()[place]
-        lower = spread[0] + spread[1] * lower
-    history = text.str[:-1]
+    rows = np.frombuffer("".join(grams["gram"].tolist()).encode("utf-32-le"), np.uint32).reshape(-1, LETTERS)
+    number, before = hashed(rows)
+    number, at, inverse = np.unique(number, return_index=True, return_inverse=True)
+    rows, before = rows[at], before[at]
+    counts = {name: np.bincount(inverse, grams[name].to_numpy(), len(number)) for name in ("toxic", "ordinary")}
+
+    # From the whole n-grams down to four characters: the distinct shorter ones, and how many distinct longer ones each ends.
+    levels, at, suffix, history = [], np.arange(len(number)), number, before
+    for size in range(LETTERS - 1, 3, -1):
+        gone = rows[at, LETTERS - 1 - size].astype(np.uint64) * _FACTORS[LETTERS - 1 - size]
+        suffix, first, shorter = np.unique(suffix - gone, return_index=True, return_inverse=True)
+        history, at = (history - gone)[first], at[first]
+        levels.append((shorter, np.bincount(shorter), history))
+    lower = None
+    for shorter, n, history in reversed(levels):
+        group = np.unique(history, return_inverse=True)[1]
+        total, kinds = np.bincount(group, n)[group], np.bincount(group)[group]
+        lower = ((np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * (1.0 / kinds if lower is None else lower)) / total)[shorter]
+
+    _, first, group = np.unique(before, return_index=True, return_inverse=True)
     logs, freed = [], []
-    for name in ("toxic", "ordinary"):
-        n = grams[name]
-        total, kinds = n.groupby(history).transform("sum"), (n > 0).groupby(history).transform("sum")
+    for n in counts.values():
+        total, kinds = np.bincount(group, n)[group], np.bincount(group, n > 0)[group]
         back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
         logs.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1) + back * lower))
-        freed.append(np.log(back))
-    rows = np.array(text.tolist(), f"<U{LETTERS}").view(np.uint32).reshape(-1, LETTERS)
-    number, before = hashed(rows)
-    seen = (grams["toxic"] + grams["ordinary"] > 0).to_numpy()
-    begun = (freed[0] != freed[1])
-    found = pd.DataFrame(
-        {
-            "number": np.concatenate([number[seen], before[begun]]).view(np.int64),
-            "ratio": np.concatenate([(logs[0] - logs[1])[seen], (freed[0] - freed[1])[begun]]).astype(np.float32),
-        }
-    )
-    return found.drop_duplicates("number")
+        freed.append(np.log(back[first]))
+    seen = counts["toxic"] + counts["ordinary"] > 0
+    begun = freed[0] != freed[1]
+    numbers = np.concatenate([number[seen], before[first][begun]]).view(np.int64)
+    ratios = np.concatenate([(logs[0] - logs[1])[seen], (freed[0] - freed[1])[begun]]).astype(np.float32)
+    numbers, first = np.unique(numbers, return_index=True)
+    return pd.DataFrame({"number": numbers, "ratio": ratios[first]})
 
 
 def _letter_ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,77 +349,109 @@ def _letter_ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 class WordScores:
-    """Scores of words by the ratios of their n-grams; each distinct short word is worked out once as long as it is remembered."""
+    """Scores of words by the ratios of their n-grams, whose numbers are sorted."""
 
     def __init__(self, numbers: np.ndarray, ratios: np.ndarray) -> None:
         self.numbers, self.ratios = numbers, ratios
-        self.known: dict[str, float] = {}
+        # Numbers are hashes, spread evenly: their leading bits lead to where they begin in the sorted table.
+        bits = max(1, int(len(numbers)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.begins = np.searchsorted(numbers >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+        self.most = int(np.diff(self.begins).max())
 
     def _of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.numbers, numbers), len(self.numbers) - 1)
-        return self.numbers[at] == numbers, self.ratios[at]
-
-    def _summed(self, rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Whether each number is in the table, and its ratio, or zero."""
+        lead = (numbers >> self.shift).astype(np.int64)
+        at, end = self.begins[lead], self.begins[lead + 1]
+        found, ratio = np.zeros(len(numbers), bool), np.zeros(len(numbers), np.float32)
+        left = np.flatnonzero(at < end)
+        for _ in range(self.most):
+            here = at[left]
+            same = self.numbers[here] == numbers[left]
+            hit = left[same]
+            found[hit], ratio[hit] = True, self.ratios[here[same]]
+            left = left[~same & (here + 1 < end[left])]
+            if not len(left):
+                break
+            at[left] += 1
+        return found, ratio
+
+    def _summed(self, number: np.ndarray, before: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Sums of the characters' ratios from each of `begins` to the next."""
         if not len(self.numbers) or not len(begins):
             return np.zeros(len(begins))
-        number, before = hashed(rows)
-        (found, ratio), (begun, freed) = self._of(number), self._of(before)
-        return np.add.reduceat(np.where(found, ratio, np.where(begun, freed, 0)).astype(np.float64), begins)
+        found, ratio = self._of(number)
+        new = np.flatnonzero(~found)
+        ratio[new] = self._of(before[new])[1]
+        return np.add.reduceat(ratio.astype(np.float64), begins)
 
     def scored(self, words: list[str]) -> np.ndarray:
         """The sum of the ratios of each word's characters and the blank after it."""
-        lengths = np.array([len(word) + 1 for word in words], np.int64)
-        return self._summed(letters(words), np.cumsum(lengths) - lengths) if words else np.zeros(0)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        return self._summed(*_numbers(words), np.cumsum(lengths) - lengths)
 
-    def spans(self, words: list[str]) -> tuple[np.ndarray, float]:
-        """Sums over overlapping spans of long words, which cover every character, and the sum over all characters once."""
+    def spans(self, word: str) -> tuple[np.ndarray, float]:
+        """Sums over overlapping spans of a long word, which cover every character, and the sum over all characters once."""
         half = SPAN // 2
-        found, total = [], 0.0
-        usual = [word for word in words if len(word) <= PIECE]
-        if usual:
-            lengths = np.array([len(word) + 1 for word in usual], np.int64)
-            parts = -(-lengths // half)
-            last = np.cumsum(parts)
-            place = np.arange(last[-1]) - np.repeat(last - parts, parts)
-            sums = self._summed(letters(usual), np.repeat(np.cumsum(lengths) - lengths, parts) + place * half)
-            total += sums.sum()
-            found.append((sums[:-1] + sums[1:])[place[1:] > 0])
-        for word in words:
-            if len(word) > PIECE:
-                sums = np.concatenate([self._summed(rows, np.arange(0, len(rows), half)) for rows in letters_of_long(word)])
-                total += sums.sum()
-                found.append(sums[:-1] + sums[1:])
-        return np.concatenate(found), total
-
-    def features(self, text: str) -> list[float]:
-        """Of a text's words: the ratio by symbol, what passes each margin by word, and the means of the worst few."""
-        total, symbols, count = 0.0, 0, 0
-        above, worst = np.zeros(len(MARGINS)), np.empty(0)
-        for words in word_lists(text):
-            short = [word for word in words if len(word) < SPAN]
-            new = list(set(short).difference(self.known))
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known, new = {}, list(set(short))
-            self.known.update(zip(new, self.scored(new).tolist()))
-            score = np.array([self.known[word] for word in short])
-            total += score.sum()
-            if len(short) < len(words):
-                spans, whole = self.spans([word for word in words if len(word) >= SPAN])
-                score = np.concatenate([score, spans])
-                total += whole
-            symbols += sum(map(len, words)) + len(words)
-            count += len(score)
-            above += [np.maximum(score - m, 0).sum() for m in MARGINS]
-            few = score if len(score) <= max(WORST) else np.partition(score, len(score) - max(WORST))[-max(WORST) :]
-            worst = -np.sort(-np.concatenate([worst, few]))[: max(WORST)]
-        return [total / max(1, symbols), *(above / max(1, count)), *(worst[:k].sum() / k for k in WORST)]
+        parts = [letters([word])] if len(word) <= PIECE else letters_of_long(word)
+        sums = np.concatenate([self._summed(*hashed(rows), np.arange(0, len(rows), half)) for rows in parts])
+        return sums[:-1] + sums[1:], sums.sum()
+
+    def distinct_scores(self, found: DistinctWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The scores that the distinct words count by, one after another, how many each has, and the sum of each word's ratios."""
+        entries, whole = np.ones(len(found.words), np.int64), np.zeros(len(found.words))
+        short = np.flatnonzero(found.lengths < SPAN)
+        parts = in_parts([found.words[i] for i in short], found.lengths[short])
+        whole[short] = np.concatenate([np.empty(0), *map(self.scored, parts)])
+        spans = {}
+        for i in np.flatnonzero(found.lengths >= SPAN).tolist():
+            spans[i], whole[i] = self.spans(found.words[i])
+            entries[i] = len(spans[i])
+        scores = np.repeat(whole, entries)
+        begins = np.cumsum(entries) - entries
+        for i, sums in spans.items():
+            scores[begins[i] : begins[i] + len(sums)] = sums
+        return scores, entries, whole
+
+    def features(self, texts: Iterator[str]) -> list[list[float]]:
+        """Of each text's words: the ratio by symbol, what passes each margin by word, and the means of the worst few."""
+        gathered: list[np.ndarray] = []
+        worst: list[np.ndarray] = []
+
+        def numbered(texts: Iterator[str]) -> Iterator[str]:
+            for text in texts:
+                gathered.append(np.zeros(3 + len(MARGINS)))
+                worst.append(np.empty(0))
+                yield text
+
+        for owners, found in together(numbered(texts)):
+            scores, entries, whole = self.distinct_scores(found)
+            n, which, piece = len(owners), found.which, found.piece
+            sums = [np.bincount(piece, whole[which], n), np.bincount(piece, found.lengths[which] + 1, n)]
+            many = entries[which]
+            ends = np.cumsum(many)
+            begins = np.cumsum(entries) - entries
+            score = scores[np.repeat(begins[which] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
+            piece = np.repeat(piece, many)
+            count = np.bincount(piece, minlength=n)
+            sums += [count, *(np.bincount(piece, np.maximum(score - m, 0), n) for m in MARGINS)]
+            cuts = np.concatenate([[0], np.cumsum(count)])
+            for k, (owner, row) in enumerate(zip(owners, np.array(sums, float).T)):
+                few = score[cuts[k] : cuts[k + 1]]
+                few = few if len(few) <= max(WORST) else np.partition(few, len(few) - max(WORST))[-max(WORST) :]
+                gathered[owner] += row
+                worst[owner] = -np.sort(-np.concatenate([worst[owner], few]))[: max(WORST)]
+        return [
+            [total / max(1, symbols), *(np.array(above) / max(1, count)), *(few[:k].sum() / k for k in WORST)]
+            for (total, symbols, count, *above), few in zip(gathered, worst)
+        ]
 
 
 def text_features(batch: pa.RecordBatch, ratios: np.ndarray, scores: WordScores) -> list[list[float]]:
     """Features of each text by both models."""
     texts = batch.column("text")
-    return [features(data, ratios) + scores.features(text.as_py() or "") for data, text in zip(utf8(texts), texts)]
+    inside = scores.features(text.as_py() or "" for text in texts)
+    return [features(data, ratios) + words for data, words in zip(utf8(texts), inside)]
 
 
 def _featured(model):
@@ -369,12 +490,12 @@ def fitted_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     """
     context = docs.sparkSession.sparkContext
     learn = fold(F.col("doc_id"), FOLDS) > 0
-    sample, weight = labelled_sample(docs, labels, "toxic", learn, per_class)
+    kept, weight = sampled_rows(docs, labels, "toxic", learn, per_class)
     none = (np.empty(0, np.uint64), np.empty(0, np.float32))
     if len(weight) < 2:
         return context.broadcast((np.zeros(SYMBOLS**ORDER, np.float32), none)), np.array([0.0] * FEATURES + [-40.0])
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0
-    ids = sample.where(~calibrates).select("doc_id", "label")
+    ids = kept.where(~calibrates).select("doc_id", "label")
     told = docs.select("doc_id", "text").where(learn).join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id", "left").select("label", "text")
     counted = (
         told.mapInArrow(_counted, "ngram long, every long, ordinary long, toxic long")
@@ -388,8 +509,6 @@ def fitted_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     ratios = log_ratios(*dense)
     found = (
         told.mapInArrow(_lettered, "gram string, ordinary long, toxic long")
-        .groupBy("gram")
-        .agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
         .repartition(F.substring("gram", LETTERS - 3, 3))
         .mapInArrow(_letter_ratios, "number long, ratio float")
         .toArrow()
@@ -398,7 +517,7 @@ def fitted_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     order = np.argsort(numbers)
     inside = (numbers[order], found.column("ratio").to_numpy()[order])
     shared = context.broadcast((ratios, inside))
-    rows = sample.where(calibrates).select("label", "text").mapInArrow(_featured(shared), "label int, features array<double>").collect()
+    rows = sampled_texts(docs, kept.where(calibrates)).select("label", "text").mapInArrow(_featured(shared), "label int, features array<double>").collect()
     y = np.array([row["label"] for row in rows], float)
     if len(set(y)) < 2:
         return shared, np.array([1.0] + [0.0] * FEATURES)
