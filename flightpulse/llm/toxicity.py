@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
@@ -35,10 +34,15 @@ SPAN = 16
 WORST = (1, 2, 4, 8)
 MARGINS = (0.0, 1.0, 2.0, 4.0)
 #: Characters of texts whose distinct words are counted or scored together; of a text that are split into words, or of
-#: a word that are counted or scored, at once. N-grams that a task counts before it passes them on.
-TOGETHER = 1 << 22
+#: a word that are counted or scored, at once. N-grams that a task counts before it passes them on, and whose ratios it
+#: works out at once, those of one ENDING always together.
+TOGETHER = 1 << 21
 PIECE = 1 << 17
-KEPT = 1 << 21
+KEPT = 1 << 20
+#: Places of the characters before an n-gram's last one by which n-grams are dealt: those of the shortest history.
+ENDING = slice(LETTERS - 4, LETTERS - 1)
+#: Columns of n-grams on their way: all that end alike as one text of LETTERS characters each, with their counts.
+GRAMS = "ending string, grams string, ordinary array<int>, toxic array<int>"
 #: Features of a text by both models, and the penalty on their coefficients.
 FEATURES = 1 + len(PASSAGES) + 1 + len(MARGINS) + len(WORST)
 DECAY = 1e-4
@@ -274,9 +278,17 @@ class _Grams:
         if self.parts:
             self.merge()
             (rows, ordinary, toxic), self.parts, self.held = self.parts[0], [], 0
-            grams = np.ascontiguousarray(rows).view(f"<U{LETTERS}").ravel().tolist()
-            counts = (pa.array(n.astype(np.int64)) for n in (ordinary, toxic))
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), *counts], names=["gram", "ordinary", "toxic"])
+            ending, left, rest = (
+                (rows[:, a].astype(np.uint64) << np.uint64(42)) | (rows[:, b].astype(np.uint64) << np.uint64(21)) | rows[:, c]
+                for a, b, c in ((LETTERS - 2, LETTERS - 3, LETTERS - 4), (LETTERS - 5, LETTERS - 6, LETTERS - 7), (2, 1, LETTERS - 1))
+            )
+            order = np.lexsort((rest, left, ending))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(ending[order])) + 1, [len(order)]])
+            text = rows[order].tobytes().decode("utf-32-le")
+            grams = [text[LETTERS * a : LETTERS * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            counts = (pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(n[order].astype(np.int32))) for n in (ordinary, toxic))
+            columns = [pa.array([g[ENDING] for g in grams], pa.string()), pa.array(grams, pa.string()), *counts]
+            yield pa.RecordBatch.from_arrays(columns, names=["ending", "grams", "ordinary", "toxic"])
 
 
 def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,20 +311,20 @@ def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from grams.given()
 
 
-def letter_ratios(grams: pd.DataFrame) -> pd.DataFrame:
-    """`number` and `ratio` of each n-gram that a class has, and of each history of one, from all n-grams (gram, ordinary, toxic)
-    of whole groups of three characters before the last.
+def letter_ratios(grams: str, ordinary: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers and the ratio of each n-gram that a class has, and of each history of one, from all n-grams of whole
+    groups of one ENDING, as one text, and their counts; equal n-grams are added up.
 
     Each class has its discounted counts. What the discount frees is spread by the numbers of different left
     neighbours that shorter n-grams have in the corpus, which both classes share, down to an even spread
     over the characters that follow. After a history that both have, a character that neither has seen
     there has the ratio of what the discounts freed; it is kept under the history's number.
     """
-    rows = np.frombuffer("".join(grams["gram"].tolist()).encode("utf-32-le"), np.uint32).reshape(-1, LETTERS)
+    rows = np.frombuffer(grams.encode("utf-32-le"), np.uint32).reshape(-1, LETTERS)
     number, before = hashed(rows)
     number, at, inverse = np.unique(number, return_index=True, return_inverse=True)
     rows, before = rows[at], before[at]
-    counts = {name: np.bincount(inverse, grams[name].to_numpy(), len(number)) for name in ("toxic", "ordinary")}
+    counts = [np.bincount(inverse, n, len(number)) for n in (toxic, ordinary)]
 
     # From the whole n-grams down to four characters: the distinct shorter ones, and how many distinct longer ones each ends.
     levels, at, suffix, history = [], np.arange(len(number)), number, before
@@ -329,23 +341,40 @@ def letter_ratios(grams: pd.DataFrame) -> pd.DataFrame:
 
     _, first, group = np.unique(before, return_index=True, return_inverse=True)
     logs, freed = [], []
-    for n in counts.values():
+    for n in counts:
         total, kinds = np.bincount(group, n)[group], np.bincount(group, n > 0)[group]
         back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
         logs.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1) + back * lower))
         freed.append(np.log(back[first]))
-    seen = counts["toxic"] + counts["ordinary"] > 0
+    seen = counts[0] + counts[1] > 0
     begun = freed[0] != freed[1]
-    numbers = np.concatenate([number[seen], before[first][begun]]).view(np.int64)
+    numbers = np.concatenate([number[seen], before[first][begun]])
     ratios = np.concatenate([(logs[0] - logs[1])[seen], (freed[0] - freed[1])[begun]]).astype(np.float32)
     numbers, first = np.unique(numbers, return_index=True)
-    return pd.DataFrame({"number": numbers, "ratio": ratios[first]})
+    return numbers, ratios[first]
 
 
 def _letter_ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [batch for batch in batches if batch.num_rows]
-    if rows:
-        yield from pa.Table.from_pandas(letter_ratios(pa.Table.from_batches(rows).to_pandas()), preserve_index=False).to_batches()
+    """Ratios of n-grams that come in the order of their endings, those of a few endings at a time."""
+    waiting: list[tuple[str, np.ndarray, np.ndarray]] = []
+    held, last = 0, None
+
+    def worked_out() -> pa.RecordBatch:
+        grams, ordinary, toxic = zip(*waiting)
+        numbers, ratios = letter_ratios("".join(grams), np.concatenate(ordinary), np.concatenate(toxic))
+        return pa.RecordBatch.from_arrays([pa.array(numbers.view(np.int64)), pa.array(ratios)], names=["number", "ratio"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ending, grams, ordinary, toxic = (column[i] for column in batch.columns)
+            if held > KEPT and ending.as_py() != last:
+                yield worked_out()
+                waiting, held = [], 0
+            last = ending.as_py()
+            waiting.append((grams.as_py(), ordinary.values.to_numpy(), toxic.values.to_numpy()))
+            held += len(ordinary)
+    if waiting:
+        yield worked_out()
 
 
 class WordScores:
@@ -354,9 +383,9 @@ class WordScores:
     def __init__(self, numbers: np.ndarray, ratios: np.ndarray) -> None:
         self.numbers, self.ratios = numbers, ratios
         # Numbers are hashes, spread evenly: their leading bits lead to where they begin in the sorted table.
-        bits = max(1, int(len(numbers)).bit_length())
+        bits = max(1, len(numbers).bit_length() - 1)
         self.shift = np.uint64(64 - bits)
-        self.begins = np.searchsorted(numbers >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+        self.begins = np.searchsorted(numbers >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.most = int(np.diff(self.begins).max())
 
     def _of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -508,8 +537,9 @@ def fitted_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
         dense[k, counted["ngram"].to_numpy()] = counted[name].to_numpy()
     ratios = log_ratios(*dense)
     found = (
-        told.mapInArrow(_lettered, "gram string, ordinary long, toxic long")
-        .repartition(F.substring("gram", LETTERS - 3, 3))
+        told.mapInArrow(_lettered, GRAMS)
+        .repartition("ending")
+        .sortWithinPartitions("ending")
         .mapInArrow(_letter_ratios, "number long, ratio float")
         .toArrow()
     )
